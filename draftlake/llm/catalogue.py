@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import chat, exact_dedup, line_dedup, mixing, packing
 
 QUERIES = {
+    "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_chat_format": chat.op6_chat_format,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
