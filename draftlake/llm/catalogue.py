@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, packing
+from . import chat, exact_dedup, line_dedup, mixing, packing, toxicity
 
 QUERIES = {
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
