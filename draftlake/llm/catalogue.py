@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, toxicity
+from . import chat, exact_dedup, line_dedup, lm_scoring, mixing, packing, toxicity
 
 QUERIES = {
     "op2_pack_sequences": packing.op2_pack_sequences,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_lm_score": lm_scoring.op10_lm_score,
 }
 
 ORACLE_SQL = {
