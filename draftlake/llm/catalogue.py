@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, lm_scoring, mixing, packing, toxicity
+from . import chat, embedding_dedup, exact_dedup, line_dedup, lm_scoring, mixing, packing, toxicity
 
 QUERIES = {
     "op2_pack_sequences": packing.op2_pack_sequences,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_chat_format": chat.op6_chat_format,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_lm_score": lm_scoring.op10_lm_score,
 }
