@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, exact_dedup, line_dedup, lm_scoring, mixing, packing, toxicity
+from . import chat, embedding_dedup, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_chat_format": chat.op6_chat_format,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_ngram_jaccard": ngram_join.OP5_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
