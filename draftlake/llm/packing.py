@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,10 @@ from .shared import materialise, salted_rank
 
 SIZE, CLOSING_ID = 2048, 1
 #: Distinct words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 700_000, 64
+#: A control character that is one token, and words whose signs at the end the tokenizer parts from what is before.
+PARTING = "\x1e"
+_SIGNS = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.DOTALL)
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -40,21 +45,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        (self.parting_id,) = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in found]
-
-    def encode(self, text: bytes) -> bytes:
-        words, cache = text.split(), self.cache
-        if new := list({w for w in words if w not in cache}):
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
+        """Ids of words without PARTING, from one call: that character, one token of its own, parts them."""
+        ids = self._ids(f" {PARTING} ".join(w.decode("utf-8", "replace") for w in words))
+        ends = np.append(np.flatnonzero(ids == self.parting_id), len(ids)).tolist()
+        flat, out, start = ids.tobytes(), [], 0
+        for end in ends:
+            out.append(flat[4 * start : 4 * end])
+            start = end + 1
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Cache the ids of new words. Signs at a word's end are tokens apart, and case makes no difference, so
+        only what is left is encoded."""
+        cache, special, plain = self.cache, PARTING.encode(), []
+        for w in words:
+            if special in w or b"<|" in w:
+                cache[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+            else:
+                core, signs = m.groups() if (m := _SIGNS.fullmatch(w)) else (w, b"")
+                plain.append((w, core.lower(), signs))
+        cache[b""] = b""
+        if new := list({x for _, core, signs in plain for x in (core, signs) if x not in cache}):
             cache.update(zip(new, self._encode(new), strict=True))
-        ids = b"".join(map(cache.__getitem__, words))
-        for w in new:
-            if len(w) > CACHE_BYTES:
+        for w, core, signs in plain:
+            cache[w] = cache[core] + cache[signs]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split, cache = [t.split() for t in texts], self.cache
+        new = set().union(*split).difference(cache)
+        if len(cache) + 2 * len(new) > CACHE_WORDS:
+            cache.clear()
+            new = set().union(*split)
+        self._learn(list(new))
+        ids = [b"".join(map(cache.__getitem__, words)) for words in split]
+        if max(map(len, new), default=0) > CACHE_BYTES:
+            for w in [w for w in cache if len(w) > CACHE_BYTES]:
                 del cache[w]
         return ids
 
@@ -67,11 +98,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataF
             _encoders[tokenizer] = WordEncoder(tokenizer)
         encoder = _encoders[tokenizer]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 rows, starts, ids, totals = [], [], [], []
-                for i, text in enumerate(part.column(1)):
-                    own = encoder.encode(text.as_py() or b"") + CLOSING_ID.to_bytes(4, "little")
+                for i, own in enumerate(encoder.encode([t or b"" for t in part.column(1).to_pylist()])):
+                    own += CLOSING_ID.to_bytes(4, "little")
                     for start in range(0, len(own), 4 * size):
                         rows.append(i)
                         starts.append(start // 4)
