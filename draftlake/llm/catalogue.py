@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity
+from . import chat, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
