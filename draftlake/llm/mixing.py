@@ -27,7 +27,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     """One row per source of sizes(_key, _source, _size): source_size and target.
 
     Water filling in closed form: targets are ``least(most * size, level * weight)``. In order of size per
-    weight, the first source that the level of all not yet capped leaves uncapped fixes the level. Works on
+    weight, the first source that the level of all not yet capped leaves uncapped fixes the level; after it the
+    levels only fall, so it has the greatest that leaves its source uncapped. Works on
     one row per source.
     """
     totals = sizes.groupBy("_key", "_source").agg(F.sum("_size").alias("source_size"))
@@ -41,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
         .withColumn("_total", F.sum("source_size").over(everything))
         .withColumn("_ratio", most * F.col("source_size") / F.col("_w"))
         .withColumn("_level", (F.col("_total") - most * F.coalesce(F.sum("source_size").over(earlier), F.lit(0))) / F.sum("_w").over(onward))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything))
         .select("_key", "source_size", F.least((most * F.col("source_size")).cast("double"), F.col("_level") * F.col("_w")).alias("target"))
     )
 
@@ -101,7 +102,7 @@ levels AS (
   SELECT *, (total - 3 * coalesce(sum(source_size) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
          / sum(w) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratios),
 targets AS (
-  SELECT k, source_size, least((3 * source_size)::DOUBLE, (SELECT min(level) FROM levels WHERE level <= ratio) * w) AS target,
+  SELECT k, source_size, least((3 * source_size)::DOUBLE, (SELECT max(level) FROM levels WHERE level <= ratio) * w) AS target,
          ('0x' || substr(md5('mix' || k), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
   FROM levels),
 ranked AS (
