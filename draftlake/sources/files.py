@@ -14,7 +14,7 @@ SAMPLES_SCHEMA = "sample_id string, pdf_path string, step_path string, level str
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """The paths of files under root whose names match, without their content."""
+    """The paths of files under root whose names match, without their content. Empty files are left out."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     return reader.load(root).select("path")
 
