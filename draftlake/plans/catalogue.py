@@ -335,8 +335,11 @@ def sanitised_scripts(spark, sf_dir):
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sanitised_script(given).alias("script"))
 
 
-@query(r"""SELECT p_partkey AS sample_id, CASE WHEN p_size % 10 = 9 AND (p_size // 10) % 10 = 2 THEN p_size ELSE 29 END::DOUBLE AS base_depth,
-  CASE WHEN p_size % 2 = 0 THEN 4.5 ELSE p_size END::DOUBLE AS through_hole_diameter, 8.0::DOUBLE AS counterbore_diameter, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 4.6 END::DOUBLE AS counterbore_depth FROM part""")
+_PARAMETERS_SQL = r"""SELECT p_partkey AS sample_id, CASE WHEN p_size % 10 = 9 AND (p_size // 10) % 10 = 2 THEN p_size ELSE 29 END::DOUBLE AS base_depth,
+  CASE WHEN p_size % 2 = 0 THEN 4.5 ELSE p_size END::DOUBLE AS through_hole_diameter, 8.0::DOUBLE AS counterbore_diameter, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 4.6 END::DOUBLE AS counterbore_depth"""
+
+
+@query(_PARAMETERS_SQL + " FROM part")
 def cadquery_parameters(spark, sf_dir):
     return _parameters(spark, sf_dir).select("sample_id", "base_depth", "through_hole_diameter", "counterbore_diameter", "counterbore_depth")
 
@@ -349,7 +352,11 @@ def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-@query()
+@query(f"""WITH p AS ({_PARAMETERS_SQL}, p_size % 4 > 0 AS chamfers FROM part)
+SELECT sample_id, concat_ws(chr(10), 'import cadquery as cq', 'base_length = 50.0', 'base_width = 45.0', 'hole_pitch_x = 38.0', 'hole_pitch_y = 30.0', 'chamfer_size = 2.0', 'base_depth = ' || base_depth,
+  'through_hole_diameter = ' || through_hole_diameter, 'counterbore_diameter = ' || counterbore_diameter, 'counterbore_depth = ' || counterbore_depth, 'part = cq.Workplane("XY").box(base_length, base_width, base_depth)',
+  'part = part.faces(">Z").workplane().pushPoints([(-19.0, -15.0), (-19.0, 15.0), (19.0, -15.0), (19.0, 15.0)]).cboreHole(through_hole_diameter, counterbore_diameter, counterbore_depth)',
+  CASE WHEN chamfers THEN 'part = part.edges("|Z").chamfer(chamfer_size)' END) || chr(10) AS script FROM p""")
 def cadquery_scripts(spark, sf_dir):
     return cad.script(_parameters(spark, sf_dir)).select("sample_id", "script")
 
