@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, geometry, text
 from ..functions.geometry import Box
-from ..operators import cad, detections, drawing, features, raster, scoring, views
+from ..operators import cad, detections, drawing, features, layout, raster, scoring, views
 from ..sources import files
 from . import adapters as A
 
@@ -402,6 +402,39 @@ def segment_touches(spark, sf_dir):
     return raster.segment_pairs(A.segments(spark, sf_dir)).groupBy("image").agg(F.count(F.lit(1)).alias("touching"))
 
 
+_PAGE_SQL = f"""WITH {A.DETECTIONS_SQL}, sides AS (
+  SELECT sample_id AS image, ord * 2 AS node, true AS horizontal, x1, y1 // 5 AS y1, x1 + 2 * (x2 - x1) AS x2, y1 // 5 AS y2 FROM detections
+  UNION ALL SELECT sample_id, ord * 2 + 1, false, x1 // 6, y1 // 5, x1 // 6, y1 // 5 + 2 * (y2 - y1) FROM detections)"""
+
+
+def _page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Long sides near the page's upper left, as segments."""
+    found = A.detections(spark, sf_dir)
+    x, y = F.floor(F.col("x1") / 6).cast("int"), F.floor(F.col("y1") / 5).cast("int")
+    flat = found.select(F.col("sample_id").alias("image"), (F.col("ord") * 2).alias("node"), F.lit(True).alias("horizontal"), "x1", y.alias("y1"), (F.col("x1") + 2 * (F.col("x2") - F.col("x1"))).alias("x2"), y.alias("y2"))
+    upright = found.select(F.col("sample_id").alias("image"), (F.col("ord") * 2 + 1).alias("node"), F.lit(False).alias("horizontal"), x.alias("x1"), y.alias("y1"), x.alias("x2"), (y + 2 * (F.col("y2") - F.col("y1"))).alias("y2"))
+    return flat.unionByName(upright), found.select(F.col("sample_id").alias("image"), F.col("page_width").alias("width"), F.col("page_height").alias("height")).distinct()
+
+
+@query(_PAGE_SQL + """, e AS (SELECT image, max(CASE WHEN horizontal AND x2 - x1 >= 350 AND y1 <= 17 THEN y2 END) AS t, max(CASE WHEN NOT horizontal AND y2 - y1 >= 244 AND x1 <= 25 THEN x2 END) AS l FROM sides GROUP BY 1)
+SELECT image, 0 AS x1, 0 AS y1, 1000 AS x2, t + 12 AS y2 FROM e WHERE t IS NOT NULL UNION ALL SELECT image, 0, 0, l + 12, 700 FROM e WHERE l IS NOT NULL""")
+def border_strips(spark, sf_dir):
+    return layout.borders(*_page(spark, sf_dir)).select("image", *Box._fields)
+
+
+@query(_PAGE_SQL + """, v AS (SELECT DISTINCT image, x1 FROM sides WHERE NOT horizontal AND y2 - y1 >= 420 AND x1 > 25 AND x1 <= 80),
+b AS (SELECT *, coalesce((x1 - lag(x1) OVER (PARTITION BY image ORDER BY x1) > 8)::INT, 0) AS s FROM v), g AS (SELECT *, sum(s) OVER (PARTITION BY image ORDER BY x1) AS i FROM b)
+SELECT image, greatest(0, min(x1) - 18) AS x1, greatest(0, min(s.y1) - 18) AS y1, max(x1) + 18 AS x2, least(700, max(s.y2) + 18) AS y2 FROM g JOIN sides s USING (image, x1)
+WHERE NOT s.horizontal AND s.y2 - s.y1 >= 420 GROUP BY image, i""")
+def inner_frame_strips(spark, sf_dir):
+    return layout.inner_frames(*_page(spark, sf_dir)).select("image", *Box._fields)
+
+
+@query()
+def layout_regions(spark, sf_dir):
+    return layout.regions(*_page(spark, sf_dir))
+
+
 @query(f"""WITH {A.RASTERS_SQL} SELECT image, count(*) AS left_over FROM pixels WHERE NOT (x BETWEEN image % 4 AND image % 4 + 2 AND y BETWEEN image % 3 AND image % 3 + 3) GROUP BY image""")
 def whitened_pixels(spark, sf_dir):
     regions = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), (F.col("vec_id") % 4).alias("x1"), (F.col("vec_id") % 3).alias("y1"), (F.col("vec_id") % 4 + 2).alias("x2"), (F.col("vec_id") % 3 + 3).alias("y2"))

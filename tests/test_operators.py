@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from draftlake.functions import documents, geometry, text
 from draftlake.functions.geometry import Box
-from draftlake.operators import cad, detections, drawing, features, raster, scoring, views
+from draftlake.operators import cad, detections, drawing, features, layout, raster, scoring, views
 from draftlake.plans import stage
 from draftlake.sources import files, sinks
 from draftlake.streaming import incremental
@@ -206,6 +206,25 @@ def test_tables_from_segments(spark):
     assert [(r.type, r.n_horizontal, r.n_vertical, r.n_crossings) for r in found] == [("title_or_tolerance_table", 11, 6, 66), (None, 1, 0, 0)]
 
 
+SEGMENT = "image long, node int, horizontal boolean, x1 int, y1 int, x2 int, y2 int"
+
+
+def test_layout_regions(spark):
+    def box(first, x1, y1, x2, y2):
+        return [(first, True, x1, y1, x2, y1), (first + 1, True, x1, y2, x2, y2), (first + 2, False, x1, y1, x1, y2), (first + 3, False, x2, y1, x2, y2)]
+
+    table = [(100 + i, True, 30, 560 + 12 * i, 960, 560 + 12 * i) for i in range(11)] + [(150 + i, False, 30 + 186 * i, 560, 30 + 186 * i, 680) for i in range(6)]
+    strips = [(200 + i, False, x, 42, x, 500) for i, x in enumerate((57, 58, 59))]
+    corner = [*box(300, 780, 30, 960, 88), (310, False, 840, 30, 840, 88)]
+    frame = [(400, True, 5, 10, 990, 10)]
+    rows = [(1, *r) for r in table + strips + corner + frame + box(500, 300, 200, 600, 400)]
+    found = layout.regions(spark.createDataFrame(rows, SEGMENT), spark.createDataFrame([(1, 1000, 700)], "image long, width int, height int")).orderBy("region_id").collect()
+    got = [(r.region_id, r.region_type, r.x1, r.y1, r.x2, r.y2) for r in found]
+    assert got == [
+        ("r001", "page_border", 0, 0, 1000, 22), ("r002", "title_or_tolerance_table", 8, 538, 982, 700), ("r004", "inner_frame_strip", 39, 24, 77, 518), ("r005", "corner_metadata_box", 766, 16, 974, 102),
+    ]
+
+
 def test_listings(spark, tmp_path):
     for name in ("A/page_001_600dpi.png", "A/page_001_300dpi.png", "B/page_002_600dpi.png", "B/note.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
