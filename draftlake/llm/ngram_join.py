@@ -10,8 +10,9 @@ Three orders are intersected before a pair is verified:
 - by another hash, among those kept.
 
 Equal sets are compared once. Where documents meet, each is first compared with up to three pivots (the least,
-the greatest and a random id there) and joined in components; only meeting places that still hold several components are then
-compared in full, in blocks. So no group of copies is expanded into its pairs, and no link between components is
+the greatest and a random id there) and joined in components; only meeting places that still hold several
+components are then compared in full, in blocks. Whole sets lie in memory-mapped files of the shared folder, so
+that pairs are verified where they are found; a block returns a forest of its links, never its pairs. So no group of copies is expanded into its pairs, and no link between components is
 lost. Verification compares whole sets exactly, as 64-bit hashes of the shingles.
 
 Cases: documents without words have an empty set and link with nothing; with fewer words than a shingle's the
@@ -30,10 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .shared import materialise
+from .elias_fano import map_arrays, write_arrays
+from .shared import materialise, shared_dir
 from .words import mix, slices, word_hashes
 
 WORDS, PERCENT, BLOCK = 3, 90, 256
+#: Sets kept in one file of the shared folder, about.
+SETS_OF_FILE = 2000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -107,82 +111,136 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, one long, two long, kept array<long>")
 
 
-def _second_prefix(kept: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """The first of the kept elements by the other hash. Elements that only this document keeps are absent from
-    kept; leaving them out of the order makes the prefix longer, never shorter."""
-    size = prefix_size(n, percent)
-    return kept[np.argsort(mix(kept.view(np.uint64) ^ _SECOND), kind="stable")[:size]]
+class SetStore:
+    """Whole shingle sets in memory-mapped files of the shared folder, found by doc_id."""
 
+    def __init__(self, folder: str, files: int) -> None:
+        self.folder, self.files, self.open = folder, files, {}
 
-def _plausible(a: np.ndarray, an: int, b: np.ndarray, bn: int, percent: int) -> bool:
-    """The orders' filters for one pair: lengths, a shared place by the other hash, enough shared kept elements."""
-    low, high = min(an, bn), max(an, bn)
-    if 100 * low < percent * high:
-        return False
-    if not np.intersect1d(_second_prefix(a, an, percent), _second_prefix(b, bn, percent), assume_unique=True).size:
-        return False
-    return np.intersect1d(a, b, assume_unique=True).size >= extra(least_overlap(low, percent))
+    def get(self, docs: np.ndarray) -> list[np.ndarray]:
+        """The sorted set of each document."""
+        out: list = [None] * len(docs)
+        owner = (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(self.files)).astype(np.int64)
+        for f in np.unique(owner).tolist():
+            if f not in self.open:
+                self.open[f] = map_arrays(f"{self.folder}/sets-{f}")
+            a = self.open[f]
+            at = np.flatnonzero(owner == f)
+            for i, k in zip(at.tolist(), np.searchsorted(a["docs"], docs[at]).tolist(), strict=True):
+                out[i] = a["data"][a["offsets"][k] : a["offsets"][k + 1]]
+        return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    mine = sets.select(F.col("doc").alias("a"), F.col("set").alias("sa"))
-    theirs = sets.select(F.col("doc").alias("b"), F.col("set").alias("sb"))
+def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
+    """Write the sets of the documents in met (doc, and the hashes of its set), about SETS_OF_FILE to a file."""
+    met = materialise(met, "met")
+    store = SetStore(shared_dir(docs.sparkSession, "sets"), 1 + met.count() // SETS_OF_FILE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.loc[good, ["a", "b"]]
-
-    return pairs.join(mine, "a").join(theirs, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+            sets = list(shingle_sets(batch.column(1), words))
+            mine = pa.array([_hashes(s) == h for s, h in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
+            owner = mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(store.files)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owner.astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "file", "set"]).filter(mine)
 
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("doc").sort_values("doc")
+        sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+        write_arrays(f"{store.folder}/sets-{rows['file'].iloc[0]}", {"docs": rows["doc"].to_numpy().astype(np.int64), "offsets": offsets, "data": np.concatenate(sets)})
+        return pd.DataFrame({"file": rows["file"].iloc[:1]})
 
-def _filtered(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the orders' filters leave."""
-    mine = kept.select(F.col("doc").alias("a"), F.col("n").alias("an"), F.col("kept").alias("ka"))
-    theirs = kept.select(F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("kept").alias("kb"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(met, "doc").select("doc", "text", "one", "two")
+    texts.mapInArrow(run, "doc long, file long, set binary").groupBy("file").applyInPandas(write, "file long").count()
+    return store
+
+
+def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the lists share."""
+    owner = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
+    values, place = np.unique(np.concatenate(lists), return_inverse=True)
+    often = np.bincount(place, minlength=len(values)) > 1
+    held = often[place]
+    grid = np.zeros((len(lists), int(often.sum())), np.float32)
+    grid[owner[held], (np.cumsum(often) - 1)[place[held]]] = 1
+    return grid @ grid.T
+
+
+def _linked(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (positions in sets) link: the orders' filters in turn, then the whole sets."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    good = 100 * low >= percent * high
+    if not good.any():
+        return good
+    used = np.unique(np.concatenate([x[good], y[good]]))
+    kept = {i: sets[i][: kept_size(int(n[i]), percent)] for i in used.tolist()}
+    second = {i: k[np.argsort(mix(k ^ _SECOND), kind="stable")[: prefix_size(int(n[i]), percent)]] for i, k in kept.items()}
+    many = len(x) > 20 * len(used)
+    if many:  # all at once
+        number = np.zeros(len(sets), np.int64)
+        number[used] = np.arange(len(used))
+        first = _shared_counts([kept[i] for i in used.tolist()])
+        other = _shared_counts([second[i] for i in used.tolist()])
+        good &= (first[number[x], number[y]] >= extra(least_overlap(low, percent))) & (other[number[x], number[y]] > 0)
+        at = np.flatnonzero(good)
+        if len(at):
+            left, where = np.unique(np.concatenate([x[at], y[at]]), return_inverse=True)
+            both = _shared_counts([sets[i] for i in left.tolist()])[where[: len(at)], where[len(at) :]]
+            good[at] = 100 * both >= percent * (n[x[at]] + n[y[at]] - both)
+        return good
+    for k in np.flatnonzero(good).tolist():
+        i, j = int(x[k]), int(y[k])
+        good[k] = (
+            np.intersect1d(second[i], second[j], assume_unique=True).size > 0
+            and np.intersect1d(kept[i], kept[j], assume_unique=True).size >= extra(least_overlap(int(low[k]), percent))
+            and 100 * (both := np.intersect1d(sets[i], sets[j], assume_unique=True).size) >= percent * (n[i] + n[j] - both)
+        )
+    return good
+
+
+def _pivot_links(pairs: DataFrame, store: SetStore, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [_plausible(np.asarray(r.ka, np.int64), r.an, np.asarray(r.kb, np.int64), r.bn, percent) for r in batch.itertuples()]
-            yield batch.loc[good, ["a", "b"]]
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
+                docs, where = np.unique(part.to_numpy(), return_inverse=True)
+                where = where.reshape(-1, 2)
+                yield part[_linked(store.get(docs), where[:, 0], where[:, 1], percent)]
+
+    return pairs.select("a", "b").mapInPandas(run, "a long, b long")
 
-    return pairs.join(mine, "a").join(theirs, "b").filter((100 * F.least("an", "bn")) >= percent * F.greatest("an", "bn")).select("a", "an", "ka", "b", "bn", "kb").mapInPandas(run, "a long, b long")
 
+def _block_links(places: DataFrame, kept: DataFrame, parts: DataFrame, store: SetStore, percent: int, block: int) -> DataFrame:
+    """Links between different components among the documents that meet in places (token, doc), as forests.
 
-def _block_pairs(places: DataFrame, kept: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of different components that meet in places (token, doc) and pass the filters."""
+    A pair counts where it first meets: blocks hold each document's places, and leave a pair to a lesser token.
+    """
     labelled = places.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("token", F.ceil(F.col("m") / block).cast("int").alias("k"))
+    # where three or fewer meet, the pivots have been compared with all others
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1 AND m > 3").select("token", F.ceil(F.col("m") / block).cast("int").alias("k"))
     spread = labelled.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     # block pair (i, j), i <= j: a document of chunk c is in the pairs (c, j) and (i, c)
     blocks = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc", "component", (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("both")
+        F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "token", "doc", "component", (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("both")
     )
-    loaded = blocks.join(kept, "doc").repartition("key").sortWithinPartitions("key")
-
-    def compare(group: pd.DataFrame) -> tuple[list[int], list[int]]:
-        docs, comps, ns = (group[c].to_numpy() for c in ("doc", "component", "n"))
-        tokens = [np.asarray(k, np.int64) for k in group["kept"]]
-        owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        values, place = np.unique(np.concatenate(tokens), return_inverse=True)
-        often = np.bincount(place, minlength=len(values)) > 1
-        number = np.cumsum(often) - 1
-        held = often[place]
-        grid = np.zeros((len(tokens), int(often.sum())), np.float32)
-        grid[owner[held], number[place[held]]] = 1
-        shared = grid @ grid.T
-        low = np.minimum(ns[:, None], ns[None, :])
-        ok = (shared >= extra(least_overlap(low, percent))) & (100 * low >= percent * np.maximum(ns[:, None], ns[None, :])) & (comps[:, None] != comps[None, :])
-        right, both = group["right"].to_numpy(), group["both"].to_numpy()
+    loaded = blocks.join(kept.select("doc", "n", "index"), "doc").repartition("key").sortWithinPartitions("key", "token")
+
+    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        token, docs, comps, n, right, both = (group[c] for c in ("token", "doc", "component", "n", "right", "both"))
+        ok = (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (comps[:, None] != comps[None, :])
         ok &= (both[:, None] & both[None, :]) | (right[:, None] != right[None, :])
+        ok &= token[:, None] == token[None, :]
+        if ok.any():
+            ok &= _shared_counts([i[i < t] for i, t in zip(group["index"], token.tolist(), strict=True)]) == 0
         x, y = np.nonzero(np.triu(ok, 1))
-        pairs = [(i, j) for i, j in zip(x, y, strict=True) if np.intersect1d(_second_prefix(tokens[i], ns[i], percent), _second_prefix(tokens[j], ns[j], percent), assume_unique=True).size]
-        return [int(docs[i]) for i, _ in pairs], [int(docs[j]) for _, j in pairs]
+        if not len(x):
+            return x, y
+        used, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+        good = _linked(store.get(docs[used]), where[: len(x)], where[len(x) :], percent)
+        return forest(docs[x[good]], docs[y[good]]) if good.any() else (x[:0], y[:0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -195,13 +253,20 @@ def _block_pairs(places: DataFrame, kept: DataFrame, parts: DataFrame, percent:
             yield from each(held)
 
     def each(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, group in batch.groupby("key", sort=False):
-            if group["component"].nunique() > 1:
-                a, b = compare(group)
-                if a:
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return loaded.mapInPandas(run, "a long, b long").distinct()
+        if not len(batch):
+            return
+        columns = {c: batch[c].to_numpy() for c in ("token", "doc", "component", "n", "right", "both")}
+        columns["index"] = np.empty(len(batch), object)
+        columns["index"][:] = [np.asarray(i, np.int64) for i in batch["index"]]
+        keys = batch["key"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+        found = [compare({c: v[low:high] for c, v in columns.items()}) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(a):
+            a, b = forest(a, b)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return loaded.mapInPandas(run, "a long, b long")
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -219,8 +284,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     alone = _of_n(kept_size, percent) - F.size("ranked")
     kept = materialise(
         ranked.withColumn("look", _of_n(prefix_size, percent) - alone).filter("look > 0").select(
-            "doc", *whole, F.transform("ranked", lambda r: r["token"]).alias("kept"),
-            F.transform(F.slice("ranked", F.lit(1), F.col("look").cast("int")), lambda r: r["token"]).alias("index"),
+            "doc", *whole, F.transform(F.slice("ranked", F.lit(1), F.col("look").cast("int")), lambda r: r["token"]).alias("index"),
         ),
         "kept",
     )
@@ -229,12 +293,11 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     places = materialise(looked.join(pivots, "token"), "places")
     pairs = places.select("doc", F.explode(F.array_distinct(F.array("low", "mid", "high"))).alias("pivot")).filter("doc <> pivot")
     pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    narrow = kept.select("doc", "n", "kept")
-    sets = materialise(_sets(docs, kept.join(places.select("doc"), "doc", "left_semi").select("doc", "one", "two"), words), "sets")
-    parts = materialise(connected_components(_verified(_filtered(pairs, narrow, percent), sets, percent)), "parts")
-    rest = materialise(_block_pairs(places.select("token", "doc"), narrow, parts, percent, block), "pairs-rest")
+    store = _store_sets(docs, kept.join(places.select("doc"), "doc", "left_semi").select("doc", "one", "two"), words)
+    parts = materialise(connected_components(_pivot_links(pairs, store, percent)), "parts")
+    rest = materialise(_block_links(places.select("token", "doc"), kept, parts, store, percent, block), "links-rest")
     if not rest.isEmpty():
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_verified(rest, sets, percent)))
+        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
     of = classes.join(parts.withColumnRenamed("id", "doc"), "doc", "left").select(*[F.col(c).alias(f"_{c}") for c in whole], F.coalesce("component", "doc").alias("_component"))
     same = [F.col(c) == F.col(f"_{c}") for c in whole]
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", F.col("doc_id").cast("long")))
@@ -257,19 +320,6 @@ def _of_n(size, percent: int) -> Column:
     return kept if size is kept_size else kept - more(least(least(n))) + 1
 
 
-def _sets(docs: DataFrame, met: DataFrame, words: int) -> DataFrame:
-    """Whole shingle sets, as bytes, of the documents in met (doc, and the hashes of its set)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), words))
-            mine = pa.array([_hashes(s) == h for s, h in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "set"]).filter(mine)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(met, "doc").select("doc", "text", "one", "two")
-    return texts.mapInArrow(run, "doc long, set binary").dropDuplicates(["doc"])
-
-
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

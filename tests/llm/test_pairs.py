@@ -82,6 +82,22 @@ def test_kept_prefixes_share_enough(n, percent):
                 assert m - both + sure <= ngram_join.kept_size(m, percent)
 
 
+def test_pairs_link_alike_one_by_one_and_at_once():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = []
+    for i in range(60):
+        own = base[: 300 + i % 4 * 30].copy()
+        own[rng.choice(len(own), rng.integers(0, 40), replace=False)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        sets.append(np.unique(own))
+    x, y = np.triu_indices(len(sets), 1)
+    want = [100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (len(sets[i]) + len(sets[j]) - both) for i, j in zip(x, y, strict=True)]
+    assert 0 < sum(want) < len(want)
+    assert ngram_join._linked(sets, x, y, 90).tolist() == want
+    few = [bool(ngram_join._linked(sets, x[k : k + 1], y[k : k + 1], 90)[0]) for k in range(0, len(x), 9)]
+    assert few == want[::9]
+
+
 def vectors(rng):
     base = rng.normal(size=(30, 16))
     rows = [(i, v, 0) for i, v in enumerate(base)]
