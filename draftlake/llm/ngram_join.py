@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ from .shared import materialise, shared_dir
 from .words import mix, slices, word_hashes
 
 WORDS, PERCENT, BLOCK = 3, 90, 256
-#: Sets kept in one file of the shared folder, about.
-SETS_OF_FILE = 2000
+#: Sets and ids kept in one file of the shared folder, about.
+SETS_OF_FILE, IDS_OF_FILE = 2000, 1_000_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -120,7 +121,7 @@ class SetStore:
     def get(self, docs: np.ndarray) -> list[np.ndarray]:
         """The sorted set of each document."""
         out: list = [None] * len(docs)
-        owner = (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(self.files)).astype(np.int64)
+        owner = _owners(docs, self.files)
         for f in np.unique(owner).tolist():
             if f not in self.open:
                 self.open[f] = map_arrays(f"{self.folder}/sets-{f}")
@@ -131,27 +132,56 @@ class SetStore:
         return out
 
 
+def _owners(docs: np.ndarray, files: int) -> np.ndarray:
+    return (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(files)).astype(np.int64)
+
+
 def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
-    """Write the sets of the documents in met (doc, and the hashes of its set), about SETS_OF_FILE to a file."""
+    """Write the sets of the documents in met (doc, and the hashes of its set), about SETS_OF_FILE to a file.
+
+    The ids in met lie in mapped files too, so that texts are picked where they are read and never shuffled.
+    """
     met = materialise(met, "met")
-    store = SetStore(shared_dir(docs.sparkSession, "sets"), 1 + met.count() // SETS_OF_FILE)
+    many = met.count()
+    folder = shared_dir(docs.sparkSession, "sets")
+    store, id_files = SetStore(folder, 1 + many // SETS_OF_FILE), 1 + many // IDS_OF_FILE
+
+    def write_ids(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc")
+        write_arrays(f"{folder}/ids-{rows['file'].iloc[0]}", {c: rows[c].to_numpy().astype(np.int64) for c in ("doc", "one", "two")})
+        return rows.iloc[:1][["file"]]
+
+    spread = F.pandas_udf(lambda d: pd.Series(_owners(d.to_numpy(), id_files)), "long")
+    written = {r["file"] for r in met.withColumn("file", spread("doc")).groupBy("file").applyInPandas(write_ids, "file long").collect()}  # a row per file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = {f: map_arrays(f"{folder}/ids-{f}") for f in written}
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), words))
-            mine = pa.array([_hashes(s) == h for s, h in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
-            owner = mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(store.files)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(owner.astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "file", "set"]).filter(mine)
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            doc = batch.column(0).to_numpy()
+            owner, hashes = _owners(doc, id_files), {}
+            for f in np.unique(owner).tolist():
+                if f in ids:
+                    at, a = np.flatnonzero(owner == f), ids[f]
+                    place = np.searchsorted(a["doc"], doc[at]).clip(max=len(a["doc"]) - 1)
+                    hit = a["doc"][place] == doc[at]
+                    hashes.update(zip(at[hit].tolist(), zip(a["one"][place[hit]].tolist(), a["two"][place[hit]].tolist(), strict=True), strict=True))
+            rows = sorted(hashes)
+            part = batch.take(pa.array(rows, pa.int64()))
+            sets = list(shingle_sets(part.column(1), words))
+            mine = [i for i, s in enumerate(sets) if _hashes(s) == hashes[rows[i]]]
+            doc = part.column(0).to_numpy()[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(_owners(doc, store.files), pa.int64()), pa.array([sets[i].tobytes() for i in mine], pa.binary())], names=["doc", "file", "set"])
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("doc").sort_values("doc")
         sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        write_arrays(f"{store.folder}/sets-{rows['file'].iloc[0]}", {"docs": rows["doc"].to_numpy().astype(np.int64), "offsets": offsets, "data": np.concatenate(sets)})
-        return pd.DataFrame({"file": rows["file"].iloc[:1]})
+        write_arrays(f"{folder}/sets-{rows['file'].iloc[0]}", {"docs": rows["doc"].to_numpy().astype(np.int64), "offsets": offsets, "data": np.concatenate(sets)})
+        return rows.iloc[:1][["file"]]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(met, "doc").select("doc", "text", "one", "two")
-    texts.mapInArrow(run, "doc long, file long, set binary").groupBy("file").applyInPandas(write, "file long").count()
+    if many:
+        docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, file long, set binary").groupBy("file").applyInPandas(write, "file long").count()
     return store
 
 
@@ -279,8 +309,8 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     chosen = classes.groupBy("doc").agg(F.min(F.struct(*whole)).alias("c")).select("doc", "c.*")
     reps = profiles.select(F.col("doc_id").cast("long").alias("doc"), *whole, "kept").join(chosen, ["doc", *whole]).dropDuplicates(["doc", *whole])
     # how many representatives keep a shingle; what only one keeps can't be shared
-    tokens = reps.select("doc", *whole, F.explode("kept").alias("token")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
-    ranked = tokens.groupBy("doc", *whole).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    tokens = reps.select("doc", F.explode("kept").alias("token")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    ranked = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")).join(chosen, "doc")
     alone = _of_n(kept_size, percent) - F.size("ranked")
     kept = materialise(
         ranked.withColumn("look", _of_n(prefix_size, percent) - alone).filter("look > 0").select(
