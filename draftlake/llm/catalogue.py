@@ -22,5 +22,6 @@ ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_ngram_jaccard": ngram_join.OP5_SQL,
     "op6_chat_format": chat.OP6_SQL,
+    "op8_embedding_dedup": embedding_dedup.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }

@@ -212,3 +212,16 @@ def _found(pairs, ids, counts, unit, table, hasher, threshold) -> Iterator[pd.Da
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
     return near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP8_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.j, r.c FROM r JOIN l ON l.i = r.vec_id),
+n AS (SELECT i AS vec_id, count(*) AS n FROM l GROUP BY i)
+SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c)::BIGINT AS component_id, vec_id = min(c) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
