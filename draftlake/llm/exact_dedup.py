@@ -48,7 +48,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _best(prefix: str = "") -> Column:
+def _best() -> Column:
     """Orders the documents of a group; the least one stays."""
     return F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("locator").alias("locator"))
 
