@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from draftlake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from draftlake.llm.shared import materialise
 
+#: Near copies share this percentage of their shingles of so many words; op5's own contract (3 words, 90) is stricter.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -22,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one_each(docs).select(*docs.columns)
+    return ngram_join.keep_one_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
