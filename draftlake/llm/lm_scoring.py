@@ -3,13 +3,16 @@
 Level 1 holds the words as sorted hashes, each with its exact count and its quantised probability; a word's rank
 is its number. Level 2 holds word pairs: the contexts' numbers as one monotone sequence, and for each context its
 successors' numbers, made monotone over the whole segment by the context's place in it, with quantised
-probabilities. A pair is looked up by finding the context, then searching for the successor relative to it. Both
-levels are cut into segments, one file each in the shared folder: level 1 by the hash's leading bits, level 2 by
-a hash of the context and the successor's range, so that a frequent context's successors are spread.
+probabilities. A pair is looked up by finding the context, then searching for the successor relative to it. A pair's
+number is its place in level 2. Level 3, in a trie of order 3, holds word triples alike: pairs' numbers as contexts,
+and counts instead of probabilities. The levels are cut into segments, one file each in the shared folder: level 1
+by the hash's leading bits, levels 2 and 3 by a hash of the context and the successor's range, so that a frequent
+context's successors are spread.
 
 Single words get discounted relative frequencies, and what is discounted goes to the unknown word. Pairs are
-smoothed towards the single word with a Dirichlet prior of ``prior`` counts. Documents begin in the context of
-the end token. Counting is partial in the tasks, then merged by segment; nothing of the corpus passes the driver
+smoothed towards the single word with a Dirichlet prior of ``prior`` counts, triples alike towards the pair; what a
+level doesn't hold is scored by the one below. Documents begin in the context of the end token; their first word is
+scored as a pair. Counting is partial in the tasks, then merged by segment; nothing of the corpus passes the driver
 but one row of totals per segment.
 
 Cases: a null or empty text is the end token alone; repeated rows count each; with nothing to learn from, N and V
@@ -20,7 +23,7 @@ are 0 and the model's score is the base score; an empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ from .elias_fano import EliasFano, map_arrays, write_arrays
 from .shared import shared_dir
 from .words import mix, slices, word_hashes
 
-PRIOR, DISCOUNT_DEFAULT = 30.0, 0.5
+PRIOR, DISCOUNT_DEFAULT, ORDER = 30.0, 0.5, 3
 #: Keys that a task gathers before it hands on a partial count, tokens that are looked up together.
 PENDING, TOGETHER = 2_000_000, 400_000
 SLICES_OF_CONTEXT = 64
@@ -82,11 +85,18 @@ class Trie:
     tokens: int
     unknown: float
     prior: float
+    order: int = 2
+    #: As bases (words before each segment): pairs before each segment of level 2.
+    pair_bases: list[int] = field(default_factory=lambda: [0])
 
     @property
     def words(self) -> int:
         return self.bases[-1]
 
+    @property
+    def pairs(self) -> int:
+        return self.pair_bases[-1]
+
 
 class Levels:
     """The mapped segments of a trie, opened when first needed."""
@@ -96,6 +106,7 @@ class Levels:
         self.bases = np.array(trie.bases, np.int64)
         self.first: dict[int, tuple] = {}
         self.second: dict[int, tuple] = {}
+        self.third: dict[int, tuple] = {}
 
     def level1(self, segment: int) -> tuple:
         if segment not in self.first:
@@ -106,9 +117,15 @@ class Levels:
     def level2(self, segment: int) -> tuple:
         if segment not in self.second:
             a = map_arrays(f"{self.trie.folder}/pairs-{segment}")
-            self.second[segment] = EliasFano.of(a, "contexts"), EliasFano.of(a, "successors"), a["probabilities"]
+            self.second[segment] = EliasFano.of(a, "contexts"), EliasFano.of(a, "successors"), a["probabilities"], a.get("counts")
         return self.second[segment]
 
+    def level3(self, segment: int) -> tuple:
+        if segment not in self.third:
+            a = map_arrays(f"{self.trie.folder}/triples-{segment}")
+            self.third[segment] = EliasFano.of(a, "contexts"), EliasFano.of(a, "successors"), a["counts"]
+        return self.third[segment]
+
     def find_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number or -1, count, log10 of the probability) of each distinct, sorted hash."""
         ids, counts, logs = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.full(len(hashes), self.trie.unknown)
@@ -132,23 +149,47 @@ class Levels:
             counts[low:high], logs[low:high] = own_counts[at], restore(own_logs[at])
         return counts, logs
 
-    def pair_segments(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def segments_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Segments of pairs (contexts: words' numbers) or triples (contexts: pairs' numbers)."""
         part = words * SLICES_OF_CONTEXT // max(self.trie.words, 1)
         return (mix((contexts * SLICES_OF_CONTEXT + part).astype(np.uint64)) % np.uint64(self.trie.segments)).astype(np.int64)
 
-    def find_pairs(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each pair, or nan where the trie doesn't hold it."""
-        out = np.full(len(contexts), np.nan)
-        owner = self.pair_segments(contexts, words)
+    def _found(self, level, contexts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray]]:
+        """For each segment: itself, its data, positions of the keys that it holds, their places in it."""
+        owner = self.segments_of(contexts, words)
         order = np.argsort(owner, kind="stable")
         for segment, low, high in _ranges(owner[order]):
-            at = order[low:high]
-            known, successors, own_logs = self.level2(segment)
-            context = known.find(contexts[at].astype(np.uint64))
+            at, data = order[low:high], level(segment)
+            context = data[0].find(contexts[at].astype(np.uint64))
             hit = np.flatnonzero(context >= 0)
-            place = successors.find((context[hit] * self.trie.words + words[at[hit]]).astype(np.uint64))
+            place = data[1].find((context[hit] * self.trie.words + words[at[hit]]).astype(np.uint64))
             found = place >= 0
-            out[at[hit[found]]] = restore(own_logs[place[found]])
+            yield segment, data, at[hit[found]], place[found]
+
+    def find_pairs(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, count, log10 of the probability) of each pair; -1, 0 and nan where the trie doesn't hold it.
+
+        Numbers and counts are known in a trie of order 3 only.
+        """
+        ids, counts, logs = np.full(len(contexts), -1, np.int64), np.zeros(len(contexts), np.int64), np.full(len(contexts), np.nan)
+        for segment, data, at, place in self._found(self.level2, contexts, words):
+            logs[at] = restore(data[2][place])
+            if self.trie.order > 2:
+                ids[at], counts[at] = self.trie.pair_bases[segment] + place, data[3][place]
+        return ids, counts, logs
+
+    def pair_ids(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Number of each pair, or -1."""
+        ids = np.full(len(contexts), -1, np.int64)
+        for segment, _, at, place in self._found(self.level2, contexts, words):
+            ids[at] = self.trie.pair_bases[segment] + place
+        return ids
+
+    def find_triples(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Count of each triple, 0 where the trie doesn't hold it. contexts: pairs' numbers."""
+        out = np.zeros(len(contexts), np.int64)
+        for _, data, at, place in self._found(self.level3, contexts, words):
+            out[at] = data[2][place]
         return out
 
 
@@ -190,8 +231,8 @@ def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _count(np.concatenate([_keys(k) for k in rows["keys"]]), np.concatenate(counts))
 
 
-def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIOR) -> Trie:
-    """Learn from the column text of docs. segments: a power of two, by default one and more per input task."""
+def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIOR, order: int = 2) -> Trie:
+    """Learn from the column text of docs. segments: a power of two, by default one and more per input task. order: 2 or 3."""
     spark = docs.sparkSession
     texts = docs.select("text")
     if segments is None:
@@ -226,7 +267,7 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
     tokens, once, twice = (sum(row[k] for row in found.values()) for k in ("tokens", "once", "twice"))
     discount = once / (once + 2 * twice) if once and twice else DISCOUNT_DEFAULT
     mass = discount * bases[-1] / tokens if tokens else 1.0
-    trie = Trie(folder, segments, bases, tokens, float(np.log10(max(mass, 1e-12))), prior)
+    trie = Trie(folder, segments, bases, tokens, float(np.log10(max(mass, 1e-12))), prior, order)
     if not tokens:
         return trie
 
@@ -241,45 +282,84 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
     full = spark.createDataFrame([(s,) for s in sorted(found)], "segment int").repartition(min(len(found), 64), "segment")
     full.mapInPandas(finish_words, "segment int").foreach(lambda _: None)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
         levels, words = Levels(trie), np.uint64(trie.words)
-        owner = lambda k: levels.pair_segments((k // words).astype(np.int64), (k % words).astype(np.int64))
+        owner = lambda k: levels.segments_of((k // words).astype(np.int64), (k % words).astype(np.int64))
         pending, size = [], 0
         for block in _blocks(_tokens(batches)):
             distinct, where = np.unique(block, return_inverse=True)
-            ids = levels.find_words(distinct)[0][where]
             # blocks are whole texts, each closed by the end token, which is also the first word's context
-            pending.append(np.concatenate([ids[-1:], ids[:-1]]).astype(np.uint64) * words + ids.astype(np.uint64))
-            size += len(ids)
+            ids = levels.find_words(distinct)[0][where].astype(np.uint64)
+            pending.append(keys_of(levels, block, np.concatenate([ids[-1:], ids[:-1]]) * words + ids, ids))
+            size += len(pending[-1])
             if size >= PENDING:
                 yield from _emit(pending, owner, segments)
                 pending, size = [], 0
         if pending:
             yield from _emit(pending, owner, segments)
 
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gather(batches, lambda levels, block, pairs, ids: pairs)
+
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.uint64(trie.words)
+
+        def keys_of(levels: Levels, block: np.ndarray, pairs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+            distinct, where = np.unique(pairs, return_inverse=True)
+            numbers = levels.pair_ids((distinct // words).astype(np.int64), (distinct % words).astype(np.int64))[where]
+            inner = np.flatnonzero(block[:-1] != _END)  # the last of the context; a text's first word has no pair before it
+            return numbers[inner].astype(np.uint64) * words + ids[inner + 1]
+
+        return gather(batches, keys_of)
+
+    def split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys // np.uint64(trie.words)).astype(np.int64), (keys % np.uint64(trie.words)).astype(np.int64)
+
+    def write_level(name: str, segment: int, known: np.ndarray, universe: int, place: np.ndarray, words: np.ndarray, values: dict[str, np.ndarray]) -> None:
+        successors = place.astype(np.uint64) * np.uint64(trie.words) + words.astype(np.uint64)
+        write_arrays(f"{folder}/{name}-{segment}", EliasFano.build(known, universe).arrays("contexts") | EliasFano.build(successors, len(known) * trie.words).arrays("successors") | values)
+
     def finish_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(rows)
         segment, levels = int(rows["segment"].iloc[0]), Levels(trie)
-        contexts, words = (keys // np.uint64(trie.words)).astype(np.int64), (keys % np.uint64(trie.words)).astype(np.int64)
+        contexts, words = split(keys)
         known, place = np.unique(contexts, return_inverse=True)
         context_counts = levels.word_data(known)[0][place]
         distinct, where = np.unique(words, return_inverse=True)
         singles = 10 ** levels.word_data(distinct)[1][where]
         logs = np.log10((counts + prior * singles) / (context_counts + prior))
-        successors = place.astype(np.uint64) * np.uint64(trie.words) + words.astype(np.uint64)
-        write_arrays(
-            f"{folder}/pairs-{segment}",
-            EliasFano.build(known, trie.words).arrays("contexts") | EliasFano.build(successors, len(known) * trie.words).arrays("successors") | {"probabilities": quantise(logs)},
-        )
+        write_level("pairs", segment, known, trie.words, place, words, {"probabilities": quantise(logs)} | ({"counts": _narrow(counts)} if order > 2 else {}))
         return pd.DataFrame([(segment, len(keys))], columns=["segment", "pairs"])
 
-    built = texts.mapInArrow(count_pairs, _COUNTS).groupBy("segment").applyInPandas(finish_pairs, "segment int, pairs long")
-    have = {row["segment"] for row in built.collect()}  # one row per segment
-    for s in set(range(segments)) - have:
-        write_arrays(f"{folder}/pairs-{s}", EliasFano.build(np.zeros(0, np.uint64), 1).arrays("contexts") | EliasFano.build(np.zeros(0, np.uint64), 1).arrays("successors") | {"probabilities": np.zeros(0, np.uint8)})
+    def finish_triples(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merge(rows)
+        segment = int(rows["segment"].iloc[0])
+        contexts, words = split(keys)
+        known, place = np.unique(contexts, return_inverse=True)
+        write_level("triples", segment, known, trie.pairs, place, words, {"counts": _narrow(counts)})
+        return pd.DataFrame([(segment, len(keys))], columns=["segment", "triples"])
+
+    def build(name: str, count, finish, values: dict[str, np.ndarray]) -> list[int]:
+        """Keys before each segment of the level."""
+        built = texts.mapInArrow(count, _COUNTS).groupBy("segment").applyInPandas(finish, f"segment int, {name} long")
+        have = {row["segment"]: row[name] for row in built.collect()}  # one row per segment
+        none = np.zeros(0, np.int64)
+        for s in set(range(segments)) - set(have):
+            write_level(name, s, none, 1, none, none, values)
+        return np.cumsum([0, *(have.get(s, 0) for s in range(segments))]).tolist()
+
+    empty = np.zeros(0, np.uint8)
+    trie.pair_bases = build("pairs", count_pairs, finish_pairs, {"probabilities": empty, "counts": empty})
+    if order > 2:
+        build("triples", count_triples, finish_triples, {"counts": empty})
     return trie
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least unsigned type that holds them all."""
+    return counts.astype(np.min_scalar_type(counts.max()))
+
+
 def _blocks(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
     """Runs of whole texts, of TOGETHER tokens and more but for the last."""
     held, size = [], 0
@@ -308,9 +388,19 @@ def _score_block(levels: Levels, tokens: np.ndarray, lengths: np.ndarray) -> lis
         score = logs + np.where(before >= 0, np.log10(trie.prior / (context_counts + trie.prior)), 0.0)
         both = np.flatnonzero((ids >= 0) & (before >= 0))
         pairs, which = np.unique(before[both] * trie.words + ids[both], return_inverse=True)
-        found = levels.find_pairs(pairs // trie.words, pairs % trie.words)[which]
+        numbers, pair_counts, found = (x[which] for x in levels.find_pairs(pairs // trie.words, pairs % trie.words))
         hit = ~np.isnan(found)
         score[both[hit]] = found[hit]
+        if trie.order > 2:
+            pair_before, count_before = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+            pair_before[both], count_before[both] = numbers, pair_counts
+            pair_before, count_before = np.roll(pair_before, 1), np.roll(count_before, 1)
+            pair_before[starts] = -1  # a text's first word has no pair before it
+            at = np.flatnonzero(pair_before >= 0)
+            triple_counts, inner = np.zeros(len(at), np.int64), np.flatnonzero(ids[at] >= 0)
+            triples, which = np.unique(pair_before[at[inner]] * trie.words + ids[at[inner]], return_inverse=True)
+            triple_counts[inner] = levels.find_triples(triples // trie.words, triples % trie.words)[which]
+            score[at] = np.log10((triple_counts + trie.prior * 10 ** score[at]) / (count_before[at] + trie.prior))
     else:
         score = base
     return [lengths, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
@@ -344,7 +434,7 @@ def score_texts(docs: DataFrame, trie: Trie) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    trie = build_trie(docs.filter(~held_out))
+    trie = build_trie(docs.filter(~held_out), order=ORDER)
     scored = score_texts(docs, trie)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score"

@@ -137,6 +137,48 @@ def test_lm_scores_equal_exact_counts(spark, texts, odd_docs):
         assert abs(r.score - want) <= 0.06 * len(w)
 
 
+def test_lm_of_order_3_equals_exact_counts(spark, texts, odd_docs):
+    rows = [(i, t) for i, t, _ in texts[:40]] * 2 + [(r.doc_id, r.text) for r in odd_docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = docs.filter("doc_id % 5 <> 0 OR doc_id IS NULL")
+    scored = lm_scoring.score_texts(docs, lm_scoring.build_trie(train, segments=4, order=3)).select("doc_id", "text", "lm.*").collect()
+    assert len(scored) == len(rows)
+    tokens = lambda t: [*(w for w in (t or "").translate({c: c + 32 for c in range(65, 91)}).replace("\n", " ").replace("\t", " ").split(" ") if w), None]
+    one, two, three = Counter(), Counter(), Counter()
+    for r in train.collect():
+        w = tokens(r.text)
+        one.update(w)
+        two.update(zip([None, *w], w, strict=False))
+        three.update(zip([None, *w], w, w[1:], strict=False))
+    total, kinds = sum(one.values()), len(one)
+    once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    apart = 0
+    for r in scored:
+        w, want, lower = tokens(r.text), 0.0, 0.0
+        for i, x in enumerate(w):
+            a, b = w[i - 2] if i > 1 else None, w[i - 1] if i else None
+            p = (one[x] - discount) / total if one[x] else discount * kinds / total
+            p = (two[b, x] + 30 * p) / (one[b] + 30) if one[b] else p
+            lower += math.log10(p)
+            if i:
+                p = (three[a, b, x] + 30 * p) / (two[a, b] + 30)
+            want += math.log10(p)
+        assert abs(r.score - want) <= 0.03 * len(w)
+        apart += abs(lower - want) > 0.1 * len(w)
+    assert apart  # triples tell
+
+
+def test_query_scores_by_triples(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"l{k} word r{k}" for k in range(20))) for i in range(40)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.score for r in lm_scoring.op10_lm_score(spark, str(tmp_path)).filter("held_out").collect()]
+    held = docs.filter("pmod(crc32(cast(doc_id as string)), 7) = 2")
+    trained = docs.filter("pmod(crc32(cast(doc_id as string)), 7) <> 2")
+    pairs = [r.lm.score for r in lm_scoring.score_texts(held, lm_scoring.build_trie(trained)).collect()]
+    assert len(got) == len(pairs) > 0 and min(got) > max(pairs)
+
+
 def test_lm_with_nothing_to_learn_from(spark, odd_docs, no_docs):
     trie = lm_scoring.build_trie(no_docs)
     rows = lm_scoring.score_texts(odd_docs, trie).select("lm.*").collect()
