@@ -2,6 +2,8 @@
 
 A word's features are its hashed character n-grams (2 to 4 characters), those at its ends being its affixes, the
 word itself, and the lexicons that hold it: each language's words that occur in its training texts nearly alone.
+What has more than ``WIDEST`` letters between white space, as text written without spaces does, is cut into windows
+over its whole length, each a word of its own.
 Transitions between the labels of neighbouring words are learned with the features' weights, by the gradient of
 the conditional likelihood (forward-backward) on lines of at most ``CHAIN`` words. A text gets the language with
 the greatest sum of its words' posterior probabilities, which label code-switched text word by word; the score
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 MOST_ROWS, CHAIN, EPOCHS = 1500, 256, 30
-BITS, WIDEST, CACHE_WORDS = 18, 62, 300_000
+BITS, WIDEST, NGRAM, CACHE_WORDS = 18, 62, 4, 300_000
 LEXICON_WORDS, LEXICON_SHARE, LEXICON_COUNT = 20_000, 0.9, 3
 UNKNOWN = "und"
 
@@ -37,6 +39,21 @@ def letters_of(word: str) -> str:
     return (word if word.isalpha() else "".join(c for c in word if c.isalpha())).lower()
 
 
+def windows(word: str) -> list[str]:
+    """The word, or if it has more than WIDEST letters, windows of them of like length that share NGRAM - 1 with
+    the next, so that each n-gram lies in one of them."""
+    if 2 * len(word) <= WIDEST:  # no letter has more than two in lower case
+        return [word]
+    letters = word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    longer = len(letters.lower())
+    if longer <= WIDEST:
+        return [word]
+    shared = NGRAM - 1
+    width, rest = (WIDEST if longer == len(letters) else WIDEST // 2) - shared, max(len(letters) - shared, 1)
+    many = -(-rest // width)
+    return [letters[rest * i // many : rest * (i + 1) // many + shared] for i in range(many)]
+
+
 def _codes(words: list[str], width: int) -> np.ndarray:
     return np.array([f"\x02{w}\x03" for w in words], dtype=f"<U{width}").view(np.uint32).reshape(len(words), width).astype(np.int64)
 
@@ -122,6 +139,8 @@ def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarr
 def chains(text: str) -> Iterator[list[str]]:
     for line in text.split("\n"):
         words = line.split()
+        if len(line) > WIDEST // 2:
+            words = [part for word in words for part in windows(word)]
         for i in range(0, len(words), CHAIN):
             yield words[i : i + CHAIN]
 

@@ -41,6 +41,25 @@ def test_language_with_nothing_to_learn_from(odd_docs, no_docs):
     assert {r._l.lang_pred for r in odd_docs.withColumn("_l", language_id.language(None)).collect()} == {"und"}
 
 
+def test_long_unspaced_text_is_judged_over_its_whole_length(spark, texts):
+    model = language_id.fit([t for _, t, _ in texts], [x for _, _, x in texts], epochs=15)
+    begin, rest = (made_up(random.Random(i), lang, n).replace(" ", "") for i, lang, n in ((1, "en", 25), (2, "de", 120)))
+    assert len(begin) > language_id.WIDEST and len(rest) > 2 * len(begin)
+    told = spark.createDataFrame([(1, begin), (2, begin + rest), (3, begin + "," + rest)], "doc_id long, text string")
+    got = told.withColumn("_l", language_id.language(model)).orderBy("doc_id").select("_l.lang_pred").collect()
+    assert [r.lang_pred for r in got] == ["en", "de", "de"]
+
+
+def test_windows_of_long_words_hold_every_ngram():
+    for word in ("short", "a" * 62, "".join(chr(0x4E00 + i) for i in range(63)), "".join(chr(0x4E00 + i) for i in range(1000)), "ab,-" * 300, "\u0130" * 40, "\u0130x" * 200):
+        got = [language_id.letters_of(w) for w in language_id.windows(word)]
+        whole = language_id.letters_of(word)
+        assert all(len(w) <= language_id.WIDEST for w in got)
+        assert {whole[i : i + 4] for i in range(len(whole) - 3)} == {w[i : i + 4] for w in got for i in range(len(w) - 3)}
+    assert language_id.windows("a" * 62) == ["a" * 62]
+    assert [len(c) for c in language_id.chains("x" * 62 * 300)] == [language_id.CHAIN, 316 - language_id.CHAIN]
+
+
 def test_words_of_switched_text_are_labelled_one_by_one(texts):
     model = language_id.fit([t for _, t, _ in texts], [x for _, _, x in texts], epochs=15)
     words = made_up(random.Random(1), "de", 12).split() + made_up(random.Random(2), "fr", 12).split()
