@@ -38,14 +38,14 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of parts of about SLICE_BYTES; nulls as empty texts."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of parts of about size bytes; nulls as empty texts."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
@@ -64,8 +64,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lasts = offsets[1:][offsets[1:] > 0] - 1
     ends[lasts] = inside[lasts]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * _power("up", len(data)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts]
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return mix(hashes + (ends - starts).astype(np.uint64)), counts
+    return span_hashes(_LOWER[data], starts, ends), np.diff(np.searchsorted(starts, offsets))
+
+
+def span_hashes(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the numbers from each start up to each end."""
+    sums = np.zeros(len(numbers) + 1, np.uint64)
+    np.cumsum(numbers * _power("up", len(numbers)), out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * _power("down", len(numbers) + 1)[starts]
+    return mix(hashes + (ends - starts).astype(np.uint64))

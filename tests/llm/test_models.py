@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from draftlake.llm import language_id, lm_scoring, toxicity
@@ -112,11 +113,78 @@ def test_toxicity_of_held_out_texts(spark, odd_docs):
 def test_training_rows_leave_held_out_and_unlabelled_rows(spark):
     import zlib
 
-    docs = spark.createDataFrame([(i, f"t{i}") for i in range(60)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(60)] + [(0, "again")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 1), (None, 1), (7, None)], "doc_id long, toxic int")
-    got = toxicity.training_rows(docs, labels, (5, 10))
-    assert (got["toxic"] == 1).sum() == 5 and (got["toxic"] == 0).sum() == 10
+    got = toxicity.training_rows(docs, labels, toxicity.Bounds(toxic_rows=5, clean_rows=10)).toPandas()
+    assert (got["toxic"] == 1).sum() == 5 and (got["toxic"] == 0).sum() == 10 and got["doc_id"].is_unique
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in got["doc_id"])
+    few = toxicity.training_rows(docs, labels, toxicity.Bounds(toxic_bytes=9)).toPandas()
+    assert few[few["toxic"] > 0]["text"].str.len().sum() <= 9 and (few["toxic"] > 0).sum() in (3, 4)
+    assert toxicity.fit_rows(toxicity.training_rows(docs.limit(0), labels)) is None
+
+
+def kernel(a, b):
+    """Of two words with marks, by its definition: every choice of places within the steps allowed."""
+
+    def subsequences(word):
+        symbols, out = [63, *(" abcdefghijklmnopqrstuvwxyz".index(c) for c in word), 63], Counter()
+        for steps, weight in toxicity.PATTERNS:
+            for i in range(len(symbols)):
+                places = [i + sum(steps[:k]) for k in range(len(steps) + 1)]
+                if places[-1] < len(symbols):
+                    out[tuple(symbols[x] for x in places)] += weight
+        return out
+
+    x, y = subsequences(a), subsequences(b)
+    norm = lambda n: math.sqrt(sum(w * w * max(n + 2 - sum(s), 0) for s, w in toxicity.PATTERNS))
+    return sum(x[k] * y[k] for k in x) / norm(len(a)) / norm(len(b))
+
+
+def test_kernel_of_words_is_what_its_definition_says(rng):
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(20)] + ["moron", "moxron", "mron"]
+    (_, _, part), = toxicity.read(pa.array([" ".join(words)], pa.large_string()))
+    one, _ = part.ends()
+    codes = [part.text(i, one[i]) for i in range(len(words))]
+    known = np.unique(np.concatenate([n for c in codes for n, _, _ in toxicity.run_numbers(c)]))
+    x = toxicity._features(codes, known)
+    want = np.array([[kernel(a, b) for b in words] for a in words])
+    assert np.allclose(x @ x.T, want, atol=1e-5)
+    # a machine's scores of all words at once are its products with their vectors
+    weights = np.random.default_rng(1).normal(size=len(known)).astype(np.float32)
+    table = toxicity.ToxicityModel(known, weights, 0.0, 1.0, 0.0).table()
+    single, double = toxicity.phrase_scores(part, table)
+    assert np.allclose(single, x @ weights, atol=1e-4)
+    pairs = [part.text(i, part.ends()[1][i]) for i in range(len(words))]
+    assert np.allclose(double, toxicity._features(pairs, known) @ weights, atol=1e-4)
+    assert kernel("moron", "moxron") > 0.5 > kernel("moron", "abcde")
+
+
+def test_reading_parts_sentences_and_joins_letters():
+    signs = " abcdefghijklmnopqrstuvwxyz2689"
+    texts = pa.array(["You, m0r\u00b7on! a b c d\nx", None, "", "i.d.i.o.t\u200b s"], pa.large_string())
+    (first, end, part), = toxicity.read(texts)
+    one, _ = part.ends()
+    words = ["".join(signs[c] for c in part.text(i, one[i])[1:-1]) for i in range(len(one))]
+    assert (first, end) == (0, 4) and words == ["you", "moron", "abcd", "x", "idiot", "s"]
+    assert part.rows.tolist() == [0, 0, 0, 0, 3, 3] and len(set(part.sentences.tolist())) == 4
+
+
+def test_an_insult_of_two_ordinary_words_is_learned_in_spite_of_contrary_labels(rng):
+    rows = []
+    for i in range(600):
+        words = made_up(rng, "en", 40).split()
+        words[rng.randrange(20)], words[20 + rng.randrange(19)] = "empty", "head"  # apart they say nothing
+        toxic = int(i % 4 == 0)
+        if toxic or i in (1, 201):  # two clean documents hold it too
+            words[5:7] = ["empty", "head"]
+        rows.append((" ".join(words), toxic))
+    model = toxicity.fit([t for t, _ in rows[:450]], [y for _, y in rows[:450]])
+    right = 0
+    for text, toxic in rows[450:]:
+        (_, _, part), = toxicity.read(pa.array([text], pa.large_string()))
+        worst = np.maximum(*toxicity.phrase_scores(part, model.table())).max()
+        right += (model.probability(worst + model.bias) >= toxicity.THRESHOLD) == bool(toxic)
+    assert right >= 145
 
 
 @pytest.mark.parametrize(("n", "universe"), [(0, 5), (1, 10), (3, 3), (1000, 1 << 40), (5000, 5003), (20_000, 1 << 64)])
