@@ -14,80 +14,137 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise, salted_rank
+from .words import slices
 
 SIZE, CLOSING_ID = 2048, 1
-#: Distinct words whose ids a worker keeps, and the longest such word in bytes.
-CACHE_WORDS, CACHE_BYTES = 700_000, 64
-#: A control character that is one token, and words whose signs at the end the tokenizer parts from what is before.
+#: Distinct words, and bytes of words and ids, that a worker keeps before it begins anew; bytes of text encoded at once.
+CACHE_WORDS, CACHE_BYTES, TOGETHER = 500_000, 48 << 20, 4 << 20
+#: A control character that is one token; signs that the tokenizer parts from a letter or digit before them.
 PARTING = "\x1e"
-_SIGNS = re.compile(rb"(.*(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.DOTALL)
-_encoders: dict[str, WordEncoder] = {}
-
-
-class WordEncoder:
-    """Ids of a text as little-endian 32-bit bytes, word by word.
-
-    The tokenizer's pattern drops white space and lets no token span it, so a text's ids are its words' ids,
-    and most words recur.
-    """
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: A tokenizer is read word by word only if it gives the same ids so for these.
+PROBES = (
+    "Hello, World! It's a-b C++ (x) 3.14, 1,000.50 don't_x; <|end|> [MASK] </s> #tag @you",
+    "\u00c9T\u00c9 na\u00efve Stra\u00dfe, \u00d1and\u00fa. \u201cquoted\u201d \u2014 \u20ac5! \u00a0 \u4f60\u597d\uff0c\u4e16\u754c\u3002 \U0001f600!! \u0130x i\u0307",
+    " a  b\t\tc\n\nd \x1e e\x00f ... --- ,a .b 'c' \"d\" e'f g's h're AbC ABC abc aBc a1b2 1a 2b",
+)
+_encoders: dict[str, TextEncoder] = {}
+
+
+class TextEncoder:
+    """Ids of texts. Where the tokenizer's pattern drops white space and lets no token span it (see PROBES), a
+    text's ids are its words' ids, and most words recur; any other tokenizer is given whole texts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        (self.parting_id,) = self.tokenizer.encode(PARTING, add_special_tokens=False).ids
+        self.tokenizer = Tokenizer.from_file(path)
+        parting = self._ids(PARTING)
+        self.parting_id = int(parting[0]) if len(parting) == 1 else None
+        self.by_word, self.parts = False, False
+        self._clear()
+        for parts in (True, False):
+            if not self.by_word and self.parting_id is not None:
+                self.parts = parts
+                self._clear()
+                self.by_word = all(np.array_equal(self._words(pa.array([t], pa.large_string()))[0], self._ids(t)) for t in PROBES)
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.starts, self.lengths, self.ids, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words without PARTING, from one call: that character, one token of its own, parts them."""
-        ids = self._ids(f" {PARTING} ".join(w.decode("utf-8", "replace") for w in words))
-        ends = np.append(np.flatnonzero(ids == self.parting_id), len(ids)).tolist()
-        flat, out, start = ids.tobytes(), [], 0
-        for end in ends:
-            out.append(flat[4 * start : 4 * end])
-            start = end + 1
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Cache the ids of new words. Signs at a word's end are tokens apart, and case makes no difference, so
-        only what is left is encoded."""
-        cache, special, plain = self.cache, PARTING.encode(), []
-        for w in words:
-            if special in w or b"<|" in w:
-                cache[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
-            else:
-                core, signs = m.groups() if (m := _SIGNS.fullmatch(w)) else (w, b"")
-                plain.append((w, core.lower(), signs))
-        cache[b""] = b""
-        if new := list({x for _, core, signs in plain for x in (core, signs) if x not in cache}):
-            cache.update(zip(new, self._encode(new), strict=True))
-        for w, core, signs in plain:
-            cache[w] = cache[core] + cache[signs]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split, cache = [t.split() for t in texts], self.cache
-        new = set().union(*split).difference(cache)
-        if len(cache) + 2 * len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set().union(*split)
-        self._learn(list(new))
-        ids = [b"".join(map(cache.__getitem__, words)) for words in split]
-        if max(map(len, new), default=0) > CACHE_BYTES:
-            for w in [w for w in cache if len(w) > CACHE_BYTES]:
-                del cache[w]
-        return ids
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of new words without PARTING, from one call: that character, one token of its own, parts them."""
+        ids = self._ids(f" {PARTING} ".join(words))
+        cuts = np.flatnonzero(ids == self.parting_id)
+        starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+        self._keep(words, ids, starts, ends - starts)
+
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+        self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts + len(self.ids)]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        self.bytes += sum(map(len, words)) + ids.nbytes
+
+    def _split(self, words: pa.LargeStringArray) -> pa.LargeStringArray:
+        """Each word as two parts, lower-cased: without the signs at its end, and the signs."""
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        last = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(len(data)))) if len(data) else np.zeros(1, np.int64)
+        core = np.maximum(last[np.maximum(ends[1:] - 1, 0)], 0)  # the last byte that is no sign
+        byte, before = data[core] if len(data) else core, data[np.maximum(core - 1, 0)] if len(data) else core
+        letter = _LETTER[byte] | ((before == 0xC3) & (byte >= 0x80) & (byte != 0x97) & (byte != 0xB7))
+        middle = np.where((core >= ends[:-1]) & (core < ends[1:]) & letter, core + 1, ends[1:])
+        offsets = np.append(np.stack([ends[:-1], middle], axis=1).ravel(), ends[-1])
+        return pc.ascii_lower(pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(offsets.astype(np.int64)), words.buffers()[2] or pa.py_buffer(b"")))
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        if len(self.number) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self._clear()
+        distinct = words.dictionary
+        parts = (self._split(distinct) if self.parts else distinct).dictionary_encode()
+        found = parts.dictionary.to_numpy(zero_copy_only=False)
+        at = np.array([self.number.get(w, -1) for w in found], np.int64)
+        if len(fresh := np.flatnonzero(at < 0)):
+            new = [w if PARTING not in w else " " for w in found[fresh].tolist()]  # those are encoded whole below
+            at[fresh] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self._learn(new)
+        at = at[parts.indices.to_numpy()].reshape(len(distinct), -1)
+        ids, lengths = _gather(self.ids, self.starts[at].ravel(), self.lengths[at].ravel())
+        lengths = lengths.reshape(at.shape).sum(axis=1)
+        starts = np.cumsum(lengths) - lengths
+        special = pc.or_(pc.match_substring(distinct, PARTING), pc.match_substring(distinct, "<|"))
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            own = self._ids(distinct[i].as_py())
+            starts[i], lengths[i], ids = len(ids), len(own), np.concatenate([ids, own])
+        of = words.indices.to_numpy()
+        flat, counts = _gather(ids, starts[of], lengths[of])
+        ends, bounds = np.concatenate([[0], np.cumsum(counts)]), split.offsets.to_numpy()
+        return flat, np.diff(ends[bounds - bounds[0]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts end to end, number of ids of each)."""
+        if self.by_word:
+            return self._words(texts)
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ids end to end, and their lengths."""
+    ends = np.cumsum(lengths)
+    return ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
+def _cut(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(document, start, ids) of the pieces of documents laid end to end."""
+    closed = lengths + 1
+    ends = np.cumsum(closed)
+    flat = np.full(int(ends[-1]), CLOSING_ID, "<u4")
+    inner = np.ones(len(flat), bool)
+    inner[ends - 1] = False
+    flat[inner] = ids
+    many = -(-closed // size)
+    rows = np.repeat(np.arange(len(lengths)), many)
+    starts = (np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)) * size
+    offsets = np.append((ends - closed)[rows] + starts, len(flat)) * 4
+    return rows, starts, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
@@ -95,26 +152,20 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:  # kept while the worker lives
-            _encoders[tokenizer] = WordEncoder(tokenizer)
+            _encoders[tokenizer] = TextEncoder(tokenizer)
         encoder = _encoders[tokenizer]
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows, starts, ids, totals = [], [], [], []
-                for i, own in enumerate(encoder.encode([t or b"" for t in part.column(1).to_pylist()])):
-                    own += CLOSING_ID.to_bytes(4, "little")
-                    for start in range(0, len(own), 4 * size):
-                        rows.append(i)
-                        starts.append(start // 4)
-                        ids.append(own[start : start + 4 * size])
-                        totals.append(len(own) // 4)
+            for low, high, _, _ in slices(batch.column(1), TOGETHER):
+                texts = pc.fill_null(batch.column(1).slice(low, high - low).cast(pa.large_string()), "")
+                ids, lengths = encoder.encode(texts)
+                rows, starts, pieces = _cut(ids, lengths, size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(totals, pa.int64()), pa.array(ids, pa.binary())],
+                    [batch.column(0).slice(low, high - low).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(np.minimum(size, lengths[rows] + 1 - starts), pa.int32()), pa.array(lengths[rows] + 1, pa.int64()), pieces.cast(pa.binary())],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, start long, length int, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length int, doc_tokens long, ids binary")
 
 
 def shortest_pack_first(histogram: Mapping[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:

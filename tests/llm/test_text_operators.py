@@ -166,6 +166,19 @@ def test_packing_round_trip(odd_docs):
     assert len(by_doc) == len(texts)
 
 
+def test_a_tokenizer_that_is_not_read_word_by_word_is_given_whole_texts(odd_docs):
+    from pathlib import Path
+
+    path = str(Path(packing.default_tokenizer()).with_name("byte_bpe_50k.json"))
+    encoder = packing.TextEncoder(path)
+    assert not encoder.by_word and packing.TextEncoder(packing.default_tokenizer()).by_word
+    texts = [r.text or "" for r in odd_docs.collect()]
+    whole = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, lengths = encoder.encode(pa.array(texts, pa.large_string()))
+    assert ids.tolist() == [i for own in whole for i in own] and lengths.tolist() == [len(own) for own in whole]
+    assert packing.pack(odd_docs, path).count() == sum(-(-(len(own) + 1) // packing.SIZE) for own in whole)
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, packing.default_tokenizer()).count() == 0
 
