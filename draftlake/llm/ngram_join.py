@@ -9,15 +9,18 @@ Three orders are intersected before a pair is verified:
   document keeps come first and are never looked up. Documents that share a place in this prefix meet;
 - by another hash, among those kept.
 
-Equal sets are compared once. Where documents meet, each is first compared with up to three pivots (the least,
-the greatest and a random id there) and joined in components; only meeting places that still hold several
-components are then compared in full, in blocks. Whole sets lie in memory-mapped files of the shared folder, so
-that pairs are verified where they are found; a block returns a forest of its links, never its pairs. So no group of copies is expanded into its pairs, and no link between components is
-lost. Verification compares whole sets exactly, as 64-bit hashes of the shingles.
+Equal sets are one class, numbered, and compared once. Where classes meet, each is first compared with up to four
+pivots (the least, the greatest, a random one and the most central one: a base text, whose shingles its edited
+copies share, while they have some of their own) and joined in components; places that still hold several components
+give new pivots, and those that hold several even then are compared in full, in blocks. Whole sets lie in memory-mapped
+files of the shared folder, so that pairs are verified where they are found; a block returns a forest of its links, never its pairs. So no
+group of copies is expanded into its pairs, and no link between components is lost. Verification compares whole
+sets exactly, as 64-bit hashes of the shingles.
 
 Cases: documents without words have an empty set and link with nothing; with fewer words than a shingle's the
-whole sequence is the one shingle; a null text has no words; rows that share a doc_id are one vertex; null ids
-link with nothing (component null); an empty table gives an empty result; extra columns are kept.
+whole sequence is the one shingle; a null text has no words; rows that share a doc_id are one document, with the
+links of all its texts; null ids link with nothing (component null); an empty table gives an empty result; of other
+columns nothing is read or returned by ``link_documents``, and ``keep_one_each`` returns all.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from .shared import materialise, shared_dir
 from .words import mix, slices, word_hashes
 
 WORDS, PERCENT, BLOCK = 3, 90, 256
+#: Times that new pivots are compared before what is still apart is compared in full; seed of the blocks' spread.
+PIVOT_ROUNDS, SEED = 1, 5
 #: Sets and ids kept in one file of the shared folder, about.
 SETS_OF_FILE, IDS_OF_FILE = 2000, 1_000_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -113,31 +118,32 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 class SetStore:
-    """Whole shingle sets in memory-mapped files of the shared folder, found by doc_id."""
+    """Whole shingle sets in memory-mapped files of the shared folder, found by their class's number."""
 
     def __init__(self, folder: str, files: int) -> None:
         self.folder, self.files, self.open = folder, files, {}
 
-    def get(self, docs: np.ndarray) -> list[np.ndarray]:
-        """The sorted set of each document."""
-        out: list = [None] * len(docs)
-        owner = _owners(docs, self.files)
+    def get(self, numbers: np.ndarray, kind: str = "sets") -> list[np.ndarray]:
+        """The sorted set of each class, or the tokens that it looks up."""
+        out: list = [None] * len(numbers)
+        owner = _owners(numbers, self.files)
         for f in np.unique(owner).tolist():
-            if f not in self.open:
-                self.open[f] = map_arrays(f"{self.folder}/sets-{f}")
-            a = self.open[f]
+            if (kind, f) not in self.open:
+                self.open[kind, f] = map_arrays(f"{self.folder}/{kind}-{f}")
+            a = self.open[kind, f]
             at = np.flatnonzero(owner == f)
-            for i, k in zip(at.tolist(), np.searchsorted(a["docs"], docs[at]).tolist(), strict=True):
+            for i, k in zip(at.tolist(), np.searchsorted(a["numbers"], numbers[at]).tolist(), strict=True):
                 out[i] = a["data"][a["offsets"][k] : a["offsets"][k + 1]]
         return out
 
 
-def _owners(docs: np.ndarray, files: int) -> np.ndarray:
-    return (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(files)).astype(np.int64)
+def _owners(numbers: np.ndarray, files: int) -> np.ndarray:
+    return (mix(numbers.astype(np.int64).view(np.uint64)) % np.uint64(files)).astype(np.int64)
 
 
 def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
-    """Write the sets of the documents in met (doc, and the hashes of its set), about SETS_OF_FILE to a file.
+    """Write the sets of the classes in met (number, doc, the hashes of the set, index: the tokens that it looks up),
+    about SETS_OF_FILE to a file.
 
     The ids in met lie in mapped files too, so that texts are picked where they are read and never shuffled.
     """
@@ -147,44 +153,59 @@ def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
     store, id_files = SetStore(folder, 1 + many // SETS_OF_FILE), 1 + many // IDS_OF_FILE
 
     def write_ids(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc")
-        write_arrays(f"{folder}/ids-{rows['file'].iloc[0]}", {c: rows[c].to_numpy().astype(np.int64) for c in ("doc", "one", "two")})
+        rows = rows.sort_values(["doc", "number"])
+        write_arrays(f"{folder}/ids-{rows['file'].iloc[0]}", {c: rows[c].to_numpy().astype(np.int64) for c in ("doc", "number", "one", "two")})
         return rows.iloc[:1][["file"]]
 
     spread = F.pandas_udf(lambda d: pd.Series(_owners(d.to_numpy(), id_files)), "long")
-    written = {r["file"] for r in met.withColumn("file", spread("doc")).groupBy("file").applyInPandas(write_ids, "file long").collect()}  # a row per file
+    met.select("doc", "number", "one", "two", spread("doc").alias("file")).groupBy("file").applyInPandas(write_ids, "file long").count()
+    spread_sets = F.pandas_udf(lambda d: pd.Series(_owners(d.to_numpy(), store.files)), "long")
+
+    def write_lists(rows: pd.DataFrame, kind: str, column: str, of) -> pd.DataFrame:
+        rows = rows.drop_duplicates("number").sort_values("number")
+        lists = [of(x) for x in rows[column]]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        write_arrays(f"{folder}/{kind}-{rows['file'].iloc[0]}", {"numbers": rows["number"].to_numpy().astype(np.int64), "offsets": offsets, "data": np.concatenate(lists)})
+        return rows.iloc[:1][["file"]]
+
+    index = met.select("number", "index", spread_sets("number").alias("file")).groupBy("file")
+    index.applyInPandas(lambda rows: write_lists(rows, "index", "index", lambda x: np.asarray(x, np.int64)), "file long").count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {f: map_arrays(f"{folder}/ids-{f}") for f in written}
+        ids: dict[int, dict[str, np.ndarray]] = {}
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(0)))
             doc = batch.column(0).to_numpy()
-            owner, hashes = _owners(doc, id_files), {}
+            owner = _owners(doc, id_files)
+            wanted: dict[int, dict[tuple[int, int], int]] = {}  # row: number of each set that its id stands for
             for f in np.unique(owner).tolist():
-                if f in ids:
-                    at, a = np.flatnonzero(owner == f), ids[f]
-                    place = np.searchsorted(a["doc"], doc[at]).clip(max=len(a["doc"]) - 1)
-                    hit = a["doc"][place] == doc[at]
-                    hashes.update(zip(at[hit].tolist(), zip(a["one"][place[hit]].tolist(), a["two"][place[hit]].tolist(), strict=True), strict=True))
-            rows = sorted(hashes)
+                if f not in ids:
+                    ids[f] = _mapped_ids(folder, f)
+                a, at = ids[f], np.flatnonzero(owner == f)
+                low, high = (np.searchsorted(a["doc"], doc[at], side) for side in ("left", "right"))
+                for i, l, h in zip(*(x[high > low].tolist() for x in (at, low, high)), strict=True):
+                    wanted[i] = {(int(a["one"][k]), int(a["two"][k])): int(a["number"][k]) for k in range(l, h)}
+            rows = sorted(wanted)
             part = batch.take(pa.array(rows, pa.int64()))
             sets = list(shingle_sets(part.column(1), words))
-            mine = [i for i, s in enumerate(sets) if _hashes(s) == hashes[rows[i]]]
-            doc = part.column(0).to_numpy()[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(_owners(doc, store.files), pa.int64()), pa.array([sets[i].tobytes() for i in mine], pa.binary())], names=["doc", "file", "set"])
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("doc").sort_values("doc")
-        sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        write_arrays(f"{folder}/sets-{rows['file'].iloc[0]}", {"docs": rows["doc"].to_numpy().astype(np.int64), "offsets": offsets, "data": np.concatenate(sets)})
-        return rows.iloc[:1][["file"]]
+            mine = [(n, s.tobytes()) for r, s in zip(rows, sets, strict=True) if (n := wanted[r].get(_hashes(s))) is not None]
+            number = np.array([n for n, _ in mine], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(_owners(number, store.files), pa.int64()), pa.array([s for _, s in mine], pa.binary())], names=["number", "file", "set"])
 
     if many:
-        docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "doc long, file long, set binary").groupBy("file").applyInPandas(write, "file long").count()
+        sets = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "number long, file long, set binary").groupBy("file")
+        sets.applyInPandas(lambda rows: write_lists(rows, "sets", "set", lambda x: np.frombuffer(x, np.uint64)), "file long").count()
     return store
 
 
+def _mapped_ids(folder: str, file: int) -> dict[str, np.ndarray]:
+    """The ids of a file; a file that no id fell to isn't there."""
+    try:
+        return map_arrays(f"{folder}/ids-{file}")
+    except FileNotFoundError:
+        return {c: np.zeros(0, np.int64) for c in ("doc", "number", "one", "two")}
+
+
 def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
     """How many elements each two of the lists share."""
     owner = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
@@ -243,95 +264,130 @@ def _pivot_links(pairs: DataFrame, store: SetStore, percent: int) -> DataFrame:
     return pairs.select("a", "b").mapInPandas(run, "a long, b long")
 
 
-def _block_links(places: DataFrame, kept: DataFrame, parts: DataFrame, store: SetStore, percent: int, block: int) -> DataFrame:
-    """Links between different components among the documents that meet in places (token, doc), as forests.
+def _mixed(places: DataFrame, parts: DataFrame) -> DataFrame:
+    """places (token, doc, central) with component, as far as a place still holds several components."""
+    labelled = places.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1 AND m > 3")
+    return labelled.join(several.select("token", "m"), "token")
+
+
+def _next_pivots(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a place's documents with its most central document, and with the most central one of another
+    component, where they're of different components."""
+    best = F.struct("central", F.xxhash64("doc"), "doc", "component")
+    by_part = mixed.groupBy("token", "component").agg(F.max(best).alias("p"), F.count(F.lit(1)).alias("n"))
+    # the components with the most documents of the place
+    tops = by_part.groupBy("token").agg(F.max(F.struct("n", "p")).alias("first"), F.min(F.struct("n", "p")).alias("last"))
+    met = mixed.join(tops.select("token", F.array("first.p", "last.p").alias("pivots")), "token")
+    met = met.select("doc", "component", F.explode("pivots").alias("p")).filter("component <> p.component")
+    return met.select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
+
+
+def _block_links(mixed: DataFrame, store: SetStore, percent: int, block: int) -> DataFrame:
+    """Links between different components among the documents that meet in places (token, doc, component, m), as
+    forests.
 
-    A pair counts where it first meets: blocks hold each document's places, and leave a pair to a lesser token.
+    The documents of a place are dealt into chunks of about block, and chunks meet in pairs: a row is two chunks, as
+    arrays of numbers. A pair counts where it first meets: it's left to a lesser token that both look up.
     """
-    labelled = places.join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    # where three or fewer meet, the pivots have been compared with all others
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1 AND m > 3").select("token", F.ceil(F.col("m") / block).cast("int").alias("k"))
-    spread = labelled.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-    # block pair (i, j), i <= j: a document of chunk c is in the pairs (c, j) and (i, c)
-    blocks = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "token", "doc", "component", (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("both")
-    )
-    loaded = blocks.join(kept.select("doc", "n", "index"), "doc").repartition("key").sortWithinPartitions("key", "token")
-
-    def compare(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        token, docs, comps, n, right, both = (group[c] for c in ("token", "doc", "component", "n", "right", "both"))
-        ok = (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (comps[:, None] != comps[None, :])
-        ok &= (both[:, None] & both[None, :]) | (right[:, None] != right[None, :])
-        ok &= token[:, None] == token[None, :]
-        if ok.any():
-            ok &= _shared_counts([i[i < t] for i, t in zip(group["index"], token.tolist(), strict=True)]) == 0
-        x, y = np.nonzero(np.triu(ok, 1))
-        if not len(x):
-            return x, y
-        used, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-        good = _linked(store.get(docs[used]), where[: len(x)], where[len(x) :], percent)
-        return forest(docs[x[good]], docs[y[good]]) if good.any() else (x[:0], y[:0])
+    chunks = (
+        mixed.withColumn("k", F.ceil(F.col("m") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+        .groupBy("token", "k", "mine").agg(F.collect_list(F.struct("doc", "component")).alias("docs"))
+    )
+    # chunk pair (i, j), i <= j: chunk c is in the pairs (c, j) and (i, c)
+    met = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") <= F.col("other"), F.col("docs")).alias("l"), F.when(F.col("mine") >= F.col("other"), F.col("docs")).alias("r"))
+    pairs = met.groupBy("token", "i", "j").agg(F.first("l", ignorenulls=True).alias("l"), F.first("r", ignorenulls=True).alias("r"))
+    pairs = pairs.filter("l IS NOT NULL AND r IS NOT NULL").select("token", F.col("l.doc").alias("ld"), F.col("l.component").alias("lc"), F.col("r.doc").alias("rd"), F.col("r.component").alias("rc"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = batch["key"].iloc[-1]
-            held = batch[batch["key"] == last]
-            yield from each(batch[batch["key"] != last])
-        if held is not None:
-            yield from each(held)
-
-    def each(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if not len(batch):
-            return
-        columns = {c: batch[c].to_numpy() for c in ("token", "doc", "component", "n", "right", "both")}
-        columns["index"] = np.empty(len(batch), object)
-        columns["index"][:] = [np.asarray(i, np.int64) for i in batch["index"]]
-        keys = batch["key"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
-        found = [compare({c: v[low:high] for c, v in columns.items()}) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(a):
-            a, b = forest(a, b)
-            yield pd.DataFrame({"a": a, "b": b})
-
-    return loaded.mapInPandas(run, "a long, b long")
+            found = [x for x in (compare(*row) for row in batch.itertuples(index=False, name=None)) if len(x[0])]
+            if found:
+                a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield pd.DataFrame({"a": a, "b": b})
+
+    def compare(token: int, ld: np.ndarray, lc: np.ndarray, rd: np.ndarray, rc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        docs, at = np.unique(np.concatenate([ld, rd]), return_inverse=True)
+        sets, index = store.get(docs), store.get(docs, "index")
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        x, y = at[: len(ld)], at[len(ld) :]
+        ok = (lc[:, None] != rc[None, :]) & (100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :]))
+        i, j = np.nonzero(ok)
+        pair = np.unique(np.minimum(x[i], y[j]) * len(docs) + np.maximum(x[i], y[j]))
+        x, y = pair // len(docs), pair % len(docs)
+        if len(x):  # but for those that meet at a lesser token too
+            used, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+            first = _shared_counts([index[u][index[u] < token] for u in used.tolist()])[where[: len(x)], where[len(x) :]] == 0
+            x, y = x[first], y[first]
+        good = _linked(sets, x, y, percent) if len(x) else np.zeros(0, bool)
+        return forest(docs[x[good]], docs[y[good]]) if good.any() else (x[:0], y[:0])
+
+    return pairs.repartition(F.rand(SEED)).mapInPandas(run, "a long, b long")
+
+
+def _classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets, numbered: (number, n, one, two, doc: least id); and (id_, number) of the rows with one.
+
+    A class is a vertex of its own, whatever ids its rows have.
+    """
+    whole = ["n", "one", "two"]
+    classes = profiles.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*whole).agg(F.min("doc_id").cast("long").alias("doc"))
+    classes = materialise(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    return classes, materialise(profiles.join(classes.select("number", *whole), whole, "left").select("doc_id", "n", "number"), "members")
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    docs = docs.drop("n_shingles", "component_id")
     profiles = materialise(_profiles(docs, words, percent), "shingles")
     whole = ["n", "one", "two"]
-    classes = materialise(profiles.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*whole).agg(F.min("doc_id").cast("long").alias("doc")), "classes")
-    # one vertex for each representative
-    chosen = classes.groupBy("doc").agg(F.min(F.struct(*whole)).alias("c")).select("doc", "c.*")
-    reps = profiles.select(F.col("doc_id").cast("long").alias("doc"), *whole, "kept").join(chosen, ["doc", *whole]).dropDuplicates(["doc", *whole])
+    classes, members = _classes(profiles)
+    # the row that stands for a class
+    reps = profiles.select(F.col("doc_id").cast("long").alias("doc"), *whole, "kept").join(classes, ["doc", *whole]).dropDuplicates(["number"])
     # how many representatives keep a shingle; what only one keeps can't be shared
-    tokens = reps.select("doc", F.explode("kept").alias("token")).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
-    ranked = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")).join(chosen, "doc")
+    tokens = reps.select("number", F.explode("kept").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    tokens = tokens.join(often, "token")
+    ranked = tokens.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")).join(classes, "number")
     alone = _of_n(kept_size, percent) - F.size("ranked")
+    # a base text has no shingles of its own, its edited copies have: it meets more documents in the mean
+    central = F.aggregate("ranked", F.lit(0.0), lambda total, r: total + F.log(r["df"].cast("double"))) / _of_n(kept_size, percent)
     kept = materialise(
         ranked.withColumn("look", _of_n(prefix_size, percent) - alone).filter("look > 0").select(
-            "doc", *whole, F.transform(F.slice("ranked", F.lit(1), F.col("look").cast("int")), lambda r: r["token"]).alias("index"),
+            F.col("number").alias("doc"), central.alias("central"), F.transform(F.slice("ranked", F.lit(1), F.col("look").cast("int")), lambda r: r["token"]).alias("index"),
         ),
         "kept",
     )
-    looked = kept.select("doc", F.explode("index").alias("token"))
-    pivots = looked.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min_by("doc", F.xxhash64("doc")).alias("mid")).filter("low <> high")
+    looked = kept.select("doc", "central", F.explode("index").alias("token"))
+    pick = [F.min("doc").alias("low"), F.max("doc").alias("high"), F.max(F.struct("central", "doc")).alias("top"), F.min_by("doc", F.xxhash64("doc")).alias("mid")]
+    pivots = looked.groupBy("token").agg(*pick).filter("low <> high").select("token", "low", "high", F.col("top.doc").alias("top"), "mid")
     places = materialise(looked.join(pivots, "token"), "places")
-    pairs = places.select("doc", F.explode(F.array_distinct(F.array("low", "mid", "high"))).alias("pivot")).filter("doc <> pivot")
+    pairs = places.select("doc", F.explode(F.array_distinct(F.array("top", "low", "mid", "high"))).alias("pivot")).filter("doc <> pivot")
     pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-    store = _store_sets(docs, kept.join(places.select("doc"), "doc", "left_semi").select("doc", "one", "two"), words)
+    met = kept.join(places.select("doc"), "doc", "left_semi").select(F.col("doc").alias("number"), "index").join(classes, "number")
+    store = _store_sets(docs, met, words)
     parts = materialise(connected_components(_pivot_links(pairs, store, percent)), "parts")
-    rest = materialise(_block_links(places.select("token", "doc"), kept, parts, store, percent, block), "links-rest")
-    if not rest.isEmpty():
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
-    of = classes.join(parts.withColumnRenamed("id", "doc"), "doc", "left").select(*[F.col(c).alias(f"_{c}") for c in whole], F.coalesce("component", "doc").alias("_component"))
-    same = [F.col(c) == F.col(f"_{c}") for c in whole]
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", F.col("doc_id").cast("long")))
-    return profiles.join(of, same, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    places = places.select("token", "doc", "central")
+    for _ in range(PIVOT_ROUNDS):
+        more = materialise(_pivot_links(_next_pivots(_mixed(places, parts)), store, percent), "links-more")
+        if more.isEmpty():
+            break
+        parts = materialise(connected_components(_edges(parts).unionByName(more)), "parts")
+    rest = materialise(_block_links(_mixed(places, parts), store, percent, block), "links-rest")
+    # rows that share an id are one document, whatever their sets
+    by_id = members.filter("number IS NOT NULL").groupBy("doc_id").agg(F.min("number").alias("a"), F.collect_set("number").alias("b")).filter("size(b) > 1")
+    by_id = materialise(by_id.select("a", F.explode("b").alias("b")), "links-ids")
+    if not (rest.isEmpty() and by_id.isEmpty()):
+        parts = materialise(connected_components(_edges(parts).unionByName(rest).unionByName(by_id)), "parts")
+    labelled = classes.select("number", "doc").join(parts.withColumnRenamed("id", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+    least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = labelled.join(least, "component").select("number", "component_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id").cast("long")))
+    return members.join(named, "number", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _edges(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def keep_one_each(docs: DataFrame, **options) -> DataFrame:

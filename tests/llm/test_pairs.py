@@ -71,15 +71,45 @@ def test_jaccard_join_of_odd_documents(odd_docs, no_docs):
     assert ngram_join.link_documents(no_docs).count() == 0
 
 
-@pytest.mark.parametrize(("n", "percent"), [(n, 90) for n in range(1, 400)])
-def test_kept_prefixes_share_enough(n, percent):
-    """The filters' sizes hold for the pairs that differ most."""
-    for m in range(n, n * 100 // percent + 1):
-        for both in range(max(0, n - 60), n + 1):
-            if 100 * both >= percent * (n + m - both):
-                sure = ngram_join.extra(ngram_join.least_overlap(n, percent))
-                assert n - both + sure <= max(ngram_join.kept_size(n, percent), n - both + sure) and n - both + sure <= ngram_join.kept_size(n, percent)
-                assert m - both + sure <= ngram_join.kept_size(m, percent)
+def test_kept_prefixes_share_enough():
+    """The filters' sizes hold for the pairs that share the fewest elements, at every size and at two thresholds."""
+    for percent in (80, 90):
+        for n in range(1, 400):
+            sure = ngram_join.extra(ngram_join.least_overlap(n, percent))
+            for m in range(n, n * 100 // percent + 1):
+                both = -(-percent * (n + m) // (100 + percent))  # fewest that link
+                if both > n:
+                    continue
+                # all but size - both of a set's elements are shared, so at least sure of the kept ones are
+                for size in (n, m):
+                    assert ngram_join.kept_size(size, percent) - (size - both) >= sure
+                    # within any order of the kept elements, one of the shared ones is in the prefix
+                    assert ngram_join.kept_size(size, percent) - sure + 1 <= ngram_join.prefix_size(size, percent)
+
+
+def test_texts_that_share_an_id_are_compared_each(spark, rng):
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c = (sentence(rng, words, 60) for _ in range(3))
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b + " more"), (3, c), (9, a + " more"), (5, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.link_documents(docs).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
+def test_edited_copies_of_one_base_are_one_component(spark, rng):
+    """Copies that are too far from each other, but all near their base."""
+    words = [f"w{i}" for i in range(5000)]
+    base = sentence(rng, words, 200).split()
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for k in range(3):
+            copy[5 + 5 * i % 180 + 3 * k] = f"own{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    rows.append((100, " ".join(base)))
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    assert got == least_reachable(sets, links) and set(got.values()) == {0}
 
 
 def test_pairs_link_alike_one_by_one_and_at_once():

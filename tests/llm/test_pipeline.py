@@ -1,10 +1,6 @@
 """Stages of the corpus pipeline."""
 
-import pytest
-
 import corpus_pipeline
-from draftlake.llm import ngram_join
-
 from .conftest import sentence
 
 
@@ -30,18 +26,3 @@ def test_near_copies_are_judged_on_five_words(spark, rng):
     assert similarity(texts[0], texts[2], 5) < 0.8 and similarity(texts[1], texts[2], 5) < 0.8
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
-
-
-@pytest.mark.parametrize("n", range(1, 200))
-def test_kept_prefixes_share_enough_at_80_percent(n):
-    percent = 80
-    for m in range(n, n * 100 // percent + 1):
-        both = -(-percent * (n + m) // (100 + percent))  # fewest that link
-        if both > n:
-            continue
-        low = ngram_join.least_overlap(n, percent)
-        sure = ngram_join.extra(low)
-        for size in (n, m):
-            assert size - both + sure <= ngram_join.kept_size(size, percent)
-            # within any order of the kept elements, one of the shared ones is in the prefix
-            assert ngram_join.kept_size(size, percent) - sure + 1 <= ngram_join.prefix_size(size, percent)
