@@ -63,14 +63,30 @@ class EliasFano:
             bits = np.where(go, bits >> np.uint64(width), bits)
         return np.where(beyond, len(self.high) * 64, word * 64 + place)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, or -1: the values that share its high part are searched by their low bits."""
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places: select of their ones, and their low bits."""
+        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)  # before each word
+        word = np.searchsorted(ones, at, "right") - 1
+        left, bits, place = (at - ones[word]).astype(np.uint64), self.high[np.minimum(word, len(self.high) - 1)], np.zeros(len(at), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            here = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.uint64)
+            go = left >= here
+            left = np.where(go, left - here, left)
+            place += go * width
+            bits = np.where(go, bits >> np.uint64(width), bits)
+        return ((word * 64 + place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
+    def find(self, values: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Index of each value, or -1: the values that share its high part are searched by their low bits. within:
+        the first and the end place where each may lie."""
         out = np.full(len(values), -1, np.int64)
         if not self.count or not len(values):
             return out
         part = (values >> np.uint64(self.low_bits)).astype(np.int64)
         first = np.where(part > 0, self._select0(np.maximum(part - 1, 0)) + 1 - part, 0)
         end = np.minimum(self._select0(part) - part, self.count)
+        if within is not None:
+            first, end = np.maximum(first, within[0]), np.minimum(end, within[1])
         want = values & np.uint64((1 << self.low_bits) - 1)
         active = np.flatnonzero(first < end)
         low, high = first[active], end[active]
@@ -126,7 +142,8 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped. From a store that isn't mounted the file is copied first."""
+    """The arrays of a file, memory-mapped. From a store that isn't mounted the file is copied first; the copy goes
+    with the mapping."""
     if not (path := _local(uri)):
         from pyarrow import fs
 
@@ -135,7 +152,10 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         with os.fdopen(handle, "wb") as out, store.open_input_stream(remote) as source:
             while block := source.read(1 << 24):
                 out.write(block)
-    raw = np.memmap(path, np.uint8, "r")
+        raw = np.memmap(path, np.uint8, "r")
+        os.unlink(path)
+    else:
+        raw = np.memmap(path, np.uint8, "r")
     size = int.from_bytes(raw[:8].tobytes(), "little")
     entries = json.loads(raw[8 : 8 + size].tobytes())
     start = 8 + size

@@ -1,23 +1,26 @@
 """Language-model scores from an n-gram trie in Elias-Fano coded, memory-mapped levels.
 
 Level 1 holds the words as sorted hashes, each with its exact count and its quantised probability; a word's rank
-is its number. Level 2 holds word pairs: the contexts' numbers as one monotone sequence, and for each context its
-successors' numbers, made monotone over the whole segment by the context's place in it, with quantised
-probabilities. A pair is looked up by finding the context, then searching for the successor relative to it. A pair's
-number is its place in level 2. Level 3, in a trie of order 3, holds word triples alike: pairs' numbers as contexts,
-and counts instead of probabilities. The levels are cut into segments, one file each in the shared folder: level 1
-by the hash's leading bits, levels 2 and 3 by a hash of the context and the successor's range, so that a frequent
-context's successors are spread.
-
-Single words get discounted relative frequencies, and what is discounted goes to the unknown word. Pairs are
-smoothed towards the single word with a Dirichlet prior of ``prior`` counts, triples alike towards the pair; what a
-level doesn't hold is scored by the one below. Documents begin in the context of the end token; their first word is
-scored as a pair. Counting is partial in the tasks, then merged by segment; nothing of the corpus passes the driver
-but one row of totals per segment.
+is its number. Level 2 holds word pairs: the contexts' numbers as one monotone sequence, the pointers to each
+context's successors as another, and the successors' numbers, made monotone by the last value of the range before, with
+quantised probabilities. A pair is looked up by finding the context, following its pointers, and searching for the successor
+relative to the range they bound. A pair's number is its place in level 2. Level 3, in a trie of order 3, holds word
+triples alike: pairs' numbers as contexts, and counts instead of probabilities. The levels are cut into segments of
+about ``segment_bytes`` of text, one file each in the shared folder: level 1 by the hash's leading bits, levels 2 and 3 by a
+hash of the context and the successor's range, so that a frequent context's successors are spread.
+
+Single words get discounted relative frequencies; what is discounted is shared out among as many unseen words as
+Chao's estimate says there are. Pairs are smoothed towards the single word with a Dirichlet prior of ``prior`` counts, triples alike
+towards the pair; what a level doesn't hold is scored by the one below. Documents begin in the context of the end
+token; their first word is scored as a pair. Counting is partial in the tasks, then merged by segment; nothing of
+the corpus passes the driver but one row of totals per segment. Words are told apart by 64-bit hashes: two words of
+a vocabulary of 10^9 share one with a chance of 3 %, and would then share their counts.
+
+Logarithms are quantised in 255 steps from 0 to below the least that a word or pair of the corpus gets.
 
 Cases: a null or empty text is the end token alone; repeated rows count each; with nothing to learn from, N and V
 are 0 and the model's score is the base score; an empty table gives an empty result; extra columns are kept by
-``score_texts``.
+``score_texts``, but for ``lm``, which is replaced.
 """
 
 from __future__ import annotations
@@ -38,20 +41,20 @@ from .words import mix, slices, word_hashes
 
 PRIOR, DISCOUNT_DEFAULT, ORDER = 30.0, 0.5, 3
 #: Keys that a task gathers before it hands on a partial count, tokens that are looked up together.
-PENDING, TOGETHER = 2_000_000, 400_000
+PENDING, TOGETHER = 1_000_000, 400_000
 SLICES_OF_CONTEXT = 64
-#: Steps of quantised -log10(p).
-STEP = 0.05
+#: Bytes of text that a segment stands for: about as many words as a task has to merge. Larger executors can take more.
+SEGMENT_BYTES, FEWEST_SEGMENTS = 6 << 20, 64
 _END = mix(np.array([0x656E64], np.uint64))[0]
 _COUNTS = "segment int, keys binary, counts binary"
 
 
-def quantise(log10p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10p / STEP), 0, 255).astype(np.uint8)
+def quantise(log10p: np.ndarray, step: float) -> np.ndarray:
+    return np.rint(-log10p / step).astype(np.uint8)
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    return code.astype(np.float64) * -STEP
+def restore(code: np.ndarray, step: float) -> np.ndarray:
+    return code.astype(np.float64) * -step
 
 
 def _planes(sorted_keys: np.ndarray) -> bytes:
@@ -85,7 +88,9 @@ class Trie:
     tokens: int
     unknown: float
     prior: float
-    order: int = 2
+    order: int = ORDER
+    #: Of the quantised -log10(p): no word or pair of so many tokens gets more than 255.
+    step: float = 1.0
     #: As bases (words before each segment): pairs before each segment of level 2.
     pair_bases: list[int] = field(default_factory=lambda: [0])
 
@@ -111,19 +116,25 @@ class Levels:
     def level1(self, segment: int) -> tuple:
         if segment not in self.first:
             a = map_arrays(f"{self.trie.folder}/words-{segment}")
-            self.first[segment] = EliasFano.of(a, "keys"), a["counts"], a["probabilities"]
+            self.first[segment] = EliasFano.of(a, "keys"), a["counts"], map_arrays(f"{self.trie.folder}/word-probabilities-{segment}")["probabilities"]
         return self.first[segment]
 
-    def level2(self, segment: int) -> tuple:
+    def _level(self, name: str, segment: int) -> tuple | None:
+        """Contexts, pointers, successors and values; None for a segment that no key fell to."""
+        try:
+            a = map_arrays(f"{self.trie.folder}/{name}-{segment}")
+        except FileNotFoundError:
+            return None
+        return *(EliasFano.of(a, part) for part in ("contexts", "pointers", "successors")), a.get("probabilities"), a.get("counts")
+
+    def level2(self, segment: int) -> tuple | None:
         if segment not in self.second:
-            a = map_arrays(f"{self.trie.folder}/pairs-{segment}")
-            self.second[segment] = EliasFano.of(a, "contexts"), EliasFano.of(a, "successors"), a["probabilities"], a.get("counts")
+            self.second[segment] = self._level("pairs", segment)
         return self.second[segment]
 
-    def level3(self, segment: int) -> tuple:
+    def level3(self, segment: int) -> tuple | None:
         if segment not in self.third:
-            a = map_arrays(f"{self.trie.folder}/triples-{segment}")
-            self.third[segment] = EliasFano.of(a, "contexts"), EliasFano.of(a, "successors"), a["counts"]
+            self.third[segment] = self._level("triples", segment)
         return self.third[segment]
 
     def find_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +148,7 @@ class Levels:
                 hit = at >= 0
                 ids[low:high][hit] = at[hit] + self.bases[segment]
                 counts[low:high][hit] = own_counts[at[hit]]
-                logs[low:high][hit] = restore(own_logs[at[hit]])
+                logs[low:high][hit] = restore(own_logs[at[hit]], self.trie.step)
         return ids, counts, logs
 
     def word_data(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +157,7 @@ class Levels:
         for segment, low, high in _ranges(np.searchsorted(self.bases, ids, "right") - 1):
             _, own_counts, own_logs = self.level1(segment)
             at = ids[low:high] - self.bases[segment]
-            counts[low:high], logs[low:high] = own_counts[at], restore(own_logs[at])
+            counts[low:high], logs[low:high] = own_counts[at], restore(own_logs[at], self.trie.step)
         return counts, logs
 
     def segments_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -155,16 +166,26 @@ class Levels:
         return (mix((contexts * SLICES_OF_CONTEXT + part).astype(np.uint64)) % np.uint64(self.trie.segments)).astype(np.int64)
 
     def _found(self, level, contexts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray]]:
-        """For each segment: itself, its data, positions of the keys that it holds, their places in it."""
+        """For each segment: itself, its data, positions of the keys that it holds, their places in it. The keys come
+        in the order of (context, word)."""
         owner = self.segments_of(contexts, words)
         order = np.argsort(owner, kind="stable")
         for segment, low, high in _ranges(owner[order]):
             at, data = order[low:high], level(segment)
-            context = data[0].find(contexts[at].astype(np.uint64))
-            hit = np.flatnonzero(context >= 0)
-            place = data[1].find((context[hit] * self.trie.words + words[at[hit]]).astype(np.uint64))
+            if data is None:
+                continue
+            own = contexts[at]
+            firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            context = data[0].find(own[firsts].astype(np.uint64))
+            known = context >= 0
+            begin, end = (data[1].access(context[known] + k).astype(np.int64) for k in (0, 1))
+            before = np.where(begin > 0, data[2].access(np.maximum(begin - 1, 0)), 0).astype(np.int64)
+            many = np.diff(np.append(firsts, len(own)))
+            at = at[np.repeat(known, many)]
+            begin, end, before = (np.repeat(x, many[known]) for x in (begin, end, before))
+            place = data[2].find((before + words[at] + 1).astype(np.uint64), (begin, end))
             found = place >= 0
-            yield segment, data, at[hit[found]], place[found]
+            yield segment, data, at[found], place[found]
 
     def find_pairs(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number, count, log10 of the probability) of each pair; -1, 0 and nan where the trie doesn't hold it.
@@ -173,9 +194,9 @@ class Levels:
         """
         ids, counts, logs = np.full(len(contexts), -1, np.int64), np.zeros(len(contexts), np.int64), np.full(len(contexts), np.nan)
         for segment, data, at, place in self._found(self.level2, contexts, words):
-            logs[at] = restore(data[2][place])
+            logs[at] = restore(data[3][place], self.trie.step)
             if self.trie.order > 2:
-                ids[at], counts[at] = self.trie.pair_bases[segment] + place, data[3][place]
+                ids[at], counts[at] = self.trie.pair_bases[segment] + place, data[4][place]
         return ids, counts, logs
 
     def pair_ids(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -189,7 +210,7 @@ class Levels:
         """Count of each triple, 0 where the trie doesn't hold it. contexts: pairs' numbers."""
         out = np.zeros(len(contexts), np.int64)
         for _, data, at, place in self._found(self.level3, contexts, words):
-            out[at] = data[2][place]
+            out[at] = data[4][place]
         return out
 
 
@@ -220,23 +241,35 @@ def _emit(pending: list[np.ndarray], segment_of, segments: int) -> Iterator[pa.R
     keys, counts = _count(np.concatenate(pending))
     owner = segment_of(keys)
     order = np.argsort(owner, kind="stable")
-    rows = [(s, _planes(keys[order[low:high]]), np.ascontiguousarray(counts[order[low:high]].view(np.uint8).reshape(-1, 8).T).tobytes()) for s, low, high in _ranges(owner[order])]
-    for i in range(0, len(rows), 64):
-        s, k, c = zip(*rows[i : i + 64], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["segment", "keys", "counts"])
+    owner, keys, counts = owner[order], keys[order], counts[order]
+    del order
+    held: list[tuple[int, bytes, bytes]] = []
+    for s, low, high in _ranges(owner):
+        held.append((s, _planes(keys[low:high]), np.ascontiguousarray(counts[low:high].view(np.uint8).reshape(-1, 8).T).tobytes()))
+        if len(held) == 64 or high == len(keys):
+            s, k, c = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["segment", "keys", "counts"])
+            held = []
 
 
 def _merge(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    counts = [np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for c in rows["counts"]]
-    return _count(np.concatenate([_keys(k) for k in rows["keys"]]), np.concatenate(counts))
-
-
-def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIOR, order: int = 2) -> Trie:
-    """Learn from the column text of docs. segments: a power of two, by default one and more per input task. order: 2 or 3."""
+    """Keys and counts of a segment's partial counts, in one pass over arrays of known size."""
+    total = sum(map(len, rows["keys"])) // 8
+    keys, counts, at = np.empty(total, np.uint64), np.empty(total, np.uint64), 0
+    for k, c in zip(rows["keys"], rows["counts"], strict=True):
+        end = at + len(k) // 8
+        keys[at:end], counts[at:end] = _keys(k), np.frombuffer(c, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+        at = end
+    return _count(keys, counts)
+
+
+def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIOR, order: int = ORDER, segment_bytes: int = SEGMENT_BYTES) -> Trie:
+    """Learn from the column text of docs. segments: a power of two, by default one for segment_bytes of text. order: 2 or 3."""
     spark = docs.sparkSession
     texts = docs.select("text")
     if segments is None:
-        segments = max(64, 1 << (2 * texts.rdd.getNumPartitions() - 1).bit_length())
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        segments = 1 << (max(FEWEST_SEGMENTS, size // segment_bytes) - 1).bit_length()
     folder = shared_dir(spark, "trie")
     shift = np.uint64(64 - (segments.bit_length() - 1))
 
@@ -257,7 +290,7 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
     def totals(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(rows)
         segment = int(rows["segment"].iloc[0])
-        write_arrays(f"{folder}/counts-{segment}", EliasFano.build(keys, 1 << 64).arrays("keys") | {"hashes": keys, "counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
+        write_arrays(f"{folder}/words-{segment}", EliasFano.build(keys, 1 << 64).arrays("keys") | {"counts": counts.astype(np.uint32 if counts.max() < 1 << 32 else np.uint64)})
         return pd.DataFrame([(segment, len(keys), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum()))], columns=["segment", "distinct_keys", "tokens", "once", "twice"])
 
     found = {row["segment"]: row for row in counted.applyInPandas(totals, totals_schema).collect()}  # one row per segment
@@ -267,16 +300,17 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
     tokens, once, twice = (sum(row[k] for row in found.values()) for k in ("tokens", "once", "twice"))
     discount = once / (once + 2 * twice) if once and twice else DISCOUNT_DEFAULT
     mass = discount * bases[-1] / tokens if tokens else 1.0
-    trie = Trie(folder, segments, bases, tokens, float(np.log10(max(mass, 1e-12))), prior, order)
+    unseen = max(once * (once - 1) / (2 * (twice + 1)), 1.0)
+    step = (np.log10(tokens + prior) - np.log10(1 - discount) + 0.1) / 255 if tokens else 1.0  # the least is (1 - discount) / tokens
+    trie = Trie(folder, segments, bases, tokens, float(np.log10(max(mass, 1e-12) / unseen)), prior, order, float(step))
     if not tokens:
         return trie
 
     def finish_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for segment in batch["segment"]:
-                a = map_arrays(f"{folder}/counts-{segment}")
-                logs = np.log10((a["counts"] - discount) / tokens)
-                write_arrays(f"{folder}/words-{segment}", {k: v for k, v in a.items() if k != "hashes"} | {"probabilities": quantise(logs)})
+                logs = np.log10((map_arrays(f"{folder}/words-{segment}")["counts"] - discount) / tokens)
+                write_arrays(f"{folder}/word-probabilities-{segment}", {"probabilities": quantise(logs, trie.step)})
             yield batch
 
     full = spark.createDataFrame([(s,) for s in sorted(found)], "segment int").repartition(min(len(found), 64), "segment")
@@ -316,8 +350,13 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
         return (keys // np.uint64(trie.words)).astype(np.int64), (keys % np.uint64(trie.words)).astype(np.int64)
 
     def write_level(name: str, segment: int, known: np.ndarray, universe: int, place: np.ndarray, words: np.ndarray, values: dict[str, np.ndarray]) -> None:
-        successors = place.astype(np.uint64) * np.uint64(trie.words) + words.astype(np.uint64)
-        write_arrays(f"{folder}/{name}-{segment}", EliasFano.build(known, universe).arrays("contexts") | EliasFano.build(successors, len(known) * trie.words).arrays("successors") | values)
+        """known: the contexts; place: each key's context among them, in order; words: its successor."""
+        ends = np.searchsorted(place, np.arange(len(known)), "right")
+        widths = words[ends - 1] + 1  # the greatest successor's value within its range
+        successors = (np.cumsum(widths) - widths)[place] + words + 1
+        parts = {"contexts": (known, universe), "pointers": (np.append(0, ends), len(words) + 1), "successors": (successors, int(widths.sum()) + 1)}
+        arrays = [EliasFano.build(x.astype(np.uint64), size).arrays(part) for part, (x, size) in parts.items()]
+        write_arrays(f"{folder}/{name}-{segment}", arrays[0] | arrays[1] | arrays[2] | values)
 
     def finish_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(rows)
@@ -328,7 +367,7 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
         distinct, where = np.unique(words, return_inverse=True)
         singles = 10 ** levels.word_data(distinct)[1][where]
         logs = np.log10((counts + prior * singles) / (context_counts + prior))
-        write_level("pairs", segment, known, trie.words, place, words, {"probabilities": quantise(logs)} | ({"counts": _narrow(counts)} if order > 2 else {}))
+        write_level("pairs", segment, known, trie.words, place, words, {"probabilities": quantise(logs, trie.step)} | ({"counts": _narrow(counts)} if order > 2 else {}))
         return pd.DataFrame([(segment, len(keys))], columns=["segment", "pairs"])
 
     def finish_triples(rows: pd.DataFrame) -> pd.DataFrame:
@@ -339,19 +378,15 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
         write_level("triples", segment, known, trie.pairs, place, words, {"counts": _narrow(counts)})
         return pd.DataFrame([(segment, len(keys))], columns=["segment", "triples"])
 
-    def build(name: str, count, finish, values: dict[str, np.ndarray]) -> list[int]:
+    def build(name: str, count, finish) -> list[int]:
         """Keys before each segment of the level."""
         built = texts.mapInArrow(count, _COUNTS).groupBy("segment").applyInPandas(finish, f"segment int, {name} long")
         have = {row["segment"]: row[name] for row in built.collect()}  # one row per segment
-        none = np.zeros(0, np.int64)
-        for s in set(range(segments)) - set(have):
-            write_level(name, s, none, 1, none, none, values)
         return np.cumsum([0, *(have.get(s, 0) for s in range(segments))]).tolist()
 
-    empty = np.zeros(0, np.uint8)
-    trie.pair_bases = build("pairs", count_pairs, finish_pairs, {"probabilities": empty, "counts": empty})
+    trie.pair_bases = build("pairs", count_pairs, finish_pairs)
     if order > 2:
-        build("triples", count_triples, finish_triples, {"counts": empty})
+        build("triples", count_triples, finish_triples)
     return trie
 
 
@@ -434,7 +469,7 @@ def score_texts(docs: DataFrame, trie: Trie) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    trie = build_trie(docs.filter(~held_out), order=ORDER)
+    trie = build_trie(docs.filter(~held_out))
     scored = score_texts(docs, trie)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score"

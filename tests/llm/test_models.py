@@ -196,13 +196,16 @@ def test_elias_fano_finds_what_it_holds(tmp_path, n, universe):
     asked = np.concatenate([values, rng.integers(0, universe, 500, dtype=np.uint64)])
     where = {v: i for i, v in enumerate(values.tolist())}
     assert held.find(asked).tolist() == [where.get(v, -1) for v in asked.tolist()]
+    assert held.access(np.arange(len(values))).tolist() == values.tolist()
+    low, high = np.full(len(asked), len(values) // 3), np.full(len(asked), 2 * len(values) // 3)
+    assert held.find(asked, (low, high)).tolist() == [i if len(values) // 3 <= (i := where.get(v, -1)) < 2 * len(values) // 3 else -1 for v in asked.tolist()]
 
 
 def test_lm_scores_equal_exact_counts(spark, texts, odd_docs):
     rows = [(i, t) for i, t, _ in texts[:80]] + [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id != 7]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = docs.filter("doc_id % 5 <> 0 OR doc_id IS NULL")
-    scored = lm_scoring.score_texts(docs, lm_scoring.build_trie(train, segments=4)).select("doc_id", "text", "lm.*").collect()
+    scored = lm_scoring.score_texts(docs, lm_scoring.build_trie(train, segments=4, order=2)).select("doc_id", "text", "lm.*").collect()
     assert len(scored) == len(rows)
     tokens = lambda t: [*(w for w in (t or "").translate({c: c + 32 for c in range(65, 91)}).replace("\n", " ").replace("\t", " ").split(" ") if w), None]
     one, two = Counter(), Counter()
@@ -213,13 +216,14 @@ def test_lm_scores_equal_exact_counts(spark, texts, odd_docs):
     total, kinds = sum(one.values()), len(one)
     once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
     discount = once / (once + 2 * twice)
+    unseen = max(once * (once - 1) / (2 * (twice + 1)), 1)  # what is discounted is shared out among so many
     for r in scored:
         w = tokens(r.text)
         assert (r.n_tokens, r.n_known) == (len(w), sum(x in one for x in w))
         assert r.base_score == pytest.approx(sum(math.log10((one[x] + 1) / (total + kinds + 1)) for x in w))
         want = 0.0
         for before, x in zip([None, *w], w, strict=False):
-            single = (one[x] - discount) / total if one[x] else discount * kinds / total
+            single = (one[x] - discount) / total if one[x] else discount * kinds / total / unseen
             want += math.log10((two[before, x] + 30 * single) / (one[before] + 30) if one[before] else single)
         assert abs(r.score - want) <= 0.06 * len(w)
 
@@ -240,12 +244,13 @@ def test_lm_of_order_3_equals_exact_counts(spark, texts, odd_docs):
     total, kinds = sum(one.values()), len(one)
     once, twice = (sum(c == k for c in one.values()) for k in (1, 2))
     discount = once / (once + 2 * twice)
+    unseen = max(once * (once - 1) / (2 * (twice + 1)), 1)  # what is discounted is shared out among so many
     apart = 0
     for r in scored:
         w, want, lower = tokens(r.text), 0.0, 0.0
         for i, x in enumerate(w):
             a, b = w[i - 2] if i > 1 else None, w[i - 1] if i else None
-            p = (one[x] - discount) / total if one[x] else discount * kinds / total
+            p = (one[x] - discount) / total if one[x] else discount * kinds / total / unseen
             p = (two[b, x] + 30 * p) / (one[b] + 30) if one[b] else p
             lower += math.log10(p)
             if i:
@@ -262,7 +267,7 @@ def test_query_scores_by_triples(spark, tmp_path):
     got = [r.score for r in lm_scoring.op10_lm_score(spark, str(tmp_path)).filter("held_out").collect()]
     held = docs.filter("pmod(crc32(cast(doc_id as string)), 7) = 2")
     trained = docs.filter("pmod(crc32(cast(doc_id as string)), 7) <> 2")
-    pairs = [r.lm.score for r in lm_scoring.score_texts(held, lm_scoring.build_trie(trained)).collect()]
+    pairs = [r.lm.score for r in lm_scoring.score_texts(held, lm_scoring.build_trie(trained, order=2)).collect()]
     assert len(got) == len(pairs) > 0 and min(got) > max(pairs)
 
 
