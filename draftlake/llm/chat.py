@@ -85,8 +85,10 @@ def render(messages: DataFrame) -> DataFrame:
                 spans.append(own)
             yield pd.DataFrame({"conv_id": batch["conv_id"], "formatted": texts, "loss_spans": spans})
 
+    # as text: pandas would make floating point numbers of ids beside a null one
     kind = dict(messages.dtypes)["conv_id"]
-    return turns.mapInPandas(run, f"conv_id {kind}, formatted string, loss_spans array<struct<start: int, end: int>>")
+    out = turns.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, "conv_id string, formatted string, loss_spans array<struct<start: int, end: int>>")
+    return out.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -130,7 +132,8 @@ def read_back(rendered: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind = dict(rendered.dtypes)["conv_id"]
-    return rendered.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    out = rendered.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

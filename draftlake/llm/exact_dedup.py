@@ -1,10 +1,12 @@
 """Exact deduplication by a stream with disk-backed keyed state.
 
 A structured stream over the documents' digests keeps, for each digest and without expiry, how many documents
-had it and the best one so far: its length, stable identifier and content locator (the file it lies in). The
+had it and the best one so far: its length, stable identifier, run and content locator (the file it lies in). The
 state lives in RocksDB on the executors' disks and, checkpointed, in the shared folder. Documents that hit a
 digest seen before are then checked byte by byte; digests that stand for different bytes (collisions) are
-settled anew by the bytes themselves.
+settled anew by the bytes themselves. With a ``state_dir`` of its own, a later run goes on from the state of
+the earlier ones: documents of earlier runs count, and stay if they're the best; they're known by their digests then, and the byte
+check covers the documents of the run.
 
 Cases: a null text counts as empty; among equal texts the longest original stays, then the smallest doc_id,
 nulls last; of repeated rows with one doc_id and length exactly one is kept; an empty table gives an empty
@@ -14,12 +16,13 @@ result; extra columns are carried along.
 from __future__ import annotations
 
 import contextlib
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, shared_dir
+from .shared import carried, materialise, shared_dir
 
 #: Parts that the byte check splits each digest's documents into.
 CHECK_SALTS = 16
@@ -50,7 +53,7 @@ def normalised(text: Column) -> Column:
 
 def _best() -> Column:
     """Orders the documents of a group; the least one stays."""
-    return F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("locator").alias("locator"))
+    return F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("run").alias("run"), F.col("locator").alias("locator"))
 
 
 def stream_digests(digests: DataFrame, path: str, state_dir: str | None = None, max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
@@ -94,22 +97,23 @@ def exact_dedup(docs: DataFrame, state_dir: str | None = None) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256."""
     spark = docs.sparkSession
     own = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*own)
+    docs, run = docs.drop(*own), f"{time.time_ns():020d}"
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_text": normalised(F.col("text")), "_length": F.length(text)}).withColumn("_digest", F.sha2("_text", 256))
-    path = shared_dir(spark, "digests")
-    keyed.select(F.col("_digest").alias("digest"), "doc_id", F.col("_length").alias("length"), F.input_file_name().alias("locator")).write.parquet(path)
-    digests = spark.read.schema("digest string, doc_id " + dict(docs.dtypes)["doc_id"] + ", length int, locator string").parquet(path)
+    keyed = docs.select(carried(docs), "doc_id", normalised(F.col("text")).alias("_text"), F.length(text).alias("_length")).withColumn("_digest", F.sha2("_text", 256))
+    state_dir = state_dir.rstrip("/") if state_dir else shared_dir(spark, "dedup-state")
+    path = f"{state_dir}/digests"  # the stream's table: each run adds its files
+    keyed.select(F.col("_digest").alias("digest"), "doc_id", F.col("_length").alias("length"), F.lit(run).alias("run"), F.input_file_name().alias("locator")).write.mode("append").parquet(path)
+    digests = spark.read.schema("digest string, doc_id " + dict(docs.dtypes)["doc_id"] + ", length int, run string, locator string").parquet(path)
     groups = materialise(stream_digests(digests, path, state_dir), "dedup-groups")
 
     clashes = materialise(_clashes(keyed, groups), "dedup-clashes")
-    joined = keyed.drop("_text").join(groups.select(F.col("digest").alias("_digest"), F.col("group_size"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).alias("_keep_length")), "_digest")
+    joined = keyed.drop("_text").join(groups.select(F.col("digest").alias("_digest"), F.col("group_size"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.shorter")).alias("_keep_length"), F.col("best.run").alias("_keep_run")), "_digest")
     if not clashes.isEmpty():
-        joined = _by_bytes(keyed, clashes).unionByName(joined.join(clashes, "_digest", "left_anti"))
-    is_best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("_keep_length"))
+        joined = _by_bytes(keyed, clashes, run).unionByName(joined.join(clashes, "_digest", "left_anti"))
+    is_best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("_keep_length")) & (F.col("_keep_run") == run)
     # of repeated rows the first stays; the partition holds rows of one digest, doc_id and length
     first = F.row_number().over(Window.partitionBy("_digest", "doc_id", "_length").orderBy("doc_id")) == 1
-    return joined.select(*docs.columns, "keep_id", "group_size", (is_best & first).alias("kept"), F.col("_digest").alias("text_sha256"))
+    return joined.select("row", "keep_id", "group_size", (is_best & first).alias("kept"), F.col("_digest").alias("text_sha256")).select("row.*", *own)
 
 
 def _clashes(keyed: DataFrame, groups: DataFrame) -> DataFrame:
@@ -120,12 +124,12 @@ def _clashes(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     return ends.groupBy("_digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("_digest")
 
 
-def _by_bytes(keyed: DataFrame, clashes: DataFrame) -> DataFrame:
+def _by_bytes(keyed: DataFrame, clashes: DataFrame, run: str) -> DataFrame:
     """The documents of clashing digests, grouped by their bytes."""
     hit = keyed.join(clashes, "_digest", "left_semi")
     best = F.min(F.struct((-F.col("_length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id")))
     groups = hit.groupBy("_digest", "_text").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_b"))
-    return hit.join(groups, ["_digest", "_text"]).select("*", F.col("_b.doc_id").alias("keep_id"), (-F.col("_b.shorter")).alias("_keep_length")).drop("_text", "_b")
+    return hit.join(groups, ["_digest", "_text"]).select("*", F.col("_b.doc_id").alias("keep_id"), (-F.col("_b.shorter")).alias("_keep_length"), F.lit(run).alias("_keep_run")).drop("_text", "_b")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ word itself, and the lexicons that hold it: each language's words that occur in
 What has more than ``WIDEST`` letters between white space, as text written without spaces does, is cut into windows
 over its whole length, each a word of its own.
 Transitions between the labels of neighbouring words are learned with the features' weights, by the gradient of
-the conditional likelihood (forward-backward) on lines of at most ``CHAIN`` words. A text gets the language with
+the conditional likelihood (forward-backward) on whole lines. A text gets the language with
 the greatest sum of its words' posterior probabilities, which label code-switched text word by word; the score
 is their mean.
 
-Fitting uses at most ``most_rows`` documents with a language (those with the least hash), on the driver.
+Fitting uses at most ``most_rows`` documents of each language and ``most_bytes`` of their texts (those with the least hash), in
+one task on an executor; the driver gets the model. More than ``MOST_LANGUAGES`` languages are an error, not a cut.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; with nothing to learn from, all get
 ``und``; with one language to learn from, that one; repeated rows count each; an empty table gives an empty
@@ -18,19 +19,22 @@ result; extra columns are kept.
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-MOST_ROWS, CHAIN, EPOCHS = 1500, 256, 30
+from .shared import materialise
+
+MOST_ROWS, MOST_BYTES, MOST_LANGUAGES, EPOCHS = 400, 1 << 21, 64, 30
 BITS, WIDEST, NGRAM, CACHE_WORDS = 18, 62, 4, 300_000
-LEXICON_WORDS, LEXICON_SHARE, LEXICON_COUNT = 20_000, 0.9, 3
+LEXICON_SHARE, LEXICON_COUNT = 0.9, 3
 UNKNOWN = "und"
 
 
@@ -141,8 +145,8 @@ def chains(text: str) -> Iterator[list[str]]:
         words = line.split()
         if len(line) > WIDEST // 2:
             words = [part for word in words for part in windows(word)]
-        for i in range(0, len(words), CHAIN):
-            yield words[i : i + CHAIN]
+        if words:
+            yield words
 
 
 def fit(texts: Iterable[str | None], langs: Iterable[str], epochs: int = EPOCHS) -> LanguageModel | None:
@@ -168,7 +172,7 @@ def fit(texts: Iterable[str | None], langs: Iterable[str], epochs: int = EPOCHS)
     counts = np.zeros((len(vocabulary), k))
     np.add.at(counts, (words, label), 1)
     share = counts.max(axis=1) / counts.sum(axis=1)
-    listed = {vocabulary[i]: int(counts[i].argmax()) for i in np.argsort(-counts.sum(axis=1), kind="stable")[:LEXICON_WORDS] if share[i] >= LEXICON_SHARE and counts[i].sum() >= LEXICON_COUNT}
+    listed = {vocabulary[i]: int(counts[i].argmax()) for i in range(len(vocabulary)) if share[i] >= LEXICON_SHARE and counts[i].sum() >= LEXICON_COUNT}
     numbers, first = features(vocabulary)
     many = np.diff(np.append(first, len(numbers)))
     lists = np.array([listed.get(w, -1) for w in vocabulary])
@@ -192,12 +196,34 @@ def fit(texts: Iterable[str | None], langs: Iterable[str], epochs: int = EPOCHS)
     return LanguageModel(languages, weights.astype(np.float32), transitions, listed, lexical)
 
 
-def training_rows(docs: DataFrame, most_rows: int = MOST_ROWS) -> pd.DataFrame:
-    """doc_id, text and lang of at most most_rows documents with a language, those with the least hash."""
-    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.col("lang"))
+def training_rows(docs: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """doc_id, text and lang of at most most_rows documents and most_bytes of text of each language, those with the
+    least hash; rows that repeat both id and language count once (the least text)."""
     known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
-    chosen = known.select("doc_id", "lang").distinct().orderBy(*order).limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "lang", "text"])
+    sizes = known.groupBy("lang", "doc_id").agg(F.min(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).withColumn("order", F.xxhash64("doc_id"))
+    # the first of each language, from the first of each part of it: no task ranks a whole language
+    part = Window.partitionBy("lang", F.pmod("doc_id", F.lit(256))).orderBy("order", "doc_id")
+    some = sizes.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= most_rows)
+    whole = Window.partitionBy("lang").orderBy("order", "doc_id")
+    chosen = some.withColumns({"n": F.row_number().over(whole), "sum": F.sum("bytes").over(whole)}).filter((F.col("n") <= most_rows) & (F.col("sum") <= most_bytes))
+    chosen = chosen.select("lang", "doc_id", "bytes")  # at most most_rows for each of the languages
+    fits = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["lang", "doc_id"]).filter(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("bytes"))
+    return fits.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def fit_rows(rows: DataFrame) -> LanguageModel | None:
+    """fit() in one task, over rows within bounds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := list(batches):
+            found = pd.concat(parts).sort_values(["doc_id", "lang"])
+            if found["lang"].nunique() > MOST_LANGUAGES:
+                raise ValueError(f"more than {MOST_LANGUAGES} languages")
+            model = fit(found["text"], found["lang"])
+            yield pd.DataFrame({"model": [zlib.compress(pickle.dumps(model), 1)]})
+
+    found = materialise(rows.repartition(1).mapInPandas(run, "model binary"), "language-model").collect()
+    return pickle.loads(zlib.decompress(found[0]["model"])) if found else None
 
 
 def language(model: LanguageModel | None) -> Column:
@@ -245,12 +271,11 @@ def language(model: LanguageModel | None) -> Column:
 
 
 def model_broadcast(model: LanguageModel):
-    """The model (a few MB, fixed by BITS and LEXICON_WORDS) as a broadcast variable."""
+    """The model (a few MB, bounded by BITS and the rows of the fit) as a broadcast variable."""
     return SparkSession.active().sparkContext.broadcast(model)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    rows = training_rows(docs)
-    found = docs.withColumn("_l", language(fit(rows["text"], rows["lang"])))
+    found = docs.withColumn("_l", language(fit_rows(training_rows(docs))))
     return found.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1).alias("held_out"), "_l.lang_pred", "_l.score")

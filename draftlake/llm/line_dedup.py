@@ -6,8 +6,9 @@ run of level 0. When a level has ``fanout`` runs, they are merged into one run o
 keys at the end lose all their lines in every document.
 
 Cases: a null or empty text is one empty line, which is never dropped (keys need at least one code point);
-a repeated row (same doc_id, same text) counts as one document and gets the same result; documents with null
-ids are told apart by their text; an empty table gives an empty result; extra columns are carried along.
+rows that share a doc_id count as one document, and each keeps its own text's lines; documents with null
+ids are told apart by their text; an empty table gives an empty result; extra columns are carried along, but for those
+that the result has itself.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, ascii_lower, materialise
+from .shared import SPACES, ascii_lower, carried, materialise
 
 MIN_DOCUMENTS, BATCHES, FANOUT = 10, 4, 3
 
@@ -67,18 +68,24 @@ def _sum(runs: list[DataFrame]) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with text_kept (the lines that stay, joined by newlines), n_lines (before) and n_dropped."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    row = docs.withColumn("_row", F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)))
+    docs = docs.drop("text_kept", "n_lines", "n_dropped")
+    rest = docs.drop("text")
+    row = docs.select(
+        carried(rest), "text", F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)).alias("_row"),
+        F.coalesce(F.xxhash64(F.col("doc_id")), F.lit(0)).alias("_id"),
+    )
+    row = row.withColumn("_doc", F.when(F.col("row.doc_id").isNull(), F.xxhash64("text")).otherwise(F.col("_id"))).drop("_id")
     keys = materialise(
-        row.select(F.col("_row"), F.posexplode(F.transform(F.split(text, "\n", -1), line_key)).alias("pos", "key"))
+        row.select("_row", "_doc", F.posexplode(F.transform(F.split(text, "\n", -1), line_key)).alias("pos", "key"))
         .filter("key IS NOT NULL")
-        .withColumn("batch", F.pmod(F.crc32(F.col("_row")), F.lit(batches)).cast("int")),
+        .withColumn("batch", F.pmod("_doc", F.lit(batches)).cast("int")),
         "line-keys",
         ["batch"],
     )
     runs = LineRuns(min_documents, fanout)
     for batch in range(batches):
         # a key counts once a document: distinct rows first, which also evens out hot keys before the shuffle by key
-        once = keys.filter(F.col("batch") == batch).groupBy("_row", "key").agg(F.lit(1).alias("one"))
+        once = keys.filter(F.col("batch") == batch).groupBy("_doc", "key").agg(F.lit(1).alias("one"))
         runs.add(once.groupBy("key").agg(F.count("one").alias("docs")))
     settled = materialise(runs.settled().select("key"), "line-settled")
     gone = keys.join(settled, "key").select("_row", "pos").distinct().groupBy("_row").agg(F.collect_list("pos").alias("_gone"))
@@ -87,11 +94,11 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: in
         F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i))
     )
     return lines.join(gone, "_row", "left").select(
-        *[c for c in docs.columns if c not in ("text", "text_kept", "n_lines", "n_dropped")],
+        "row",
         F.array_join(stays, "\n").alias("text_kept"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    ).select("row.*", "text_kept", "n_lines", "n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ by one random offset. The order is by size, so that neighbours on the line weigh
 taken stay within about one document of the target.
 
 Cases: a null text has size 0; a null source is a source of its own, weighed last; a source of size 0 has
-target 0; repeated rows count each; an empty table gives an empty result; extra columns are carried along.
+target 0; repeated rows count each; an empty table gives an empty result; extra columns are carried along, but for those that the result has itself.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import salted_rank
+from .shared import carried, salted_rank
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -52,12 +52,12 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
 
     The offset of a source is a hash of its name and the seed, so reruns agree.
     """
-    sized = docs.withColumns({
-        "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "_source": F.col("source"),
+    docs = docs.drop("size", "source_size", "target", "copies")
+    sized = docs.select(
+        carried(docs), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), F.col("source").alias("_source"),
         # "0" before a name and "1" for null: sorts by code point with null last
-        "_key": F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))),
-    })
+        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("_key"),
+    )
     targets = source_targets(sized.select("_key", "_source", "_size"), weights, most)
     # first rank of each (source, size): sums over the histogram of sizes, not over documents
     histogram = sized.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("_n"))
@@ -71,15 +71,14 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
         ranked.join(firsts, ["_key", "_size"])
         .join(targets, "_key")
         .withColumn("copies", (F.floor((rank + 1) * rate + offset) - F.floor(rank * rate + offset)).cast("long"))
-        .withColumnRenamed("_size", "size")
-        .drop("_key", "_source", "_first", "_rank")
+        .select("row.*", F.col("_size").alias("size"), "source_size", "target", "copies")
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, numbered by copy_no from 0, with the
     columns of mix_counts."""
-    counted = mix_counts(docs.drop("size", "source_size", "target", "copies", "copy_no"), **options).filter("copies > 0")
+    counted = mix_counts(docs.drop("copy_no"), **options).filter("copies > 0")
     return counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -17,11 +16,13 @@ SALTS = 256
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Where the setting
-    is absent (tests, local mode) a temporary folder takes its place."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Where the setting is absent, a local
+    session gets a folder of its own machine; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -35,6 +36,11 @@ def materialise(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame) -> Column:
+    """All columns of df as one, ``row``: what is computed beside it can't clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` equals that for pure ASCII and is much faster there."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

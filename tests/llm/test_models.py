@@ -37,11 +37,18 @@ def test_language_of_held_out_texts(spark, texts, odd_docs):
 
 
 def test_language_with_nothing_to_learn_from(odd_docs, no_docs):
-    rows = language_id.training_rows(no_docs)
-    assert language_id.fit(rows["text"], rows["lang"]) is None
+    assert language_id.fit_rows(language_id.training_rows(no_docs)) is None and language_id.fit([], []) is None
     assert {r._l.lang_pred for r in odd_docs.withColumn("_l", language_id.language(None)).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from_within_bounds(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "rare" if i % 50 == 0 else "often") for i in range(1000)] + [(None, "x", "often"), (3, "y", None)], "doc_id long, text string, lang string")
+    got = language_id.training_rows(docs, most_rows=10).toPandas()
+    assert got["lang"].value_counts().to_dict() == {"often": 10, "rare": 10}
+    few = language_id.training_rows(docs, most_bytes=12).toPandas()
+    assert few.groupby("lang")["text"].agg(lambda t: t.str.len().sum()).max() <= 12 and len(few) >= 4
+
+
 def test_long_unspaced_text_is_judged_over_its_whole_length(spark, texts):
     model = language_id.fit([t for _, t, _ in texts], [x for _, _, x in texts], epochs=15)
     begin, rest = (made_up(random.Random(i), lang, n).replace(" ", "") for i, lang, n in ((1, "en", 25), (2, "de", 120)))

@@ -37,15 +37,35 @@ def test_exact_dedup_of_nothing(no_docs):
 
 
 def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
-    digests = docs.select(F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("digest"), "doc_id", F.length("text").alias("length"), F.lit("f").alias("locator"))
-    path, state = str(tmp_path / "digests"), str(tmp_path / "state")
-    digests.write.parquet(path)
-    first = exact_dedup.stream_digests(digests, path, state)
-    assert sorted(r.group_size for r in first.collect()) == [1, 2]
-    digests.filter("doc_id = 3").withColumn("doc_id", F.lit(0).cast("long")).write.mode("append").parquet(path)
-    second = {r.best.doc_id: r.group_size for r in exact_dedup.stream_digests(digests, path, state).collect()}
-    assert second == {1: 2, 0: 2}
+    state = f"{tmp_path}/state"
+    first = spark.createDataFrame([(5, "a b"), (6, "ab"), (7, "c")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(first, state).collect()}
+    assert got == {5: (5, 2, True), 6: (5, 2, False), 7: (7, 1, True)}
+    # 1 is longer than what is there, 8 is not, and 7 comes again
+    second = spark.createDataFrame([(1, "a  b"), (8, "c"), (9, "new"), (7, "c")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(second, state).collect()}
+    assert got == {1: (1, 3, True), 8: (7, 3, False), 9: (9, 1, True), 7: (7, 3, False)}
+
+
+def test_names_of_callers_columns_stay_as_they_are(spark):
+    names = ["_text", "_length", "_digest", "_size", "_key", "_source", "_rank", "_gone", "_row", "_lines", "_doc", "_salt", "row", "text_kept", "run"]
+    docs = spark.createDataFrame([(1, "one two", "a", *names), (2, "three", "b", *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for result in (exact_dedup.exact_dedup(docs), mixing.mix(docs), line_dedup.dedup_lines(docs)):
+        for r in result.collect():
+            assert all(r[n] == n for n in names if n != "text_kept" or "n_dropped" not in r)
+
+
+def test_lines_of_rows_that_share_an_id_count_once(spark):
+    docs = spark.createDataFrame([(1, "same\nx"), (1, "same\ny"), (2, "same"), (None, "same"), (None, "same\nz")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text_kept, r.n_dropped) for r in line_dedup.dedup_lines(docs, min_documents=4).collect())
+    assert got == [(0, "", 1), (0, "z", 1), (1, "x", 1), (1, "y", 1), (2, "", 1)]
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(docs, min_documents=5).collect())
+
+
+def test_conversation_ids_stay_exact_beside_null(spark):
+    events = spark.createDataFrame([(9007199254740993, 1, "message", 1, "user", "a"), (None, 1, "message", 1, "user", "b")], "conv_id long, seq long, kind string, msg_id long, role string, text string")
+    rendered = chat.render(chat.fold(events))
+    assert {r.conv_id for r in rendered.collect()} == {r.conv_id for r in chat.read_back(rendered).collect()} == {9007199254740993, None}
 
 
 def test_colliding_digests_are_settled_by_bytes(spark):
@@ -53,7 +73,7 @@ def test_colliding_digests_are_settled_by_bytes(spark):
     groups = spark.createDataFrame([("d", 3)], "digest string, group_size long")
     clashes = exact_dedup._clashes(keyed, groups)
     assert [r._digest for r in clashes.collect()] == ["d"]
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup._by_bytes(keyed, clashes).collect()} == {(1, 1, 1), (2, 2, 2), (3, 2, 2)}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup._by_bytes(keyed, clashes, "r").collect()} == {(1, 1, 1), (2, 2, 2), (3, 2, 2)}
 
 
 def test_line_dedup_of_odd_documents(spark, odd_docs):
