@@ -37,11 +37,15 @@ from pyspark.sql import functions as F
 from .components import connected_components, forest
 from .elias_fano import map_arrays, write_arrays
 from .shared import materialise, shared_dir
-from .words import mix, slices, word_hashes
+from .words import give_back, mix, slices, word_hashes
 
 WORDS, PERCENT, BLOCK = 3, 90, 256
+#: Cells of a grid of sets by elements.
+GRID_CELLS = 4 << 20
 #: Times that new pivots are compared before what is still apart is compared in full; seed of the blocks' spread.
 PIVOT_ROUNDS, SEED = 1, 5
+#: Rows whose sets a task holds at once.
+ROWS_TOGETHER = 1000
 #: Sets and ids kept in one file of the shared folder, about.
 SETS_OF_FILE, IDS_OF_FILE = 2000, 1_000_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -113,6 +117,7 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
             flat = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], names=["doc_id", "n", "one", "two", "kept"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, one long, two long, kept array<long>")
 
@@ -166,6 +171,7 @@ def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
         lists = [of(x) for x in rows[column]]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         write_arrays(f"{folder}/{kind}-{rows['file'].iloc[0]}", {"numbers": rows["number"].to_numpy().astype(np.int64), "offsets": offsets, "data": np.concatenate(lists)})
+        give_back()
         return rows.iloc[:1][["file"]]
 
     index = met.select("number", "index", spread_sets("number").alias("file")).groupBy("file")
@@ -173,7 +179,7 @@ def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[int, dict[str, np.ndarray]] = {}
-        for batch in batches:
+        for batch in (part.slice(at, ROWS_TOGETHER) for part in batches for at in range(0, part.num_rows, ROWS_TOGETHER)):
             batch = batch.filter(pc.is_valid(batch.column(0)))
             doc = batch.column(0).to_numpy()
             owner = _owners(doc, id_files)
@@ -191,6 +197,7 @@ def _store_sets(docs: DataFrame, met: DataFrame, words: int) -> SetStore:
             mine = [(n, s.tobytes()) for r, s in zip(rows, sets, strict=True) if (n := wanted[r].get(_hashes(s))) is not None]
             number = np.array([n for n, _ in mine], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(_owners(number, store.files), pa.int64()), pa.array([s for _, s in mine], pa.binary())], names=["number", "file", "set"])
+        give_back()
 
     if many:
         sets = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").mapInArrow(run, "number long, file long, set binary").groupBy("file")
@@ -207,7 +214,17 @@ def _mapped_ids(folder: str, file: int) -> dict[str, np.ndarray]:
 
 
 def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the lists share."""
+    """How many elements each two of the lists share. Elements are taken in ranges of values, so that no grid of lists
+    by elements has more than about GRID_CELLS cells, however long the lists are."""
+    parts = max(1, -(-sum(map(len, lists)) * len(lists) // (2 * GRID_CELLS)))
+    lists = [np.sort(x) for x in lists] if parts > 1 else lists
+    longest = max(lists, key=len)
+    bounds = longest[np.arange(1, parts) * len(longest) // parts] if parts > 1 else longest[:0]
+    cuts = [np.concatenate([[0], np.searchsorted(x, bounds), [len(x)]]) for x in lists] if parts > 1 else [[0, len(x)] for x in lists]
+    return sum(_grid_counts([x[c[i] : c[i + 1]] for x, c in zip(lists, cuts, strict=True)]) for i in range(parts))
+
+
+def _grid_counts(lists: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(len(lists)), np.fromiter(map(len, lists), np.int64, len(lists)))
     values, place = np.unique(np.concatenate(lists), return_inverse=True)
     often = np.bincount(place, minlength=len(values)) > 1
@@ -260,6 +277,7 @@ def _pivot_links(pairs: DataFrame, store: SetStore, percent: int) -> DataFrame:
                 docs, where = np.unique(part.to_numpy(), return_inverse=True)
                 where = where.reshape(-1, 2)
                 yield part[_linked(store.get(docs), where[:, 0], where[:, 1], percent)]
+        give_back()
 
     return pairs.select("a", "b").mapInPandas(run, "a long, b long")
 
@@ -306,6 +324,7 @@ def _block_links(mixed: DataFrame, store: SetStore, percent: int, block: int) ->
             if found:
                 a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield pd.DataFrame({"a": a, "b": b})
+        give_back()
 
     def compare(token: int, ld: np.ndarray, lc: np.ndarray, rd: np.ndarray, rc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         docs, at = np.unique(np.concatenate([ld, rd]), return_inverse=True)

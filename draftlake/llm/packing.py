@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialise, salted_rank
-from .words import slices
+from .words import give_back, slices
 
 SIZE, CLOSING_ID = 2048, 1
 #: Distinct words, and bytes of words and ids, that a worker keeps before it begins anew; bytes of text encoded at once.
-CACHE_WORDS, CACHE_BYTES, TOGETHER = 500_000, 48 << 20, 4 << 20
+CACHE_WORDS, CACHE_BYTES, TOGETHER, WORDS_A_CALL = 200_000, 16 << 20, 2 << 20, 10_000
 #: A control character that is one token; signs that the tokenizer parts from a letter or digit before them.
 PARTING = "\x1e"
 _SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -69,11 +69,14 @@ class TextEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        """Keep the ids of new words without PARTING, from one call: that character, one token of its own, parts them."""
-        ids = self._ids(f" {PARTING} ".join(words))
-        cuts = np.flatnonzero(ids == self.parting_id)
-        starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
-        self._keep(words, ids, starts, ends - starts)
+        """Keep the ids of new words without PARTING, of some thousands from one call: that character, one token of its
+        own, parts them. (A call holds about a hundred times the bytes of its ids.)"""
+        for low in range(0, len(words), WORDS_A_CALL):
+            part = words[low : low + WORDS_A_CALL]
+            ids = self._ids(f" {PARTING} ".join(part))
+            cuts = np.flatnonzero(ids == self.parting_id)
+            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+            self._keep(part, ids, starts, ends - starts)
 
     def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
@@ -163,6 +166,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataF
                     [batch.column(0).slice(low, high - low).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(np.minimum(size, lengths[rows] + 1 - starts), pa.int32()), pa.array(lengths[rows] + 1, pa.int64()), pieces.cast(pa.binary())],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
                 )
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length int, doc_tokens long, ids binary")

@@ -35,10 +35,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from .shared import materialise
-from .words import mix, slices, span_hashes
+from .words import give_back, mix, slices, span_hashes
 
 THRESHOLD, DECAY, ROUNDS, LANDMARKS = 0.7, 0.5, 3, 360
 
@@ -148,7 +148,7 @@ def read(texts: pa.Array) -> Iterator[tuple[int, int, Phrases]]:
         out = np.full(len(kept) + len(begins) + 1, _MARK, np.uint8)
         out[np.arange(len(kept)) + number] = codes
         rows = np.searchsorted(offsets, lead[kept[begins]], "right") - 1
-        yield first, end, Phrases(out, begins + np.arange(len(begins)), sentence[begins], rows)
+        yield first, end, Phrases(out, *(x.astype(np.int32) for x in (begins + np.arange(len(begins)), sentence[begins], rows)))
 
 
 def run_numbers(codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, float]]:
@@ -275,23 +275,21 @@ def _phrase_hashes(part: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _unlike(parts: list[Phrases], rows: int) -> np.ndarray:
-    """Rows with words that are no near copies of earlier ones, which say nothing more: such share one of four least
-    hashes of their longer words."""
-    least = np.full((rows, 4), np.iinfo(np.uint64).max, np.uint64)
+    """Rows with words that are no near copies of earlier ones, which say nothing more: such share two of four least
+    hashes of their phrases with the same row."""
+    none = np.iinfo(np.uint64).max
+    least = np.full((rows, 4), none, np.uint64)
     for part in parts:
-        one, _ = part.ends()
-        hashes = span_hashes(part.codes, part.marks, one + 1)
-        hashes = np.where(one - part.marks > 7, hashes, hashes | np.uint64(1 << 63))  # longer words come first
+        hashes, words, _ = _phrase_hashes(part)
         for k in range(4):
-            np.minimum.at(least[:, k], part.rows, np.where(one - part.marks > 7, mix(hashes + np.uint64(k)) >> np.uint64(1), hashes))
-    keep, seen = np.zeros(rows, bool), [set() for _ in range(4)]
-    for i in range(rows):
-        if least[i, 0] == np.iinfo(np.uint64).max:
-            continue
-        keep[i] = not any(h in s for h, s in zip(least[i].tolist(), seen, strict=True))
-        if keep[i]:
-            for h, s in zip(least[i].tolist(), seen, strict=True):
-                s.add(h)
+            np.minimum.at(least[:, k], part.rows[words], mix(hashes + np.uint64(k)))
+    keep, seen = np.zeros(rows, bool), {}
+    for i, own in enumerate(least.tolist()):
+        if own[0] != none:
+            shared = [j for k, h in enumerate(own) if (j := seen.get((k, h))) is not None]
+            keep[i] = len(shared) == len(set(shared))
+            if keep[i]:
+                seen.update(((k, h), i) for k, h in enumerate(own))
     return keep
 
 
@@ -429,6 +427,7 @@ def fit_rows(rows: DataFrame, bounds: Bounds = Bounds()) -> ToxicityModel | None
         if parts:
             all_rows = pd.concat(parts).sort_values("doc_id")
             yield pd.DataFrame({"model": [pickle.dumps(fit(all_rows["text"], all_rows["toxic"], bounds))]})
+            give_back()
 
     found = materialise(rows.repartition(1).mapInPandas(run, "model binary"), "toxicity-model").collect()
     return pickle.loads(found[0]["model"]) if found else None
@@ -439,15 +438,16 @@ def toxicity(model: ToxicityModel | None) -> Column:
     if model is None:
         return F.lit(0.0)
 
-    @pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = model.table()
         for batch in batches:
             worst = np.full(len(batch), -1.0)  # without words: the least that phrases have
-            for first, _, part in read(pa.array(batch, pa.large_string())):
+            for first, _, part in read(batch):
                 if len(part.rows):
                     np.maximum.at(worst, part.rows + first, np.maximum(*phrase_scores(part, table)))
-            yield pd.Series(model.probability(worst + model.bias))
+            yield pa.array(model.probability(worst + model.bias))
+        give_back()
 
     return score(F.col("text"))
 

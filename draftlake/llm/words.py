@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +22,16 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 #: Bytes of text hashed at a time (a longer text is taken whole).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the machine: workers go on to other stages, and allocators keep it else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

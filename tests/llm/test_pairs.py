@@ -128,6 +128,16 @@ def test_pairs_link_alike_one_by_one_and_at_once():
     assert few == want[::9]
 
 
+def test_counts_in_ranges_equal_counts_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    lists = [rng.permutation(np.unique(rng.integers(0, 300, rng.integers(0, 200), dtype=np.uint64))) for _ in range(12)] + [np.zeros(0, np.uint64)]
+    want = [[len(np.intersect1d(a, b)) for b in lists] for a in lists]
+    apart = ~np.eye(len(lists), dtype=bool)
+    assert (ngram_join._shared_counts(lists) == want)[apart].all()
+    monkeypatch.setattr(ngram_join, "GRID_CELLS", 100)
+    assert (ngram_join._shared_counts(lists) == want)[apart].all()
+
+
 def vectors(rng):
     base = rng.normal(size=(30, 16))
     rows = [(i, v, 0) for i, v in enumerate(base)]
