@@ -3,6 +3,12 @@ to their weights, and what is left is packed into token sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
 columns of docs. run() writes each stage's result to the shared folder and reads it back for the next.
+
+Cases: null and empty texts are clean, equal to each other, near nothing, of size 0 (the mix takes them as often as their
+source's rate says) and one closing id long; null sources are a source of their own; of repeated rows one goes on after
+exact deduplication; rows that share a doc_id but not their text stay apart there, and go together in the stage after it;
+with no labels to learn from nothing is toxic; other columns are carried along whatever their names; empty tables
+give an empty result.
 """
 
 from __future__ import annotations

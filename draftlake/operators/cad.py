@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import best_diameter, depth, first_number
+from ..functions.text import best_diameter, depth
 
 #: The draft's default sizes in mm, and the diameters preferred in evidence.
 DEFAULTS = {"base_length": 50.0, "base_width": 45.0, "hole_pitch_x": 38.0, "hole_pitch_y": 30.0, "chamfer_size": 2.0}
@@ -14,15 +14,19 @@ THROUGH_DIAMETERS, BORE_DIAMETERS, BORE_DEPTH = (5.5, 4.5, 3.4), (8.0, 6.0), 4.6
 
 
 def parameters(samples: DataFrame) -> DataFrame:
-    """samples(sample_id, dims array<string>, through, bore array<string>) with the nine parameters."""
-    joined = lambda c: F.array_join(c, " | ")
-    marked = F.get(F.filter("dims", lambda d: F.contains(d, F.lit(BASE_DEPTH_MARK)) & first_number(d).isNotNull()), F.lit(0))
+    """samples(sample_id, dims array<struct<normalized, value>>, evidence array<string>) with the nine parameters.
+
+    The depth of the base is the value of the first dimension whose text holds BASE_DEPTH_MARK and that has one; diameters and
+    the bore's depth come from all evidence of the sample.
+    """
+    marked = F.get(F.filter("dims", lambda d: F.contains(d["normalized"], F.lit(BASE_DEPTH_MARK)) & d["value"].isNotNull()), F.lit(0))
+    said = F.array_join("evidence", " | ")
     return samples.withColumns({
         **{k: F.lit(v) for k, v in DEFAULTS.items()},
-        "base_depth": F.coalesce(first_number(marked), F.lit(BASE_DEPTH)),
-        "through_hole_diameter": best_diameter(joined("through"), THROUGH_DIAMETERS),
-        "counterbore_diameter": best_diameter(joined("bore"), BORE_DIAMETERS),
-        "counterbore_depth": depth(joined("bore"), BORE_DEPTH),
+        "base_depth": F.coalesce(marked["value"].cast("double"), F.lit(BASE_DEPTH)),
+        "through_hole_diameter": best_diameter(said, THROUGH_DIAMETERS),
+        "counterbore_diameter": best_diameter(said, BORE_DIAMETERS),
+        "counterbore_depth": depth(said, BORE_DEPTH),
     })
 
 
@@ -31,17 +35,23 @@ def _number(value: Column) -> Column:
 
 
 def script(with_parameters: DataFrame) -> DataFrame:
-    """The parameters with script: a base, its holes on a grid, and chamfers where the sample has them."""
+    """The parameters (and counterbores, chamfers: the features' counts) with script: a base, its holes on a grid, chamfers
+    where the sample has them, threads as metadata, and the export beside the script."""
     at = lambda sx, sy: F.concat(F.lit("("), _number(sx * F.col("hole_pitch_x") / 2), F.lit(", "), _number(sy * F.col("hole_pitch_y") / 2), F.lit(")"))
-    grid = F.concat(F.lit("["), F.concat_ws(", ", *[at(x, y) for x in (-1, 1) for y in (-1, 1)]), F.lit("]"))
-    names = [*DEFAULTS, "base_depth", "through_hole_diameter", "counterbore_diameter", "counterbore_depth"]
+    grid = F.concat(F.lit("hole_points = ["), F.concat_ws(", ", *[at(x, y) for x in (-1, 1) for y in (-1, 1)]), F.lit("]"))
+    names = ["base_length", "base_width", "base_depth", "hole_pitch_x", "hole_pitch_y", "through_hole_diameter", "counterbore_diameter", "counterbore_depth", "chamfer_size"]
+    hole = F.when(F.col("counterbores") > 0, F.lit(".cboreHole(through_hole_diameter, counterbore_diameter, counterbore_depth)")).otherwise(F.lit(".hole(through_hole_diameter)"))
     lines = [
-        F.lit("import cadquery as cq"),
+        F.lit("from pathlib import Path\n\nimport cadquery as cq\n"),
+        F.concat(F.lit("# Draft for "), F.col("sample_id").cast("string"), F.lit(". REVIEW REQUIRED: the parameters are candidates.")),
         *[F.concat(F.lit(f"{n} = "), _number(F.col(n))) for n in names],
-        F.lit('part = cq.Workplane("XY").box(base_length, base_width, base_depth)'),
-        F.when(F.size("bore") > 0, F.concat(F.lit('part = part.faces(">Z").workplane().pushPoints('), grid, F.lit(").cboreHole(through_hole_diameter, counterbore_diameter, counterbore_depth)")))
-        .otherwise(F.concat(F.lit('part = part.faces(">Z").workplane().pushPoints('), grid, F.lit(").hole(through_hole_diameter)"))),
-        F.when(F.col("chamfers") > 0, F.lit('part = part.edges("|Z").chamfer(chamfer_size)')),
+        grid,
+        F.lit('result = cq.Workplane("XY").box(base_length, base_width, base_depth)'),
+        F.concat(F.lit('result = result.faces(">Z").workplane().pushPoints(hole_points)'), hole),
+        F.when(F.col("chamfers") > 0, F.lit("if chamfer_size > 0:\n    result = result.edges('|Z').chamfer(chamfer_size)")),
+        F.lit('thread_metadata = {"status": "not_geometrically_modeled"}'),
+        F.concat(F.lit('output_path = Path(__file__).with_name("'), F.col("sample_id").cast("string"), F.lit('_cadquery_draft.step")')),
+        F.lit("cq.exporters.export(result, str(output_path))"),
     ]
     return with_parameters.withColumn("script", F.concat(F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("\n")))
 

@@ -41,10 +41,12 @@ def dimensions(predictions: DataFrame) -> DataFrame:
 
 
 def candidates(predictions: DataFrame) -> DataFrame:
-    """Feature types of each sample: the greatest count, how many records saw it, the evidence in order."""
+    """Feature types of each sample: the greatest count, the models of the records that saw it, the evidence in order."""
     records = predictions.filter("task = 'feature_count'")
-    counts = records.select("sample_id", "ord", "evidence", F.explode("feature_counts").alias("type", "count")).withColumn("count", F.coalesce("count", F.lit(0)))
-    seen = counts.groupBy("sample_id", "type").agg(F.max("count").alias("count"), F.count_if(F.col("count") > 0).alias("sources"))
+    counts = records.select("sample_id", "ord", "model", "evidence", F.explode("feature_counts").alias("type", "count")).withColumn("count", F.coalesce("count", F.lit(0)))
+    # the models that saw it, in the order of their records
+    models = F.array_sort(F.collect_list(F.when(F.col("count") > 0, F.struct("ord", "model"))))
+    seen = counts.groupBy("sample_id", "type").agg(F.max("count").alias("count"), F.transform(models, lambda m: m["model"]).alias("sources"))
     said = counts.filter("count > 0").select("sample_id", "type", "ord", F.posexplode("evidence").alias("pos", "text"))
     once = said.groupBy("sample_id", "type", "text").agg(F.min(F.struct("ord", "pos")).alias("at"))
     evidence = once.groupBy("sample_id", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda e: e["text"]).alias("evidence"))

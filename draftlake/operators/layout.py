@@ -1,4 +1,4 @@
-"""Layout regions of a page from its line segments.
+"""Layout regions of a page from its line segments, or from its picture (``regions_of_pictures``).
 
 segments: image, node, horizontal, x1, y1, x2, y2; pages: image, width, height. Each detector returns image,
 region_type, x1, y1, x2, y2, confidence, keep_crop; ``regions`` unites them in their fixed order, numbers them and
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, hull, numbered
-from .raster import islands, line_components, table_confidence, table_type
+from . import pictures as P
+from .raster import _written, islands, line_components, table_confidence, table_type
 
 #: Shares of the page, pixels, and confidences of the detectors.
 EDGE, LONG, BORDER_PAD = 0.025, 0.35, 12
@@ -21,7 +22,7 @@ INNER_LIMIT, INNER_LENGTH, INNER_GAP, INNER_PAD = 0.08, 0.60, 8, 18
 FRAME_EDGE, FRAME_LENGTH = 0.04, 0.75
 TABLE_PAD, CORNER_PAD = 22, 14
 BAND_TOP, OVERLAP = 0.62, 0.35
-CONFIDENCE = {"page_border": 0.95, "inner_frame_strip": 0.88, "corner_metadata_box": 0.82}
+CONFIDENCE = {"page_border": 0.95, "inner_frame_strip": 0.88, "corner_metadata_box": 0.82, "technical_requirements": 0.78}
 COLUMNS = ["image", "region_type", *Box._fields, "confidence", "keep_crop"]
 
 
@@ -117,14 +118,38 @@ def corners(components: DataFrame, pages: DataFrame, known: DataFrame) -> DataFr
     return free.select(*_region("corner_metadata_box", box.padded(CORNER_PAD, F.col("width"), F.col("height"))), F.col("component").alias("part"))
 
 
-def regions(segments: DataFrame, pages: DataFrame) -> DataFrame:
-    """All regions of each page: region_id and the detectors' columns."""
+def notes(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """The written notes of a page; blocks: image and the hull of each page's notes."""
+    box = Box.of().padded(TABLE_PAD, F.col("width"), F.col("height"))
+    return blocks.join(pages, "image").select(*_region("technical_requirements", box), F.lit(0).alias("part"))
+
+
+def regions(segments: DataFrame, pages: DataFrame, corner_segments: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """All regions of each page: region_id and the detectors' columns. corner_segments: shorter lines, of which the boxes
+    in the corners are made (else the segments); blocks: hulls of notes."""
     inside = without_frame(segments, pages)
     components = line_components(inside)
     before = [borders(segments, pages), tables(components, pages), bottom_bands(line_components(lower_segments(inside, pages)), pages), inner_frames(segments, pages)]
     known = reduce(DataFrame.unionByName, [df.withColumn("detector", F.lit(i)) for i, df in enumerate(before)])
-    united = known.unionByName(corners(components, pages, known).withColumn("detector", F.lit(len(before))))
+    small = components if corner_segments is None else line_components(without_frame(corner_segments, pages))
+    united = known.unionByName(corners(small, pages, known).withColumn("detector", F.lit(len(before))))
+    if blocks is not None:
+        united = united.unionByName(notes(blocks, pages).withColumn("detector", F.lit(len(before) + 1)))
     order = Window.partitionBy("image").orderBy("detector", "part", "region_type")
     same = Window.partitionBy("image", "region_type", *Box._fields).orderBy("_n")
     given = united.withColumn("_n", F.row_number().over(order))
     return given.withColumn("_same", F.row_number().over(same)).filter("_same = 1").select(numbered("r", F.col("_n")).alias("region_id"), *COLUMNS)
+
+
+def regions_of_pictures(pages: DataFrame, rules: P.PictureRules = P.PictureRules()) -> DataFrame:
+    """The regions of page pictures (image, data: PNG). Pictures that can't be read have none."""
+    found = _written(P.marks(pages, rules))
+    sizes = found.filter("kind = 'page' AND width IS NOT NULL").select("image", "width", "height")
+    of = lambda kind: found.filter(F.col("kind") == kind).select("image", "node", "horizontal", *Box._fields)
+    return regions(of("line"), sizes, of("corner"), of("note").select("image", *Box._fields))
+
+
+def clean_pages(pages: DataFrame, rules: P.PictureRules = P.PictureRules()) -> tuple[DataFrame, DataFrame]:
+    """(regions, cleaned pictures with their masks) of page pictures."""
+    found = _written(regions_of_pictures(pages, rules))
+    return found, P.cleaned(pages, found)

@@ -5,8 +5,6 @@ A raster is a set of rows (image, y, x) of its dark pixels. Only decoding a pict
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +46,10 @@ def thick(pixels: DataFrame, least: int = 8) -> DataFrame:
 def _written(df: DataFrame) -> DataFrame:
     """df at a shared place, so that rounds don't repeat each other's work."""
     context = df.sparkSession.sparkContext
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
     if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(base)
     return df.checkpoint()
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, geometry, text
 from ..functions.geometry import Box
-from ..operators import cad, detections, drawing, features, layout, raster, scoring, views
+from ..operators import cad, detections, drawing, features, layout, pictures, raster, scoring, views
 from ..sources import files
 from . import adapters as A
+from . import drawn
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -249,8 +250,8 @@ def label_histogram(spark, sf_dir):
 
 
 _CANDIDATES_SQL = f"""WITH {A.PREDICTIONS_SQL}, c AS (
-  SELECT sample_id, ord, k, unnest(['through_hole', 'slot', 'chamfer']) AS type, unnest([k % 4, k % 3, 0]) AS n FROM predictions WHERE NOT is_dim),
-g AS (SELECT sample_id, type, max(n) AS count, count(*) FILTER (WHERE n > 0) AS sources FROM c GROUP BY ALL),
+  SELECT sample_id, ord, k, model, unnest(['through_hole', 'slot', 'chamfer']) AS type, unnest([k % 4, k % 3, 0]) AS n FROM predictions WHERE NOT is_dim),
+g AS (SELECT sample_id, type, max(n) AS count, coalesce(string_agg(model, ';' ORDER BY ord, model) FILTER (WHERE n > 0), '') AS sources FROM c GROUP BY sample_id, type),
 e AS (SELECT sample_id, type, 'note ' || (k % 7) AS text, min(ord) AS o FROM c WHERE n > 0 GROUP BY ALL),
 l AS (SELECT sample_id, type, string_agg(text, ';' ORDER BY o, text) AS evidence FROM e GROUP BY ALL),
 f AS (SELECT g.*, coalesce(evidence, '') AS evidence, printf('f%03d', row_number() OVER (PARTITION BY sample_id ORDER BY type)) AS id FROM g LEFT JOIN l USING (sample_id, type))"""
@@ -258,7 +259,7 @@ f AS (SELECT g.*, coalesce(evidence, '') AS evidence, printf('f%03d', row_number
 
 @query(_CANDIDATES_SQL + " SELECT sample_id, id, type, count, sources, evidence, CASE WHEN count > 0 THEN 'candidate' ELSE 'not_detected' END AS status FROM f")
 def feature_candidates(spark, sf_dir):
-    return features.candidates(A.predictions(spark, sf_dir)).withColumn("evidence", F.array_join("evidence", ";"))
+    return features.candidates(A.predictions(spark, sf_dir)).withColumns({c: F.array_join(c, ";") for c in ("evidence", "sources")})
 
 
 @query(f"""WITH {A.PREDICTIONS_SQL}, {A.DIMENSIONS_SQL}
@@ -335,8 +336,9 @@ def sanitised_scripts(spark, sf_dir):
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sanitised_script(given).alias("script"))
 
 
-_PARAMETERS_SQL = r"""SELECT p_partkey AS sample_id, CASE WHEN p_size % 10 = 9 AND (p_size // 10) % 10 = 2 THEN p_size ELSE 29 END::DOUBLE AS base_depth,
-  CASE WHEN p_size % 2 = 0 THEN 4.5 ELSE p_size END::DOUBLE AS through_hole_diameter, 8.0::DOUBLE AS counterbore_diameter, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 4.6 END::DOUBLE AS counterbore_depth"""
+_PARAMETERS_SQL = """SELECT p_partkey AS sample_id, CASE WHEN p_size = 29 THEN 29 WHEN p_size % 2 = 0 THEN p_size + 0.25 ELSE 29 END::DOUBLE AS base_depth,
+  CASE WHEN p_size % 2 = 0 THEN 4.5 ELSE p_size END::DOUBLE AS through_hole_diameter, CASE WHEN p_size % 3 = 0 THEN 6 WHEN p_size % 2 = 0 THEN 4.5 ELSE p_size END::DOUBLE AS counterbore_diameter,
+  CASE WHEN p_size % 3 = 0 THEN p_size ELSE 4.6 END::DOUBLE AS counterbore_depth"""
 
 
 @query(_PARAMETERS_SQL + " FROM part")
@@ -345,18 +347,26 @@ def cadquery_parameters(spark, sf_dir):
 
 
 def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size").cast("string")
+    """Dimensions whose value isn't the first number of their text, some without a value; diameters and depths spread
+    over the evidence."""
+    size = F.col("p_size")
+    thread = F.struct(F.concat(F.lit("4-M"), size.cast("string")).alias("normalized"), F.when(size % 3 != 0, size.cast("double")).alias("value"))
+    plain = F.struct(F.lit("29").alias("normalized"), F.when(size % 2 == 0, size + 0.25).alias("value"))
+    hole = F.when(size % 2 == 0, F.lit("2 x Φ4.5")).otherwise(F.concat(F.lit("Φ"), size.cast("string")))
+    bore = F.when(size % 3 == 0, F.concat(F.lit("Ø6 depth "), size.cast("string"))).otherwise("plain")
     return cad.parameters(A.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("sample_id"), F.array(size).alias("dims"), F.array(F.when(F.col("p_size") % 2 == 0, F.lit("2 x Φ4.5")).otherwise(F.concat(F.lit("Φ"), size))).alias("through"),
-        F.array(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("depth "), size)).otherwise("plain")).alias("bore"), (F.col("p_size") % 4).alias("chamfers"),
+        F.col("p_partkey").alias("sample_id"), F.array(thread, plain).alias("dims"), F.array(hole, bore).alias("evidence"), (size % 2).alias("counterbores"), (size % 4).alias("chamfers"),
     ))
 
 
-@query(f"""WITH p AS ({_PARAMETERS_SQL}, p_size % 4 > 0 AS chamfers FROM part)
-SELECT sample_id, concat_ws(chr(10), 'import cadquery as cq', 'base_length = 50.0', 'base_width = 45.0', 'hole_pitch_x = 38.0', 'hole_pitch_y = 30.0', 'chamfer_size = 2.0', 'base_depth = ' || base_depth,
-  'through_hole_diameter = ' || through_hole_diameter, 'counterbore_diameter = ' || counterbore_diameter, 'counterbore_depth = ' || counterbore_depth, 'part = cq.Workplane("XY").box(base_length, base_width, base_depth)',
-  'part = part.faces(">Z").workplane().pushPoints([(-19.0, -15.0), (-19.0, 15.0), (19.0, -15.0), (19.0, 15.0)]).cboreHole(through_hole_diameter, counterbore_diameter, counterbore_depth)',
-  CASE WHEN chamfers THEN 'part = part.edges("|Z").chamfer(chamfer_size)' END) || chr(10) AS script FROM p""")
+@query(f"""WITH p AS ({_PARAMETERS_SQL}, p_size FROM part)
+SELECT sample_id, concat_ws(chr(10), 'from pathlib import Path', '', 'import cadquery as cq', '', '# Draft for ' || sample_id || '. REVIEW REQUIRED: the parameters are candidates.',
+  'base_length = 50.0', 'base_width = 45.0', 'base_depth = ' || base_depth, 'hole_pitch_x = 38.0', 'hole_pitch_y = 30.0',
+  'through_hole_diameter = ' || through_hole_diameter, 'counterbore_diameter = ' || counterbore_diameter, 'counterbore_depth = ' || counterbore_depth, 'chamfer_size = 2.0',
+  'hole_points = [(-19.0, -15.0), (-19.0, 15.0), (19.0, -15.0), (19.0, 15.0)]', 'result = cq.Workplane("XY").box(base_length, base_width, base_depth)',
+  'result = result.faces(">Z").workplane().pushPoints(hole_points)' || CASE WHEN p_size % 2 > 0 THEN '.cboreHole(through_hole_diameter, counterbore_diameter, counterbore_depth)' ELSE '.hole(through_hole_diameter)' END,
+  CASE WHEN p_size % 4 > 0 THEN 'if chamfer_size > 0:' || chr(10) || '    result = result.edges(''|Z'').chamfer(chamfer_size)' END, 'thread_metadata = {{"status": "not_geometrically_modeled"}}',
+  'output_path = Path(__file__).with_name("' || sample_id || '_cadquery_draft.step")', 'cq.exporters.export(result, str(output_path))') || chr(10) AS script FROM p""")
 def cadquery_scripts(spark, sf_dir):
     return cad.script(_parameters(spark, sf_dir)).select("sample_id", "script")
 
@@ -455,3 +465,28 @@ def tile_grid_choice(spark, sf_dir):
 def skip_existing(spark, sf_dir):
     done = A.table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("sample_id"))
     return files.not_done(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id")), done, ["sample_id"])
+
+
+@query(f"""WITH {drawn.EXPECTED_SQL}
+SELECT s_suppkey AS image, region_type, least(x1 + s_suppkey // 5 % 7, 1000) AS x1, y1, least(x2 + s_suppkey // 5 % 7, 1000) AS x2, y2, confidence::DOUBLE AS confidence
+FROM supplier JOIN kinds ON s_suppkey % 5 = kind""")
+def page_layout(spark, sf_dir):
+    found = layout.regions_of_pictures(drawn.pictures(spark, sf_dir))
+    return found.select("image", "region_type", *Box._fields, F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT s_suppkey AS image, CASE WHEN s_suppkey % 5 = 1 THEN 1200000 ELSE 700000 END AS area, 0 AS ink_left FROM supplier")
+def page_cleaning(spark, sf_dir):
+    """Ink that's left on pages whose regions were painted white (all that's drawn on them lies in a region)."""
+    pages = drawn.pictures(spark, sf_dir)
+    _, cleaned = layout.clean_pages(pages)
+    left = pictures.marks(cleaned.select("image", F.col("clean").alias("data"))).groupBy("image")
+    return left.agg(F.max(F.col("width") * F.col("height")).alias("area"), F.count_if(F.col("kind") != "page").cast("int").alias("ink_left"))
+
+
+@query(drawn.DECISIONS_SQL)
+def view_filter_features(spark, sf_dir):
+    """The filter with what its candidates' crops look like, where there's a picture of the page."""
+    candidates, pages, regions = drawn.view_pages(spark, sf_dir)
+    decided = detections.decide(pictures.with_features(candidates, pages, ["sample_id", "page"]), regions)
+    return decided.select("sample_id", "ord", "reject_reason", "page_width")

@@ -117,7 +117,7 @@ def test_json(spark):
     df = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", documents.strict_json("t").alias("s"), documents.json_in_text("t").alias("j")).orderBy("i").collect()
     assert [r.s.document for r in df] == ['{"a": 1}', '{"a": 1}', None, None, None, None, "[1]"]
     assert "Trailing data" in df[2].s.error
-    assert [r.j for r in df] == ['{"a": 1}', '{"a": 1}', None, None, None, '{"a": {"b": 2}}', None]
+    assert [r.j for r in df] == ['{"a": 1}', '{"a": 1}', None, None, None, '{"a": {"b": 2}}', "[1]"]
 
 
 def test_drawing_documents_are_validated(spark):
@@ -149,7 +149,7 @@ def test_predictions_become_a_plan(spark):
     assert [(r.id, r.text, r.quantity, r.value) for r in dims.orderBy("id").collect()] == [("d001", "4-M3", 4, 3.0), ("d002", "29", None, 29.0)]
     found = features.candidates(given)
     assert [(r.id, r.type, r["count"], r.sources, r.evidence, r.status) for r in found.orderBy("id").collect()] == [
-        ("f001", "counterbore", 4, 1, ["c", "a"], "candidate"), ("f002", "slot", 0, 0, [], "not_detected"), ("f003", "through_hole", 4, 2, ["b", "a", "c"], "candidate"),
+        ("f001", "counterbore", 4, ["n"], ["c", "a"], "candidate"), ("f002", "slot", 0, [], [], "not_detected"), ("f003", "through_hole", 4, ["m", "n"], ["b", "a", "c"], "candidate"),
     ]
     steps = [(r.id, r.operation) for r in features.plan(given, found, dims).orderBy("id").collect()]
     assert steps == [("op001", "create_base_solid"), ("op002", "cut_through_hole_pattern"), ("op003", "cut_counterbore_or_spotface_pattern"), ("op004", "represent_threaded_holes")]
@@ -164,10 +164,16 @@ def test_scores(spark):
 
 
 def test_draft_parameters(spark):
-    given = spark.createDataFrame([("S", ["4-M3", "29.00"], ["8 x Φ5.5"], ["Φ8 深4.6"], 4), ("T", [], [], [], 0)], "sample_id string, dims array<string>, through array<string>, bore array<string>, chamfers int")
+    # the text's first number isn't the value; the bore's diameter stands beside another feature; U has evidence of a bore
+    # but counts none
+    rows = [("S", [("4-M29", None), ("29", 29.5)], ["8 x Φ5.5", "Φ8 深4.6"], 4, 4), ("T", [], [], 0, 0), ("U", [("4-M29", 3.0)], ["Φ8 深5"], 0, 0)]
+    given = spark.createDataFrame(rows, "sample_id string, dims array<struct<normalized string, value double>>, evidence array<string>, counterbores int, chamfers int")
     rows = {r.sample_id: r for r in cad.script(cad.parameters(given)).collect()}
     s = rows["S"]
-    assert (s.base_depth, s.through_hole_diameter, s.counterbore_diameter, s.counterbore_depth) == (29.0, 5.5, 8.0, 4.6)
+    assert (s.base_depth, s.through_hole_diameter, s.counterbore_diameter, s.counterbore_depth) == (29.5, 5.5, 8.0, 4.6)
+    u = rows["U"]
+    assert (u.base_depth, u.through_hole_diameter, u.counterbore_depth) == (3.0, 8.0, 5.0) and ".hole(" in u.script
+    assert rows["T"].base_depth == 29.0 and "cq.exporters.export" in s.script and "thread_metadata" in s.script
     assert ".cboreHole(" in s.script and ".chamfer(" in s.script and ".cboreHole(" not in rows["T"].script
     compile(s.script, "script", "exec")
 
