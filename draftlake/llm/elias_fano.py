@@ -11,6 +11,23 @@ import uuid
 import numpy as np
 
 
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_FIVES, _THREES, _FIFTEENS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+#: Place of the k-th one of a byte, at 256 k + byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [8] * 8)[k] for k in range(8) for byte in range(256)], np.int64)
+
+
+def select_in_word(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) of each 64-bit word: its byte by running sums of the bytes' ones, then a table."""
+    sums = bits - ((bits >> np.uint64(1)) & _FIVES)
+    sums = (sums & _THREES) + ((sums >> np.uint64(2)) & _THREES)
+    sums = ((sums + (sums >> np.uint64(4))) & _FIFTEENS) * _BYTES
+    place = np.bitwise_count(((k * _BYTES) | _TOPS) - sums & _TOPS).astype(np.uint64) << np.uint64(3)
+    rank = k - (((sums << np.uint64(8)) >> place) & np.uint64(255))
+    byte = (bits >> np.minimum(place, np.uint64(63))) & np.uint64(255)
+    return place.astype(np.int64) + _IN_BYTE[np.minimum((rank << np.uint64(8)) | byte, np.uint64(2047)).astype(np.int64)]
+
+
 class EliasFano:
     """A sorted array of distinct non-negative numbers below 2**64.
 
@@ -19,7 +36,7 @@ class EliasFano:
     """
 
     def __init__(self, low_bits: int, count: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray) -> None:
-        self.low_bits, self.count, self.low, self.high, self.zeros = low_bits, count, low, high, zeros
+        self.low_bits, self.count, self.low, self.high, self.zeros, self._ones = low_bits, count, low, high, zeros, None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -54,26 +71,26 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
         beyond = word >= len(self.high)
         word = np.minimum(word, len(self.high) - 1)
-        left, bits, place = (k - self.zeros[word].astype(np.int64)).astype(np.uint64), ~self.high[word], np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.uint64)
-            go = left >= here
-            left = np.where(go, left - here, left)
-            place += go * width
-            bits = np.where(go, bits >> np.uint64(width), bits)
+        place = select_in_word(~self.high[word], (k - self.zeros[word].astype(np.int64)).astype(np.uint64))
         return np.where(beyond, len(self.high) * 64, word * 64 + place)
 
+    def _next0(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Place of the first zero from each place on, the k-th of all: mostly in the same word."""
+        word = np.minimum(at >> 6, len(self.high) - 1)
+        rest = ~self.high[word] >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero((rest == 0) | (at >= len(self.high) * 64))
+        if len(far):
+            out[far] = self._select0(k[far])
+        return out
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at these places: select of their ones, and their low bits."""
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)  # before each word
+        if self._ones is None:  # before each word
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+        ones = self._ones
         word = np.searchsorted(ones, at, "right") - 1
-        left, bits, place = (at - ones[word]).astype(np.uint64), self.high[np.minimum(word, len(self.high) - 1)], np.zeros(len(at), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            here = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.uint64)
-            go = left >= here
-            left = np.where(go, left - here, left)
-            place += go * width
-            bits = np.where(go, bits >> np.uint64(width), bits)
+        place = select_in_word(self.high[np.minimum(word, len(self.high) - 1)], (at - ones[word]).astype(np.uint64))
         return ((word * 64 + place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
 
     def find(self, values: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -83,8 +100,8 @@ class EliasFano:
         if not self.count or not len(values):
             return out
         part = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        first = np.where(part > 0, self._select0(np.maximum(part - 1, 0)) + 1 - part, 0)
-        end = np.minimum(self._select0(part) - part, self.count)
+        begin = np.where(part > 0, self._select0(np.maximum(part - 1, 0)) + 1, 0)
+        first, end = begin - part, np.minimum(self._next0(begin, part) - part, self.count)
         if within is not None:
             first, end = np.maximum(first, within[0]), np.minimum(end, within[1])
         want = values & np.uint64((1 << self.low_bits) - 1)
@@ -152,10 +169,10 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         with os.fdopen(handle, "wb") as out, store.open_input_stream(remote) as source:
             while block := source.read(1 << 24):
                 out.write(block)
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
         os.unlink(path)
     else:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))
     size = int.from_bytes(raw[:8].tobytes(), "little")
     entries = json.loads(raw[8 : 8 + size].tobytes())
     start = 8 + size

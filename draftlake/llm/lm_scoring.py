@@ -41,7 +41,7 @@ from .words import mix, slices, word_hashes
 
 PRIOR, DISCOUNT_DEFAULT, ORDER = 30.0, 0.5, 3
 #: Keys that a task gathers before it hands on a partial count, tokens that are looked up together.
-PENDING, TOGETHER = 1_000_000, 400_000
+PENDING, TOGETHER = 1_000_000, 600_000
 SLICES_OF_CONTEXT = 64
 #: Bytes of text that a segment stands for: about as many words as a task has to merge. Larger executors can take more.
 SEGMENT_BYTES, FEWEST_SEGMENTS = 6 << 20, 64
@@ -178,7 +178,7 @@ class Levels:
             firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             context = data[0].find(own[firsts].astype(np.uint64))
             known = context >= 0
-            begin, end = (data[1].access(context[known] + k).astype(np.int64) for k in (0, 1))
+            begin, end = data[1].access(np.concatenate([context[known], context[known] + 1])).astype(np.int64).reshape(2, -1)
             before = np.where(begin > 0, data[2].access(np.maximum(begin - 1, 0)), 0).astype(np.int64)
             many = np.diff(np.append(firsts, len(own)))
             at = at[np.repeat(known, many)]
