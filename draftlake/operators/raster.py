@@ -5,6 +5,9 @@ A raster is a set of rows (image, y, x) of its dark pixels. Only decoding a pict
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +51,10 @@ def _written(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not base:  # a local session's own machine is all there is
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(base)
     return df.checkpoint()
 
