@@ -63,8 +63,9 @@ class EliasFano:
         bit = at.astype(np.uint64) * np.uint64(self.low_bits)
         word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
         both = self.low[word] >> shift
-        both |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), 0).astype(np.uint64)
-        return both & np.uint64((1 << self.low_bits) - 1)
+        both |= (self.low[word + 1] << np.uint64(1)) << (shift ^ np.uint64(63))  # by 64 - shift, which is 64 for 0: nothing
+        both &= np.uint64((1 << self.low_bits) - 1)
+        return both
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero (from 0), past the end if there are fewer."""

@@ -168,7 +168,7 @@ class Levels:
     def _found(self, level, contexts: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, tuple, np.ndarray, np.ndarray]]:
         """For each segment: itself, its data, positions of the keys that it holds, their places in it. The keys come
         in the order of (context, word)."""
-        owner = self.segments_of(contexts, words)
+        owner = _small(self.segments_of(contexts, words), self.trie.segments)
         order = np.argsort(owner, kind="stable")
         for segment, low, high in _ranges(owner[order]):
             at, data = order[low:high], level(segment)
@@ -220,6 +220,11 @@ def _ranges(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(ordered[low]), int(low), int(cuts[i + 1]) if i + 1 < len(cuts) else len(ordered)
 
 
+def _small(owner: np.ndarray, segments: int) -> np.ndarray:
+    """Numbers of segments in 16 bits where they fit: a stable sort of those goes by their bytes."""
+    return owner.astype(np.uint16) if segments <= 1 << 16 else owner
+
+
 def _with_end(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of each text, then the end token; and the number of tokens of each text."""
     lengths = counts + 1
@@ -239,7 +244,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _emit(pending: list[np.ndarray], segment_of, segments: int) -> Iterator[pa.RecordBatch]:
     keys, counts = _count(np.concatenate(pending))
-    owner = segment_of(keys)
+    owner = _small(segment_of(keys), segments)
     order = np.argsort(owner, kind="stable")
     owner, keys, counts = owner[order], keys[order], counts[order]
     del order
@@ -414,18 +419,20 @@ _levels: dict[str, Levels] = {}
 def _score_block(levels: Levels, tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     trie = levels.trie
     distinct, where = np.unique(tokens, return_inverse=True)
-    ids, counts, logs = (x[where] for x in levels.find_words(distinct))
+    # what depends on one word alone is reckoned once a distinct word
+    found = levels.find_words(distinct)
+    ids, counts, logs = (x[where] for x in found)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    base = np.log10((counts + 1) / (trie.tokens + trie.words + 1))
+    base = np.log10((found[1] + 1) / (trie.tokens + trie.words + 1))[where]
     if trie.tokens:
         before = np.concatenate([ids[-1:], ids[:-1]])
-        context_counts = np.concatenate([counts[-1:], counts[:-1]])
-        score = logs + np.where(before >= 0, np.log10(trie.prior / (context_counts + trie.prior)), 0.0)
+        backing_off = np.where(found[0] >= 0, np.log10(trie.prior / (found[1] + trie.prior)), 0.0)[where]
+        score = logs + np.concatenate([backing_off[-1:], backing_off[:-1]])
         both = np.flatnonzero((ids >= 0) & (before >= 0))
         pairs, which = np.unique(before[both] * trie.words + ids[both], return_inverse=True)
-        numbers, pair_counts, found = (x[which] for x in levels.find_pairs(pairs // trie.words, pairs % trie.words))
-        hit = ~np.isnan(found)
-        score[both[hit]] = found[hit]
+        numbers, pair_counts, pair_logs = (x[which] for x in levels.find_pairs(pairs // trie.words, pairs % trie.words))
+        hit = ~np.isnan(pair_logs)
+        score[both[hit]] = pair_logs[hit]
         if trie.order > 2:
             pair_before, count_before = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
             pair_before[both], count_before[both] = numbers, pair_counts
@@ -435,7 +442,7 @@ def _score_block(levels: Levels, tokens: np.ndarray, lengths: np.ndarray) -> lis
             triple_counts, inner = np.zeros(len(at), np.int64), np.flatnonzero(ids[at] >= 0)
             triples, which = np.unique(pair_before[at[inner]] * trie.words + ids[at[inner]], return_inverse=True)
             triple_counts[inner] = levels.find_triples(triples // trie.words, triples % trie.words)[which]
-            score[at] = np.log10((triple_counts + trie.prior * 10 ** score[at]) / (count_before[at] + trie.prior))
+            score[at] = np.log10((triple_counts + trie.prior * np.exp(score[at] * np.log(10))) / (count_before[at] + trie.prior))
     else:
         score = base
     return [lengths, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
