@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, toxicity
+from . import chat, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_lm_score": lm_scoring.op10_lm_score,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_chat_format": chat.OP6_SQL,
     "op8_embedding_dedup": embedding_dedup.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_quality_rules": quality_rules.OP11_SQL,
 }
