@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, exact_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, toxicity
+from . import chat, embedding_dedup, exact_dedup, fill_middle, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_lm_score": lm_scoring.op10_lm_score,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op8_embedding_dedup": embedding_dedup.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op11_quality_rules": quality_rules.OP11_SQL,
+    "op12_fill_middle": fill_middle.OP12_SQL,
 }
