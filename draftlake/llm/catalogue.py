@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, exact_dedup, fill_middle, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, toxicity
+from . import chat, embedding_dedup, exact_dedup, fill_middle, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, toxicity, turn_repair
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lm_score": lm_scoring.op10_lm_score,
     "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_turn_repair": turn_repair.op13_turn_repair,
 }
 
 ORACLE_SQL = {
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op11_quality_rules": quality_rules.OP11_SQL,
     "op12_fill_middle": fill_middle.OP12_SQL,
+    "op13_turn_repair": turn_repair.OP13_SQL,
 }
