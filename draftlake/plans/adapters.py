@@ -18,7 +18,7 @@ LAYOUT_TYPES = {"1-URGENT": "title_or_tolerance_table", "2-HIGH": "revision_tabl
 
 DETECTIONS_SQL = f"""detections AS (
   SELECT l_orderkey AS sample_id, 1 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS INT) AS ord,
-         {', '.join(f'CAST({e} AS INT) AS {c}' for c, e in BOX_SQL.items())}, (l_partkey % 100) / 100.0::DOUBLE AS score, l_suppkey
+         {', '.join(f'CAST({e} AS INT) AS {c}' for c, e in BOX_SQL.items())}, (l_partkey % 100) / 100.0::DOUBLE AS score, l_suppkey, l_returnflag, l_tax
   FROM lineitem)"""
 LAYOUT_SQL = f"""layout AS (
   SELECT o_orderkey AS sample_id, 1 AS page, 1 AS ord,
@@ -37,7 +37,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     return lines.select(
         F.col("l_orderkey").alias("sample_id"), F.lit(1).alias("page"), ord_.alias("ord"), *[F.expr(e).cast("int").alias(c) for c, e in BOX_SQL.items()],
-        (F.col("l_partkey") % 100 / 100.0).alias("score"), F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"), "l_suppkey",
+        (F.col("l_partkey") % 100 / 100.0).alias("score"), F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"), "l_suppkey", "l_returnflag", "l_tax",
     ).withColumn("view_id", F.format_string("view_%03d", "ord"))
 
 
@@ -52,21 +52,29 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VIEWS_SQL = """views AS (
-  SELECT sample_id, ord, x1 + CAST(l_suppkey % 5 AS INT) AS x1, y1 + CAST(l_suppkey % 5 AS INT) AS y1, x2 + CAST(l_suppkey % 5 AS INT) AS x2, y2 + CAST(l_suppkey % 5 AS INT) AS y2, score
-  FROM detections WHERE ord % 4 <> 3),
-accepted AS (SELECT * FROM detections WHERE score >= 0.5 AND sample_id % 10 <> 0)"""
+#: Samples with a document of detections, of single views, of accepted views: by columns of orders.
+DETECTED, EXPORTED, ACCEPTED = "o_orderpriority <> '1-URGENT'", "o_orderpriority <> '5-LOW'", "o_orderstatus <> 'P'"
+ACCEPTED_SQL = f"sample_id IN (SELECT o_orderkey FROM orders WHERE {ACCEPTED})"
+VIEWS_SQL = f"""views AS (
+  SELECT sample_id, ord, x1 + CAST(l_suppkey % 5 AS INT) AS x1, y1 + CAST(l_suppkey % 5 AS INT) AS y1, x2 + CAST(l_suppkey % 5 AS INT) AS x2, y2 + CAST(l_suppkey % 5 AS INT) AS y2, score, l_tax
+  FROM detections WHERE l_returnflag <> 'R'),
+accepted AS (SELECT * FROM detections WHERE score >= 0.5 AND {ACCEPTED_SQL})"""
 
 
 def views(found: DataFrame) -> DataFrame:
-    """Crops for three of four detections, a few pixels off."""
+    """Crops of the detections that weren't returned, a few pixels off."""
     off = (F.col("l_suppkey") % 5).cast("int")
-    return found.filter("ord % 4 <> 3").withColumns({c: F.col(c) + off for c in ("x1", "y1", "x2", "y2")})
+    return found.filter("l_returnflag <> 'R'").withColumns({c: F.col(c) + off for c in ("x1", "y1", "x2", "y2")})
 
 
-def accepted(found: DataFrame) -> DataFrame:
-    """Detections taken as accepted; a tenth of the samples has none."""
-    return found.filter("score >= 0.5 AND sample_id % 10 <> 0")
+def of_samples(found: DataFrame, sf_dir: str, which: str) -> DataFrame:
+    """What belongs to samples that have a document."""
+    return found.join(table(found.sparkSession, sf_dir, "orders").filter(which).select(F.col("o_orderkey").alias("sample_id")), "sample_id", "left_semi")
+
+
+def accepted(found: DataFrame, sf_dir: str) -> DataFrame:
+    """Detections taken as accepted, where the sample has a document of them."""
+    return of_samples(found.filter("score >= 0.5"), sf_dir, ACCEPTED)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

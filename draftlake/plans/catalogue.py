@@ -93,7 +93,7 @@ shares AS (
   FROM views v JOIN accepted d USING (sample_id)),
 matches AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, ord ORDER BY share DESC, match_ord) AS r FROM shares WHERE share >= 0.85) WHERE r = 1),
 kept AS (
-  SELECT v.*, m.ord IS NOT NULL OR v.sample_id NOT IN (SELECT sample_id FROM detections WHERE sample_id % 10 <> 0) AS stays FROM views v LEFT JOIN matches m USING (sample_id, ord)),
+  SELECT v.*, m.ord IS NOT NULL OR NOT v.{A.ACCEPTED_SQL} AS stays FROM views v LEFT JOIN matches m USING (sample_id, ord)),
 g AS (
   SELECT *, greatest(1, x2 - x1) * greatest(1, y2 - y1) AS area, greatest(1, x2 - x1) / greatest(1, y2 - y1) AS aspect, (x1 + x2) / 2 / 1000 AS cx, (y1 + y2) / 2 / 700 AS cy FROM kept WHERE stays),
 o AS (SELECT *, count(*) OVER s >= 3 AND cx >= 0.52 AND cy >= 0.48 AND area <= max(area) OVER s * 0.75 AND aspect BETWEEN 0.45 AND 2.2 AS oblique FROM g WINDOW s AS (PARTITION BY sample_id)),
@@ -106,7 +106,7 @@ t AS (
 
 def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = A.detections(spark, sf_dir)
-    return views.split_by_detections(A.views(found), A.accepted(found), found.filter("sample_id % 10 <> 0"))
+    return views.split_by_detections(A.views(found), A.accepted(found, sf_dir), A.of_samples(found, sf_dir, A.ACCEPTED))
 
 
 @query(_MATCH_SQL + " SELECT sample_id, ord, view_type, confidence, front AS is_primary, confidence < 0.6 OR view_type = 'unknown' AS needs_review FROM t")
@@ -122,20 +122,20 @@ def view_classify_skipped(spark, sf_dir):
 @query(_MATCH_SQL + " SELECT sample_id, ord, match_ord, share AS match_share FROM matches")
 def view_best_detection(spark, sf_dir):
     found = A.detections(spark, sf_dir)
-    return views.match(A.views(found), A.accepted(found))
+    return views.match(A.views(found), A.accepted(found, sf_dir))
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = A.detections(spark, sf_dir)
     name = F.when(F.col("sample_id") % 7 == 0, F.concat(F.col("sample_id").cast("string"), F.lit("-Copy"))).otherwise(F.col("sample_id").cast("string")).alias("sample_id")
-    seen = found.filter("sample_id % 11 <> 0").groupBy(name).agg(F.count_if(F.expr("score >= 0.5")).alias("detected"), F.count_if(F.expr("score < 0.5")).alias("rejected"))
-    crops = A.views(found).filter("sample_id % 13 <> 0").groupBy(name).agg(F.count(F.lit(1)).alias("exported"), F.count_if(F.expr("x1 % 17 <> 0")).alias("with_metadata"), F.count_if(F.expr("y1 % 19 <> 0")).alias("with_image"))
+    seen = A.of_samples(found, sf_dir, A.DETECTED).groupBy(name).agg(F.count_if(F.expr("score >= 0.5")).alias("detected"), F.count_if(F.expr("score < 0.5")).alias("rejected"))
+    crops = A.of_samples(A.views(found), sf_dir, A.EXPORTED).groupBy(name).agg(F.count(F.lit(1)).alias("exported"), F.count_if(F.expr("x1 % 17 <> 0")).alias("with_metadata"), F.count_if(F.expr("y1 % 19 <> 0")).alias("with_image"))
     return views.audit(seen, crops)
 
 
 _AUDIT_SQL = f"""WITH {A.DETECTIONS_SQL}, {A.VIEWS_SQL},
-s AS (SELECT CASE WHEN sample_id % 7 = 0 THEN sample_id || '-Copy' ELSE sample_id::VARCHAR END AS id, count(*) FILTER (WHERE score >= 0.5) AS detected, count(*) FILTER (WHERE score < 0.5) AS rejected FROM detections WHERE sample_id % 11 <> 0 GROUP BY 1),
-c AS (SELECT CASE WHEN sample_id % 7 = 0 THEN sample_id || '-Copy' ELSE sample_id::VARCHAR END AS id, count(*) AS exported, count(*) FILTER (WHERE x1 % 17 <> 0) AS with_metadata, count(*) FILTER (WHERE y1 % 19 <> 0) AS with_image FROM views WHERE sample_id % 13 <> 0 GROUP BY 1),
+s AS (SELECT CASE WHEN sample_id % 7 = 0 THEN sample_id || '-Copy' ELSE sample_id::VARCHAR END AS id, count(*) FILTER (WHERE score >= 0.5) AS detected, count(*) FILTER (WHERE score < 0.5) AS rejected FROM detections WHERE sample_id IN (SELECT o_orderkey FROM orders WHERE {A.DETECTED}) GROUP BY 1),
+c AS (SELECT CASE WHEN sample_id % 7 = 0 THEN sample_id || '-Copy' ELSE sample_id::VARCHAR END AS id, count(*) AS exported, count(*) FILTER (WHERE x1 % 17 <> 0) AS with_metadata, count(*) FILTER (WHERE y1 % 19 <> 0) AS with_image FROM views WHERE sample_id IN (SELECT o_orderkey FROM orders WHERE {A.EXPORTED}) GROUP BY 1),
 b AS (
   SELECT coalesce(s.id, c.id) AS sample_id, s.id IS NOT NULL AS has_detection, coalesce(exported, 0) > 0 AS has_views, coalesce(detected, 0) AS detected, coalesce(rejected, 0) AS rejected, coalesce(exported, 0) AS exported,
          coalesce(with_metadata, 0) AS with_metadata, coalesce(with_image, 0) AS with_image FROM s FULL JOIN c ON s.id = c.id),
@@ -167,15 +167,15 @@ def drawing_quality(spark, sf_dir):
 
 
 @query(_MATCH_SQL + """ SELECT t.sample_id, t.ord, m.match_ord, coalesce(d.score, t.ord / 10.0::DOUBLE) AS final_score,
-  CASE WHEN t.ord % 5 = 0 THEN 'missing view metadata' WHEN m.match_ord IS NULL THEN 'does not match any accepted detection' END AS error
+  CASE WHEN t.l_tax = 0 THEN 'missing view metadata' WHEN m.match_ord IS NULL THEN 'does not match any accepted detection' END AS error
 FROM t LEFT JOIN matches m USING (sample_id, ord) LEFT JOIN accepted d ON d.sample_id = t.sample_id AND d.ord = m.match_ord
-WHERE NOT (t.ord % 5 = 0 AND m.match_ord IS NULL)
-UNION ALL SELECT t.sample_id, t.ord, NULL, NULL, 'missing view metadata' FROM t LEFT JOIN matches m USING (sample_id, ord) WHERE t.ord % 5 = 0 AND m.match_ord IS NULL""")
+WHERE NOT (t.l_tax = 0 AND m.match_ord IS NULL)
+UNION ALL SELECT t.sample_id, t.ord, NULL, NULL, 'missing view metadata' FROM t LEFT JOIN matches m USING (sample_id, ord) WHERE t.l_tax = 0 AND m.match_ord IS NULL""")
 def drawing_views(spark, sf_dir):
     found = A.detections(spark, sf_dir)
     kept = views.classify(_views(spark, sf_dir)[0])
-    metadata = found.filter("ord % 5 <> 0").select("sample_id", "view_id", (F.col("ord") / 10.0).alias("meta_score"))
-    return drawing.with_detector(kept.drop("score"), A.accepted(found).withColumn("source_view_id", F.col("view_id")), metadata).select("sample_id", "ord", "match_ord", "final_score", "error")
+    metadata = found.filter("l_tax <> 0").select("sample_id", "view_id", (F.col("ord") / 10.0).alias("meta_score"))
+    return drawing.with_detector(kept.drop("score"), A.accepted(found, sf_dir).withColumn("source_view_id", F.col("view_id")), metadata).select("sample_id", "ord", "match_ord", "final_score", "error")
 
 
 _JSON_SQL = """WITH j AS (
