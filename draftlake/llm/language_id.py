@@ -10,7 +10,8 @@ the greatest sum of its words' posterior probabilities, which label code-switche
 is their mean.
 
 Fitting uses at most ``most_rows`` documents of each language and ``most_bytes`` of their texts (those with the least hash), in
-one task on an executor; the driver gets the model. More than ``MOST_LANGUAGES`` languages are an error, not a cut.
+one task on an executor; the driver gets the model. Texts above a quarter of these bytes are passed over; of a language that has no
+others, its shortest text is learned from. More than ``MOST_LANGUAGES`` languages are an error, not a cut.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; with nothing to learn from, all get
 ``und``; with one language to learn from, that one; repeated rows count each; an empty table gives an empty
@@ -201,11 +202,15 @@ def training_rows(docs: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int =
     least hash; rows that repeat both id and language count once (the least text)."""
     known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     sizes = known.groupBy("lang", "doc_id").agg(F.min(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).withColumn("order", F.xxhash64("doc_id"))
+    # a long text would take up the bytes of all after it; with no others in the language, the shortest is its sample
+    sizes = sizes.withColumn("long", F.col("bytes") > most_bytes // 4).withColumn("order", F.when(F.col("long"), F.col("bytes")).otherwise(F.col("order")))
+    order = ("long", "order", "doc_id")
     # the first of each language, from the first of each part of it: no task ranks a whole language
-    part = Window.partitionBy("lang", F.pmod("doc_id", F.lit(256))).orderBy("order", "doc_id")
+    part = Window.partitionBy("lang", F.pmod("doc_id", F.lit(256))).orderBy(*order)
     some = sizes.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= most_rows)
-    whole = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = some.withColumns({"n": F.row_number().over(whole), "sum": F.sum("bytes").over(whole)}).filter((F.col("n") <= most_rows) & (F.col("sum") <= most_bytes))
+    whole = Window.partitionBy("lang").orderBy(*order)
+    within = F.when(F.col("long"), F.col("n") == 1).otherwise(F.col("sum") <= most_bytes)
+    chosen = some.withColumns({"n": F.row_number().over(whole), "sum": F.sum("bytes").over(whole)}).filter((F.col("n") <= most_rows) & within)
     chosen = chosen.select("lang", "doc_id", "bytes")  # at most most_rows for each of the languages
     fits = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["lang", "doc_id"]).filter(F.octet_length(F.coalesce("text", F.lit(""))) == F.col("bytes"))
     return fits.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
