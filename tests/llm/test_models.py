@@ -49,6 +49,23 @@ def test_every_language_is_learned_from_within_bounds(spark):
     assert few.groupby("lang")["text"].agg(lambda t: t.str.len().sum()).max() <= 12 and len(few) >= 4
 
 
+def test_a_long_text_takes_no_language_out(spark):
+    docs = spark.createDataFrame([(i, "x" * (3000 if i % 9 == 0 else 30), "some") for i in range(60)] + [(i, "y" * (3000 + i), "only long") for i in range(100, 130)], "doc_id long, text string, lang string")
+    got = language_id.training_rows(docs, most_bytes=2000).toPandas()
+    assert (got["lang"] == "some").sum() > 30 and got[got["lang"] == "some"]["text"].str.len().max() == 30
+    import zlib
+
+    assert got[got["lang"] == "only long"]["doc_id"].tolist() == [min(i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 3 != 1)]
+
+
+def test_a_long_text_takes_no_class_out(spark):
+    docs = spark.createDataFrame([(i, "x" * (3000 if i % 9 == 0 else 30)) for i in range(60)] + [(i, "y" * (3000 + i)) for i in range(100, 130)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in [*range(60), *range(100, 130)]], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, toxicity.Bounds(toxic_bytes=2000, clean_bytes=2000)).toPandas()
+    assert (got["toxic"] == 0).sum() > 30 and got[got["toxic"] == 0]["text"].str.len().max() == 30
+    assert (got["toxic"] == 1).sum() == 1
+
+
 def test_long_unspaced_text_is_judged_over_its_whole_length(spark, texts):
     model = language_id.fit([t for _, t, _ in texts], [x for _, _, x in texts], epochs=15)
     begin, rest = (made_up(random.Random(i), lang, n).replace(" ", "") for i, lang, n in ((1, "en", 25), (2, "de", 120)))
