@@ -243,7 +243,7 @@ def damage(turns: DataFrame) -> DataFrame:
 
 def in_order(turns: DataFrame) -> DataFrame:
     """Rows with ``at``, a running number by conversation, turn, role and text; equal rows once, with their number
-    ``copies``. Which rows come first in their conversation with their role and text is ``first_said``."""
+    ``copies``."""
     space = F.lit(" ")
     rows = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
@@ -251,31 +251,31 @@ def in_order(turns: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # bounds are sampled: of texts only their beginnings go to the driver for them
     spread = rows.repartitionByRange(parts, *order, F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(*order, "text")
-    rows = materialise(spread.withColumn("at", F.monotonically_increasing_id()), "turns-in-order")
-    said = rows.groupBy("conv_id", "role", F.sha2("text", 256).alias("text")).agg(F.min("at").alias("at"))
-    return rows.join(said.select("at", F.lit(True).alias("first_said")), "at", "left").withColumn("first_said", F.coalesce("first_said", F.lit(False)))
+    return materialise(spread.withColumn("at", F.monotonically_increasing_id()), "turns-in-order")
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """The rows of in_order with blank, duplicate, truncated (numbers of copies that are), initial and symbol."""
+    """Of the rows of in_order: at, conv_id, turn, copies, initial, symbol, and blank, duplicate, truncated (numbers of copies that
+    are). Texts aren't moved: a row is the first with its role and text if its place is the least among those of their digest."""
     said = F.rtrim(F.col("text"), F.lit(SPACES))
-    blank, cut = said == "", ~F.substring(said, -1, 1).isin(".", "!", "?")
-    goes = blank | ~F.col("first_said")
-    initial = F.substring("role", 1, 1)
-    known = F.when(initial.isin("s", "u", "a"), initial).otherwise("o")
-    zero = F.lit(0).cast("long")
-    return rows.select(
-        "*", F.when(blank, F.col("copies")).otherwise(zero).alias("blank"),
-        F.when(blank, zero).when(F.col("first_said"), F.col("copies") - 1).otherwise(F.col("copies")).alias("duplicate"),
-        F.when(goes | ~cut, zero).otherwise(F.lit(1).cast("long")).alias("truncated"),
-        initial.alias("initial"), F.when(goes, "x").when(cut, F.upper(known)).otherwise(known).alias("symbol"),
+    first = rows.groupBy("conv_id", F.unhex(F.sha2(F.concat_ws(":", F.length("role"), "role", "text"), 256)).alias("digest")).agg(F.min("at").alias("at"))
+    marked = rows.select("at", "conv_id", "turn", "copies", F.substring("role", 1, 1).alias("initial"), (said == "").alias("empty"), (~F.substring(said, -1, 1).isin(".", "!", "?")).alias("cut"))
+    marked = marked.join(first.select("at", F.lit(True).alias("first")), "at", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    known = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("o")
+    goes, zero = F.col("empty") | ~F.col("first"), F.lit(0).cast("long")
+    return marked.select(
+        "at", "conv_id", "turn", "copies", "initial", F.when(F.col("empty"), F.col("copies")).otherwise(zero).alias("blank"),
+        F.when(F.col("empty"), zero).when(F.col("first"), F.col("copies") - 1).otherwise(F.col("copies")).alias("duplicate"),
+        F.when(goes | ~F.col("cut"), zero).otherwise(F.lit(1).cast("long")).alias("truncated"),
+        F.when(goes, "x").when(F.col("cut"), F.upper(known)).otherwise(known).alias("symbol"),
     )
 
 
 def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables of turns (conv_id, turn, role, text): the repaired rows (conv_id, at, part, role, text; in the order of
     at and part), and a report by conversation (conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit)."""
-    rows = materialise(faults(in_order(turns)), "turn-faults")
+    texts = in_order(turns)
+    rows = materialise(faults(texts), "turn-faults")
     piece = F.struct("at", "symbol", "initial", "copies")
     chunks = materialise(
         rows.groupBy("conv_id", F.shiftright("at", CHUNK_BITS).alias("chunk"))
@@ -321,7 +321,7 @@ def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     edits = told.select(F.inline(F.arrays_zip("places", "edits", "roles"))).withColumnRenamed("places", "at").filter("edits <> 'D'")
-    return _applied(rows, edits), report
+    return _applied(texts, edits), report
 
 
 def _applied(rows: DataFrame, edits: DataFrame) -> DataFrame:
