@@ -6,7 +6,8 @@ state lives in RocksDB on the executors' disks and, checkpointed, in the shared
 digest seen before are then checked byte by byte; digests that stand for different bytes (collisions) are
 settled anew by the bytes themselves. With a ``state_dir`` of its own, a later run goes on from the state of
 the earlier ones: documents of earlier runs count, and stay if they're the best; they're known by their digests then, and the byte
-check covers the documents of the run.
+check covers the documents of the run. A ``run`` has a name: repeated under its name, after it died or not, it gives the
+same result again, as its digests are written once, by one renaming of their folder, and the stream reads each file once.
 
 Cases: a null text counts as empty; among equal texts the longest original stays, then the smallest doc_id,
 nulls last; of repeated rows with one doc_id and length exactly one is kept; an empty table gives an empty
@@ -16,6 +17,7 @@ result; extra columns are carried along.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import time
 from collections.abc import Iterator
 
@@ -93,17 +95,30 @@ def state_dir_has_updates(spark: SparkSession, updates: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def exact_dedup(docs: DataFrame, state_dir: str | None = None) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256."""
+def write_once(rows: DataFrame, folder: str) -> None:
+    """Write rows as folder, unless it's there. Nobody sees a part of it: it's written beside and renamed."""
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, beside = path(folder), path(f"{folder.rsplit('/', 2)[0]}/pending-{folder.rsplit('/', 1)[1]}")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        rows.write.mode("overwrite").parquet(beside.toString())
+        store.mkdirs(target.getParent())
+        if not store.rename(beside, target):
+            raise OSError(f"can't rename {beside.toString()} to {folder}")
+
+
+def exact_dedup(docs: DataFrame, state_dir: str | None = None, run: str | None = None) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256. A run that's tried again gives its name again."""
     spark = docs.sparkSession
     own = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs, run = docs.drop(*own), f"{time.time_ns():020d}"
+    docs, run = docs.drop(*own), run or f"{time.time_ns():020d}"
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(carried(docs), "doc_id", normalised(F.col("text")).alias("_text"), F.length(text).alias("_length")).withColumn("_digest", F.sha2("_text", 256))
     state_dir = state_dir.rstrip("/") if state_dir else shared_dir(spark, "dedup-state")
-    path = f"{state_dir}/digests"  # the stream's table: each run adds its files
-    keyed.select(F.col("_digest").alias("digest"), "doc_id", F.col("_length").alias("length"), F.lit(run).alias("run"), F.input_file_name().alias("locator")).write.mode("append").parquet(path)
-    digests = spark.read.schema("digest string, doc_id " + dict(docs.dtypes)["doc_id"] + ", length int, run string, locator string").parquet(path)
+    path = f"{state_dir}/digests"  # the stream's table: each run adds a folder
+    write_once(keyed.select(F.col("_digest").alias("digest"), "doc_id", F.col("_length").alias("length"), F.lit(run).alias("run"), F.input_file_name().alias("locator")), f"{path}/of={_named(run)}")
+    digests = spark.read.schema("digest string, doc_id " + dict(docs.dtypes)["doc_id"] + ", length int, run string, locator string, of string").parquet(path)
     groups = materialise(stream_digests(digests, path, state_dir), "dedup-groups")
 
     clashes = materialise(_clashes(keyed, groups), "dedup-clashes")
@@ -116,6 +131,11 @@ def exact_dedup(docs: DataFrame, state_dir: str | None = None) -> DataFrame:
     return joined.select("row", "keep_id", "group_size", (is_best & first).alias("kept"), F.col("_digest").alias("text_sha256")).select("row.*", *own)
 
 
+def _named(run: str) -> str:
+    """A run's name as a folder's."""
+    return hashlib.sha256(run.encode()).hexdigest()[:32]
+
+
 def _clashes(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """Digests whose documents differ in their bytes: least and greatest text of each digest, compared."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(CHECK_SALTS)).cast("int")

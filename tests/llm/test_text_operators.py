@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from draftlake.llm import chat, exact_dedup, line_dedup, mixing, packing, shared
@@ -47,6 +48,24 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     assert got == {1: (1, 3, True), 8: (7, 3, False), 9: (9, 1, True), 7: (7, 3, False)}
 
 
+def test_exact_dedup_of_a_run_that_is_tried_again(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (3, "c")], "doc_id long, text string")
+    result = lambda run, given=docs: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(given, f"{tmp_path}/state", run).collect())
+
+    def dies(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:  # after its digests are written, before the stream reads them
+        broken.setattr(exact_dedup, "stream_digests", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            result("monday")
+    want = [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, False), (3, 3, 2, True)]
+    assert result("monday") == want and result("monday") == want
+    later = spark.createDataFrame([(4, "A"), (5, "c")], "doc_id long, text string")
+    assert result("tuesday", later) == [(4, 4, 1, True), (5, 3, 3, False)]
+    assert [r[3] for r in result("monday")] == [True, False, False, True]
+
+
 def test_names_of_callers_columns_stay_as_they_are(spark):
     names = ["_text", "_length", "_digest", "_size", "_key", "_source", "_rank", "_gone", "_row", "_lines", "_doc", "_salt", "row", "text_kept", "run"]
     docs = spark.createDataFrame([(1, "one two", "a", *names), (2, "three", "b", *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
