@@ -166,13 +166,29 @@ def test_near_vectors_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_recall_of_the_hashes():
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_recall_of_the_hashes(hashes):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(2000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     side = rng.normal(size=a.shape)
     side -= (side * a).sum(axis=1)[:, None] * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side, axis=1)[:, None]
-    x, y = (embedding_dedup.CrossPolytope(2).codes(v) for v in (a, b))
+    x, y = (embedding_dedup.CrossPolytope(hashes).codes(v) for v in (a, b))
     meet = (x == y[:, :, :1]).any(axis=(1, 2)) | (y == x[:, :, :1]).any(axis=(1, 2))
     assert meet.mean() > 0.995
+
+
+def test_labels_have_hashes_of_their_own(spark):
+    """Two dimensions: 4 corners a hash, so that labels of 2, 20 and 90 vectors have 2, 3 and 4 hashes."""
+    angles = {label: np.linspace(0.05, 6.2, n) for label, n in ((0, 2), (1, 20), (2, 90))}
+    rows = [(1000 * label + i, [float(np.cos(t)), float(np.sin(t))], label) for label, of in angles.items() for i, t in enumerate(of)]
+    names = ["_label", "_v", "_links", "_component", "_w", "row", "of", "links"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "vec_id long, embedding array<double>, label int, " + ", ".join(f"{n} string" for n in names))
+    got = embedding_dedup.near_duplicates(df, threshold=0.995).collect()
+    unit = {i: np.array(v) for i, v, _ in rows}
+    label = {i: k for i, _, k in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and label[a] == label[b] and unit[a] @ unit[b] >= 0.995]
+    part = least_reachable(list(unit), links)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (sum(i in x for x in links), part[i]) for i in unit}
+    assert all(r[n] == n for r in got for n in names)
