@@ -18,7 +18,7 @@ LAYOUT_TYPES = {"1-URGENT": "title_or_tolerance_table", "2-HIGH": "revision_tabl
 
 DETECTIONS_SQL = f"""detections AS (
   SELECT l_orderkey AS sample_id, 1 AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS INT) AS ord,
-         {', '.join(f'CAST({e} AS INT) AS {c}' for c, e in BOX_SQL.items())}, (l_partkey % 100) / 100.0::DOUBLE AS score, l_suppkey, l_returnflag, l_tax
+         {', '.join(f'CAST({e} AS INT) AS {c}' for c, e in BOX_SQL.items())}, (l_partkey % 100) / 100.0::DOUBLE AS score, l_suppkey, l_returnflag, l_tax, l_linestatus
   FROM lineitem)"""
 LAYOUT_SQL = f"""layout AS (
   SELECT o_orderkey AS sample_id, 1 AS page, 1 AS ord,
@@ -37,7 +37,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     return lines.select(
         F.col("l_orderkey").alias("sample_id"), F.lit(1).alias("page"), ord_.alias("ord"), *[F.expr(e).cast("int").alias(c) for c, e in BOX_SQL.items()],
-        (F.col("l_partkey") % 100 / 100.0).alias("score"), F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"), "l_suppkey", "l_returnflag", "l_tax",
+        (F.col("l_partkey") % 100 / 100.0).alias("score"), F.lit(PAGE_WIDTH).alias("page_width"), F.lit(PAGE_HEIGHT).alias("page_height"), "l_suppkey", "l_returnflag", "l_tax", "l_linestatus",
     ).withColumn("view_id", F.format_string("view_%03d", "ord"))
 
 
@@ -77,6 +77,71 @@ def accepted(found: DataFrame, sf_dir: str) -> DataFrame:
     return of_samples(found.filter("score >= 0.5"), sf_dir, ACCEPTED)
 
 
+#: What's wrong with the documents of orders whose status is P, by priority.
+BROKEN = {"1-URGENT": "trailing", "2-HIGH": "page", "3-MEDIUM": "box", "4-NOT SPECIFIED": "ids", "5-LOW": "list"}
+
+
+def record_inputs(spark: SparkSession, sf_dir: str, classified: DataFrame, skipped: DataFrame) -> tuple[DataFrame, ...]:
+    """Documents of detections, of classified views and of crops, and a listing, as a drawing's record is built from. Of orders with
+    status P each kind of priority has a fault of its own; crops of lines without tax have no metadata."""
+    orders = table(spark, sf_dir, "orders")
+    broken = F.when(F.col("o_orderstatus") == "P", F.try_element_at(F.create_map(*[F.lit(x) for pair in BROKEN.items() for x in pair]), F.col("o_orderpriority")))
+    fault = orders.select(F.col("o_orderkey").alias("sample_id"), broken.alias("fault"))
+    box = F.array("x1", "y1", "x2", "y2")
+    found = detections(spark, sf_dir).join(fault, "sample_id", "left").withColumn("last", F.max("ord").over(Window.partitionBy("sample_id")) == F.col("ord"))
+    fine = F.col("score") >= 0.5
+    cut = F.when((F.col("fault") == "box") & F.col("last"), F.slice(box, 1, 3)).otherwise(box)
+    named = lambda name: F.when((F.col("fault") == "ids") & (F.col("ord") == 1), F.lit(None)).otherwise(name)
+    view = F.struct("ord", named(F.when(fine, F.concat(F.lit("a_"), F.col("view_id")))).alias("view_id"), named(F.col("view_id")).alias("source_view_id"), cut.alias("bbox"), "score", F.lit("detector").alias("source"), F.struct(fine.alias("accepted")).alias("filter"))
+    views_of = found.groupBy("sample_id", "fault").agg(F.array_sort(F.collect_list(view)).alias("views"))
+    path = lambda stage, name: F.format_string(f"DataFlow/{stage}/%d/page_001_{name}.json", F.col("sample_id")).alias("path")
+    of = lambda body: F.to_json(F.struct(*body))
+    size = F.struct(F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height")).alias("image_size")
+    sample, page = F.col("sample_id").cast("string").alias("sample_id"), F.lit(1).alias("page")
+    text = F.when(F.col("fault") == "list", "[]").otherwise(of([sample, size, "views"]))
+    detected = views_of.select(sample, page, path("05.ViewDetection", "views"), text.alias("text"))
+    crop = F.when(F.col("view_type") == "front", F.struct((F.col("x2") - F.col("x1") + 1).alias("width"), (F.col("y2") - F.col("y1") + 1).alias("height")))
+    seen = F.struct("ord", "view_id", F.col("view_type").alias("type"), "confidence", F.array("reason").alias("reasons"), box.alias("bbox_on_page"), F.col("needs_review").alias("needs_manual_review"), crop.alias("crop_size"))
+    classes = classified.groupBy("sample_id").agg(F.array_sort(F.collect_list(seen)).alias("views")).join(skipped.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("ord", "view_id"))).alias("skipped_views")), "sample_id", "full").join(fault, "sample_id", "left")
+    number = F.when(F.col("fault") == "page", 2).otherwise(1).alias("page")
+    text = F.concat(of([sample, number, size, F.coalesce("views", F.array()).alias("views"), "skipped_views"]), F.when(F.col("fault") == "trailing", "{}").otherwise(""))
+    classes = classes.select(sample, page, path("07.ViewClassification", "view_classification"), text.alias("text"))
+    crops = views(detections(spark, sf_dir))
+    folder = F.format_string("DataFlow/06.SingleViews/%d/%s/", F.col("sample_id"), F.col("view_id"))
+    metadata = crops.filter("l_tax <> 0").select(sample, "view_id", F.concat(folder, F.lit("view_metadata.json")).alias("path"), F.to_json(F.struct(F.struct((F.col("x2") - F.col("x1")).alias("width"), F.col("ord").alias("height")).alias("crop_size"))).alias("text"))
+    pictures = crops.filter("l_linestatus = 'F'").select(F.concat(folder, F.lit("clean_view_with_annotations.png")).alias("path"))
+    return detected, classes, metadata, pictures
+
+
+RECORD_SQL = f"""u AS (SELECT t.*, d.l_linestatus FROM t JOIN detections d USING (sample_id, ord)),
+z AS (SELECT o_orderkey AS sample_id, CASE WHEN o_orderstatus = 'P' THEN CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in BROKEN.items())} END END AS fault FROM orders),
+dm AS (SELECT sample_id, max(ord) AS last, max_by(score, ord) AS last_score, min_by(score, ord) AS first_score FROM detections GROUP BY 1),
+hs AS (
+  SELECT u.sample_id, u.ord, d.ord AS hit, row_number() OVER (PARTITION BY u.sample_id, u.ord ORDER BY
+         (greatest(0, least(u.x2, d.x2) - greatest(u.x1, d.x1)) * greatest(0, least(u.y2, d.y2) - greatest(u.y1, d.y1))) / least(greatest(1, (u.x2 - u.x1) * (u.y2 - u.y1)), greatest(1, (d.x2 - d.x1) * (d.y2 - d.y1))) DESC, d.ord) AS r,
+         (greatest(0, least(u.x2, d.x2) - greatest(u.x1, d.x1)) * greatest(0, least(u.y2, d.y2) - greatest(u.y1, d.y1))) / least(greatest(1, (u.x2 - u.x1) * (u.y2 - u.y1)), greatest(1, (d.x2 - d.x1) * (d.y2 - d.y1))) AS share
+  FROM u JOIN detections d ON d.sample_id = u.sample_id AND d.score >= 0.5),
+ve AS (
+  SELECT u.*, h.hit, d.x1 AS dx1, d.y1 AS dy1, d.x2 AS dx2, d.y2 AS dy2, 'DataFlow/06.SingleViews/' || u.sample_id || '/' || printf('view_%03d', u.ord) || '/' AS folder,
+         CASE WHEN u.l_tax = 0 THEN 'Missing view_metadata.json for ' || u.sample_id || '/' || printf('view_%03d', u.ord) || ': DataFlow/06.SingleViews/' || u.sample_id || '/' || printf('view_%03d', u.ord) || '/view_metadata.json'
+              WHEN h.hit IS NULL THEN 'Classified view ' || u.sample_id || '/' || printf('view_%03d', u.ord) || ' does not match any accepted 05.ViewDetection bbox' END AS fault
+  FROM u LEFT JOIN (SELECT * FROM hs WHERE r = 1 AND share >= 0.85) h USING (sample_id, ord) LEFT JOIN detections d ON d.sample_id = u.sample_id AND d.ord = h.hit),
+va AS (
+  SELECT sample_id, count(*) AS view_count, min_by(fault, ord) FILTER (WHERE fault IS NOT NULL) AS view_fault,
+         string_agg(concat_ws('|', printf('view_%03d', ord), view_type, '[' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || ']', CASE WHEN view_type = 'front' THEN x2 - x1 + 1 ELSE x2 - x1 END,
+           CASE WHEN l_linestatus = 'F' THEN folder || 'clean_view_with_annotations.png' END, 'a_' || printf('view_%03d', hit), printf('view_%03d', hit), '[' || dx1 || ',' || dy1 || ',' || dx2 || ',' || dy2 || ']'), ';' ORDER BY ord) AS told
+  FROM ve GROUP BY 1),
+sk AS (SELECT sample_id, count(*) AS skipped FROM kept WHERE NOT stays GROUP BY 1),
+b AS (
+  SELECT coalesce(va.sample_id, sk.sample_id) AS sample_id, coalesce(view_count, 0) AS view_count, coalesce(skipped, 0) AS skipped, coalesce(told, '') AS told,
+         CASE WHEN z.fault = 'trailing' THEN 'Trailing data after JSON document in ' || c WHEN z.fault = 'list' THEN 'Detection JSON must be an object: ' || p
+              WHEN z.fault = 'box' AND last_score >= 0.5 THEN 'Accepted detection view #' || last || ' in ' || p || ' is missing bbox'
+              WHEN z.fault = 'ids' AND first_score >= 0.5 THEN 'Accepted detection view #1 in ' || p || ' is missing view_id/source_view_id'
+              WHEN z.fault = 'page' THEN 'View classification page mismatch in ' || c ELSE view_fault END AS error
+  FROM va FULL JOIN sk ON va.sample_id = sk.sample_id JOIN z ON z.sample_id = coalesce(va.sample_id, sk.sample_id) JOIN dm ON dm.sample_id = z.sample_id,
+    LATERAL (SELECT 'DataFlow/05.ViewDetection/' || z.sample_id || '/page_001_views.json' AS p, 'DataFlow/07.ViewClassification/' || z.sample_id || '/page_001_view_classification.json' AS c))"""
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model records from events: k of the props decides dimensions, counts and evidence."""
     k = F.get_json_object("props", "$.k").cast("int")

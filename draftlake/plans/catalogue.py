@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, geometry, text
 from ..functions.geometry import Box
-from ..operators import cad, detections, drawing, features, layout, pictures, raster, scoring, views
+from ..operators import cad, detections, drawing, features, layout, pictures, raster, record, scoring, views
 from ..sources import files
 from . import adapters as A
 from . import drawn
@@ -178,6 +178,21 @@ def drawing_views(spark, sf_dir):
     return drawing.with_detector(kept.drop("score"), A.accepted(found, sf_dir).withColumn("source_view_id", F.col("view_id")), metadata).select("sample_id", "ord", "match_ord", "final_score", "error")
 
 
+@query(_MATCH_SQL + f""", {A.RECORD_SQL}
+SELECT b.sample_id, b.error, CASE WHEN b.error IS NULL THEN view_count END AS view_count, CASE WHEN b.error IS NULL THEN skipped END AS skipped, CASE WHEN b.error IS NULL THEN told END AS views FROM b""")
+def drawing_records(spark, sf_dir):
+    """A record for each sample, or the first thing that's wrong with its documents. Of the document: counts, and each view."""
+    kept, skipped = _views(spark, sf_dir)
+    built = record.build(*A.record_inputs(spark, sf_dir, views.classify(kept), skipped))
+    document = F.try_parse_json("document")
+    view = lambda v: F.concat_ws("|", *[F.try_variant_get(v, f"$.{p}", "string") for p in ("id", "type", "bbox", "crop_size.width", "image_clean", "detector.accepted_view_id", "detector.source_view_id", "source.accepted_detection.bbox")])
+    told = built.result.select(
+        F.col("sample_id"), F.col("view_count").cast("long").alias("view_count"), F.try_variant_get(document, "$.quality.skipped_view_count", "long").alias("skipped"),
+        F.array_join(F.transform(F.try_variant_get(document, "$.views", "array<variant>"), view), ";").alias("views"),
+    )
+    return built.status.select("sample_id", "error").join(told, "sample_id", "left").select(F.col("sample_id").cast("long").alias("sample_id"), "error", "view_count", "skipped", "views")
+
+
 _JSON_SQL = """WITH j AS (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props || '{}' WHEN 2 THEN 'answer: ' || props || ' ok' ELSE substr(props, 1, 4) END AS text FROM events)"""
 
