@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What is dark and neutral enough for a drawn line; how near segments touch.
@@ -46,16 +47,27 @@ def thick(pixels: DataFrame, least: int = 8) -> DataFrame:
     return around.join(pixels, ["image", "y", "x"], "left_semi")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one gets its own."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="spark-shared-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _written(df: DataFrame) -> DataFrame:
     """df at a shared place, so that rounds don't repeat each other's work."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:  # a local session's own machine is all there is
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="spark-shared-")
-        context.setCheckpointDir(base)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, geometry, text
 from ..functions.geometry import Box
-from ..operators import cad, detections, drawing, features, layout, pictures, raster, record, scoring, views
-from ..sources import files
+from ..operators import cad, detections, drawing, features, layout, mentions, pictures, raster, record, scoring, views
+from ..sources import artefacts, files, sinks
 from . import adapters as A
 from . import drawn
 
@@ -499,6 +499,54 @@ def page_cleaning(spark, sf_dir):
     return left.agg(F.max(F.col("width") * F.col("height")).alias("area"), F.count_if(F.col("kind") != "page").cast("int").alias("ink_left"))
 
 
+_FILES_SQL = """f AS (
+  SELECT 'experiments/' || event_type || '/' || user_id || '/predictions.jsonl' AS path, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS row, event_id, event_type, user_id,
+         CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
+
+
+def _prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of events as files of a run, read again: path (from the run's folder on), row and fields. Lines with k 7 are cut off."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    images = F.array(F.concat(F.lit("02.RawPNG/s"), F.col("user_id").cast("string"), F.lit("/page_001.png")), F.concat(F.lit("crops/"), k.cast("string"), F.lit(".png")))
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("sample_id"), F.col("event_type").alias("model"), F.when(k % 3 > 0, images).alias("input_images"), (k / 8).alias("latency_sec")))
+    line = F.when(k == 7, F.substring(line, 1, 20)).otherwise(line)
+    events = A.table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", line.alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda e: F.concat(e["line"], F.lit("\n"))), "")
+    name = F.concat_ws("/", F.lit("experiments"), "event_type", F.col("user_id").cast("string"), F.lit("predictions.jsonl"))
+    files_ = events.groupBy("event_type", "user_id").agg(text.alias("content")).select(name.alias("name"), "content")
+    run = artefacts.write_run(files_, raster.shared_folder(spark, "runs"), "predictions")
+    return files.prediction_records(spark, run).withColumn("path", F.regexp_extract("path", "(experiments/.*)$", 1))
+
+
+@query(f"""WITH {_FILES_SQL} SELECT path, row, k = 7 AS is_broken, CASE WHEN k <> 7 THEN event_id END AS event_id, CASE WHEN k <> 7 THEN event_type END AS model,
+  CASE WHEN k <> 7 THEN CASE WHEN k % 3 > 0 THEN 2 ELSE 0 END END::BIGINT AS images, CASE WHEN k <> 7 THEN k / 8 END::DOUBLE AS latency_sec FROM f""")
+def prediction_files(spark, sf_dir):
+    read = _prediction_files(spark, sf_dir)
+    return read.select("path", "row", F.col("broken").isNotNull().alias("is_broken"), F.col("sample_id").cast("long").alias("event_id"), "model", F.size("input_images").cast("long").alias("images"), "latency_sec")
+
+
+@query(f"""WITH {_FILES_SQL}, p AS (SELECT *, ['02.RawPNG/s' || user_id || '/page_001.png', 'crops/' || k || '.png'] AS images FROM f WHERE k <> 7 AND k % 3 > 0),
+s AS (SELECT 's' || s_suppkey AS id FROM supplier UNION SELECT s_suppkey || '.png' FROM supplier)
+SELECT id AS sample_id, path, row, event_id FROM p JOIN s ON contains(images[1], id) OR contains(images[2], id)""")
+def sample_predictions(spark, sf_dir):
+    """The records one of whose images' paths holds a sample's id, as s1 is held by s12 too."""
+    suppliers = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    samples = suppliers.select(F.concat(F.lit("s"), "k").alias("sample_id")).unionByName(suppliers.select(F.concat("k", F.lit(".png")).alias("sample_id")))
+    read = _prediction_files(spark, sf_dir).filter("broken IS NULL").withColumnRenamed("sample_id", "event_id")
+    return mentions.predictions_of_samples(samples, read).select("sample_id", "path", "row", F.col("event_id").cast("long").alias("event_id"))
+
+
+@query("""WITH t AS (SELECT conv_id || '-' || turn AS id, coalesce(role, '') AS role, text FROM conversations),
+f AS (SELECT id || '/prompt.md' AS name, text FROM t UNION ALL SELECT id || '/raw_response.txt', text || chr(10) || role FROM t WHERE role = 'assistant')
+SELECT name, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM f WHERE text IS NOT NULL""")
+def run_manifest(spark, sf_dir):
+    """What a run's manifest says of its files: each turn as a prompt, answers as raw responses too."""
+    role = F.coalesce("role", F.lit(""))
+    turns = A.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), F.col("text").alias("prompt"), F.when(role == "assistant", F.concat("text", F.lit("\n"), role)).alias("raw"))
+    run = artefacts.write_run(sinks.run_texts(turns), raster.shared_folder(spark, "runs"), "turns")
+    return spark.read.schema("name string, bytes long, sha256 string").json(f"{run}/_manifest/part-*.jsonl")
+
+
 @query(drawn.DECISIONS_SQL)
 def view_filter_features(spark, sf_dir):
     """The filter with what its candidates' crops look like, where there's a picture of the page."""
