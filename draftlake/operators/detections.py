@@ -1,7 +1,7 @@
 """Filtering view candidates on a page.
 
 detections: sample_id, page, ord, view_id, x1, y1, x2, y2 (rounded; null if unreadable), score, page_width,
-page_height, and, where the page image was read, features (see raster.crop_features).
+page_height, and, where the page image was read, features (see pictures.measure_crop).
 layout: sample_id, page, ord, region_type, x1, y1, x2, y2.
 """
 

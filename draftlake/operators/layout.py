@@ -118,23 +118,28 @@ def corners(components: DataFrame, pages: DataFrame, known: DataFrame) -> DataFr
     return free.select(*_region("corner_metadata_box", box.padded(CORNER_PAD, F.col("width"), F.col("height"))), F.col("component").alias("part"))
 
 
-def notes(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """The written notes of a page; blocks: image and the hull of each page's notes."""
-    box = Box.of().padded(TABLE_PAD, F.col("width"), F.col("height"))
-    return blocks.join(pages, "image").select(*_region("technical_requirements", box), F.lit(0).alias("part"))
-
-
-def regions(segments: DataFrame, pages: DataFrame, corner_segments: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+def notes(islands_: DataFrame, pages: DataFrame, rules: P.PictureRules = P.PictureRules()) -> DataFrame:
+    """The written notes of a page: the hull of the islands (pictures.text_islands) that begin near its left edge, in columns wide enough,
+    high enough and with enough ink."""
+    on = islands_.join(pages, "image").filter(
+        (F.col("total") >= rules.note_pixels) & (F.col("pixels") >= rules.note_pixels) & (F.col("left") <= _share("width", rules.note_anchor))
+        & (F.col("right") - F.col("left") >= _share("width", rules.note_width)) & (F.col("y2") - F.col("y1") >= _share("height", rules.note_height))
+    )
+    blocks = on.groupBy("image", "width", "height").agg(*hull())
+    return blocks.select(*_region("technical_requirements", Box.of().padded(TABLE_PAD, F.col("width"), F.col("height"))), F.lit(0).alias("part"))
+
+
+def regions(segments: DataFrame, pages: DataFrame, corner_segments: DataFrame | None = None, texts: DataFrame | None = None, rules: P.PictureRules = P.PictureRules()) -> DataFrame:
     """All regions of each page: region_id and the detectors' columns. corner_segments: shorter lines, of which the boxes
-    in the corners are made (else the segments); blocks: hulls of notes."""
+    in the corners are made (else the segments); texts: islands of what may be notes."""
     inside = without_frame(segments, pages)
     components = line_components(inside)
     before = [borders(segments, pages), tables(components, pages), bottom_bands(line_components(lower_segments(inside, pages)), pages), inner_frames(segments, pages)]
     known = reduce(DataFrame.unionByName, [df.withColumn("detector", F.lit(i)) for i, df in enumerate(before)])
     small = components if corner_segments is None else line_components(without_frame(corner_segments, pages))
     united = known.unionByName(corners(small, pages, known).withColumn("detector", F.lit(len(before))))
-    if blocks is not None:
-        united = united.unionByName(notes(blocks, pages).withColumn("detector", F.lit(len(before) + 1)))
+    if texts is not None:
+        united = united.unionByName(notes(texts, pages, rules).withColumn("detector", F.lit(len(before) + 1)))
     order = Window.partitionBy("image").orderBy("detector", "part", "region_type")
     same = Window.partitionBy("image", "region_type", *Box._fields).orderBy("_n")
     given = united.withColumn("_n", F.row_number().over(order))
@@ -146,7 +151,8 @@ def regions_of_pictures(pages: DataFrame, rules: P.PictureRules = P.PictureRules
     found = _written(P.marks(pages, rules))
     sizes = found.filter("kind = 'page' AND width IS NOT NULL").select("image", "width", "height")
     of = lambda kind: found.filter(F.col("kind") == kind).select("image", "node", "horizontal", *Box._fields)
-    return regions(of("line"), sizes, of("corner"), of("note").select("image", *Box._fields))
+    texts = found.filter("kind = 'text'").select("image", *Box._fields, "left", "right", "pixels", "total")
+    return regions(of("line"), sizes, of("corner"), texts, rules)
 
 
 def clean_pages(pages: DataFrame, rules: P.PictureRules = P.PictureRules()) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ rules on them are DataFrame operators (``layout``, ``detections``). pictures: im
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,10 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Weights of red, green and blue in grey (of 65,536); set cells of nine that make a thick place.
+GREY, THICK = (19595, 38470, 7471), 8
+#: One, in the resampler's weights.
+FIXED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -39,7 +45,7 @@ class PictureRules:
     note_longest: float = 0.12
     note_pixels: int = 80
     crop_dark: int = 180
-    crop_side: int = 420
+    crop_side: int = 640
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -133,63 +139,76 @@ def _islands(at: np.ndarray, gap: int) -> list[tuple[int, int]]:
     return list(zip(at[np.append(0, cuts + 1)].tolist(), (at[np.append(cuts, len(at) - 1)] + 1).tolist(), strict=True)) if len(at) else []
 
 
-def note_block(mask: np.ndarray, rules: PictureRules = PictureRules()) -> tuple[int, int, int, int] | None:
-    """The hull of the written notes in the lower left of a page: what is left there without long lines, in columns that
-    begin near the edge, in groups of rows that are high enough."""
-    height, width = mask.shape
-    top, bottom, right = int(height * rules.note_top), height - int(height * rules.note_bottom_margin), int(width * rules.note_right)
-    if top >= bottom or right <= 0:
-        return None
-    part = _without_long_runs(mask[top:bottom, :right], max(12, int(width * rules.note_longest)))
-    part = _without_long_runs(part.T, max(12, int(height * rules.note_longest))).T
-    if part.sum() < rules.note_pixels:
-        return None
-    found = []
-    for x1, x2 in _islands(np.flatnonzero(part.sum(axis=0) >= 2), rules.note_gaps[0]):
-        if x1 > int(width * rules.note_anchor) or x2 - x1 < int(width * rules.note_width):
-            continue
-        column = part[:, x1:x2]
-        for y1, y2 in _islands(np.flatnonzero(column.sum(axis=1) >= 2), rules.note_gaps[1]):
-            ys, xs = np.nonzero(column[y1:y2])
-            if y2 - y1 >= int(height * rules.note_height) and len(xs) >= rules.note_pixels:
-                found.append((x1 + xs.min(), top + y1 + ys.min(), x1 + xs.max() + 1, top + y1 + ys.max() + 1))
-    if not found:
-        return None
-    low, high = np.min(found, axis=0), np.max(found, axis=0)
-    return int(low[0]), int(low[1]), int(high[2]), int(high[3])
+def sums(mask: np.ndarray) -> np.ndarray:
+    """The summed-area table of a mask: set cells above and left of each corner of the cells."""
+    table = np.zeros((mask.shape[0] + 1, mask.shape[1] + 1), np.int64)
+    np.cumsum(np.cumsum(mask, axis=0, dtype=np.int64), axis=1, out=table[1:, 1:])
+    return table
 
 
-def _read(data: bytes | None) -> np.ndarray | None:
+def inside(table: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> int:
+    """Set cells of a box, by four look-ups; sides beyond the page count as its edge."""
+    (y1, y2), (x1, x2) = np.clip((y1, y2), 0, table.shape[0] - 1), np.clip((x1, x2), 0, table.shape[1] - 1)
+    return int(table[y2, x2] - table[y1, x2] - table[y2, x1] + table[y1, x1]) if x2 > x1 and y2 > y1 else 0
+
+
+def text_islands(mask: np.ndarray, rules: PictureRules = PictureRules()) -> list[tuple[int, ...]]:
+    """What may be lines of writing in the lower left of a page, long lines left out: (x1, y1, x2, y2: the hull of an
+    island of rows within an island of columns; first and end of these columns; set pixels in it; set pixels in all)."""
+    height, width = mask.shape
+    top, corner = int(height * rules.note_top), mask[int(height * rules.note_top) : height - int(height * rules.note_bottom_margin), : int(width * rules.note_right)]
+    if not corner.size:
+        return []
+    longest = [max(12, int(side * rules.note_longest)) for side in (width, height)]
+    table = sums(_without_long_runs(_without_long_runs(corner, longest[0]).T, longest[1]).T)
+    found, total = [], int(table[-1, -1])
+    for left, right in _islands(np.flatnonzero(np.diff(table[-1]) >= 2), rules.note_gaps[0]):
+        in_rows = np.diff(table[:, right] - table[:, left])
+        for y1, y2 in _islands(np.flatnonzero(in_rows >= 2), rules.note_gaps[1]):
+            in_columns = np.flatnonzero(np.diff(table[y2, left : right + 1] - table[y1, left : right + 1]))
+            found.append((left + int(in_columns[0]), top + y1, left + int(in_columns[-1]) + 1, top + y2, left, right, inside(table, left, y1, right, y2), total))
+    return found
+
+
+def _read(data: bytes | dict | None) -> np.ndarray | None:
+    """RGB pixels of a PNG, or of what Spark's image reader has decoded (BGR); None if it can't be read."""
+    if isinstance(data, dict):
+        height, width, channels = data["height"], data["width"], data["nChannels"]
+        if height < 1 or width < 1:
+            return None
+        pixels = np.frombuffer(data["data"], np.uint8).reshape(height, width, channels)
+        return np.repeat(pixels, 3, axis=2) if channels == 1 else np.ascontiguousarray(pixels[:, :, 2::-1])
     try:
         return decode_png(bytes(data)) if data is not None else None
     except (ValueError, KeyError, struct.error, zlib.error, UnboundLocalError):
         return None
 
 
-MARKS = "width int, height int, kind string, node long, horizontal boolean, x1 int, y1 int, x2 int, y2 int"
+MARKS = "width int, height int, kind string, node long, horizontal boolean, x1 int, y1 int, x2 int, y2 int, left int, right int, pixels int, total int"
 
 
 def marks(pictures: DataFrame, rules: PictureRules = PictureRules()) -> DataFrame:
     """What a page's rules are judged on: rows of kind page (its size; null if the picture can't be read), line, corner
-    (shorter lines, for the boxes in the corners) and note (the hull of its notes)."""
+    (shorter lines, for the boxes in the corners) and text (islands of what may be writing, with their columns left to right, their
+    pixels and those of all)."""
 
     def of(image, data: bytes | None) -> list[tuple]:
         if (pixels := _read(data)) is None:
-            return [(image, None, None, "page", 0, None, None, None, None, None)]
+            return [(image, None, None, "page", 0, *[None] * 9)]
         mask = ink(pixels, rules)
         height, width = mask.shape
         lines = segments(mask, max(rules.line_least, int(width * rules.line_share)), max(rules.line_least, int(height * rules.line_share)))
         corners = segments(mask, *(max(least, int(side * share)) for least, side, share in zip(rules.corner_least, (width, height), rules.corner_shares, strict=True)))
-        note = [note] if (note := note_block(mask, rules)) else []
-        found = [("page", None, 0, 0, width, height), *(("line", *s) for s in lines), *(("corner", *s) for s in corners), *(("note", None, *n) for n in note)]
-        return [(image, width, height, kind, i, *rest) for i, (kind, *rest) in enumerate(found)]
+        found = [("page", None, 0, 0, width, height), *(("line", *s) for s in lines), *(("corner", *s) for s in corners)]
+        rows = [(image, width, height, kind, i, *rest, *[None] * 4) for i, (kind, *rest) in enumerate(found)]
+        return rows + [(image, width, height, "text", len(found) + i, None, *island) for i, island in enumerate(text_islands(mask, rules))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["image", *(c.split()[0] for c in MARKS.split(", "))]
         for batch in batches:
             for image, data in zip(batch["image"], batch["data"], strict=True):
                 frame = pd.DataFrame(of(image, data), columns=columns)
-                yield frame.astype({c: "Int32" for c in ("width", "height", "x1", "y1", "x2", "y2")} | {"horizontal": "boolean"})
+                yield frame.astype({c: "Int32" for c in ("width", "height", "x1", "y1", "x2", "y2", "left", "right", "pixels", "total")} | {"horizontal": "boolean"})
 
     return pictures.select("image", "data").mapInPandas(run, f"image {dict(pictures.dtypes)['image']}, {MARKS}")
 
@@ -216,24 +235,97 @@ def _part_sizes(mask: np.ndarray) -> np.ndarray:
             return np.bincount(label, end - first)[np.unique(label)].astype(np.int64)
 
 
+def fitted(width: int, height: int, most: int) -> tuple[int, int]:
+    """The size of a picture shrunk to a longest side, its shape kept as nearly as whole numbers allow."""
+    if max(width, height) <= most:
+        return width, height
+    shape, by_width = width / height, width >= height
+    exact = most / shape if by_width else most * shape
+    other = min((math.floor(exact), math.ceil(exact)), key=lambda n: abs(shape - (most / n if by_width else n / most)) if n else math.inf)
+    return (most, max(other, 1)) if by_width else (max(other, 1), most)
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """Keys' convolution kernel with a = -1/2."""
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def _weights(old: int, new: int, begin: float, end: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, fixed-point weights) of each new cell of a side, with the kernel stretched over what it stands for."""
+    scale = (end - begin) / new
+    stretch = max(scale, 1.0)
+    centre = begin + (np.arange(new) + 0.5) * scale
+    low = np.maximum((centre - 2 * stretch + 0.5).astype(np.int64), 0)
+    high = np.minimum((centre + 2 * stretch + 0.5).astype(np.int64), old)
+    cells = low[:, None] + np.arange((high - low).max())
+    weights = np.where(cells < high[:, None], _cubic((cells - centre[:, None] + 0.5) / stretch), 0.0)
+    return np.minimum(cells, old - 1), np.round(weights / weights.sum(axis=1, keepdims=True) * FIXED).astype(np.int64)
+
+
+def _along(grey: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows of grey resampled; rounded to whole levels."""
+    out = np.full((len(grey), len(cells)), FIXED // 2, np.int64)
+    for k in range(cells.shape[1]):
+        out += grey[:, cells[:, k]] * weights[:, k]
+    return np.clip(out // FIXED, 0, 255)
+
+
+def shrunk(grey: np.ndarray, most: int) -> np.ndarray:
+    """A grey picture with a longest side of at most so many cells: whole cells averaged as long as it's four times too large or more, then
+    a separable cubic convolution, across first. Pictures that fit stay as they are."""
+    height, width = grey.shape
+    new_width, new_height = fitted(width, height, most)
+    if (new_width, new_height) == (width, height):
+        return grey
+    by = [max(int(old / new / 2), 1) for old, new in ((height, new_height), (width, new_width))]
+    if max(by) > 1:
+        rows, columns = np.arange(0, height, by[0]), np.arange(0, width, by[1])
+        area = np.outer(np.diff(np.append(rows, height)), np.diff(np.append(columns, width)))
+        grey = (np.add.reduceat(np.add.reduceat(grey, rows, axis=0), columns, axis=1) * 2 + area) // (2 * area)
+    grey = _along(grey, *_weights(grey.shape[1], new_width, 0.0, width / by[1]))
+    return _along(grey.T, *_weights(grey.shape[0], new_height, 0.0, height / by[0])).T
+
+
 def measure_crop(pixels: np.ndarray, box: tuple[int, int, int, int], rules: PictureRules = PictureRules()) -> tuple[float, float, float, int]:
-    """(ink, thick, largest: shares of the crop; components). Larger crops are averaged down to crop_side first."""
-    height, width = pixels.shape[:2]
-    x1, x2 = sorted((min(max(box[0], 0), width), min(max(box[2], 0), width)))
-    y1, y2 = sorted((min(max(box[1], 0), height), min(max(box[3], 0), height)))
+    """(ink, thick, largest: shares of the crop; components) of what a box cuts from a page, shrunk to crop_side if larger."""
+    (x1, x2), (y1, y2) = (np.sort(np.clip(box[i::2], 0, pixels.shape[1 - i])) for i in (0, 1))
     crop = pixels[y1:y2, x1:x2].astype(np.int64)
     if not crop.size:
         return 0.0, 0.0, 0.0, 0
-    grey = (crop @ np.array([19595, 38470, 7471]) + 0x8000) >> 16
-    if (step := -(-max(grey.shape) // rules.crop_side)) > 1:
-        rows, columns = np.arange(0, grey.shape[0], step), np.arange(0, grey.shape[1], step)
-        area = np.outer(np.diff(np.append(rows, grey.shape[0])), np.diff(np.append(columns, grey.shape[1])))
-        grey = np.add.reduceat(np.add.reduceat(grey, rows, axis=0), columns, axis=1) / area
-    dark = grey < rules.crop_dark
-    around = np.pad(dark, 1).astype(np.int8)
-    full = sum(around[dy : dy + dark.shape[0], dx : dx + dark.shape[1]] for dy in range(3) for dx in range(3)) >= 8
-    sizes, total = _part_sizes(dark), dark.size
-    return round(dark.sum() / total, 6), round((full & dark).sum() / total, 6), round(int(sizes.max(initial=0)) / total, 6), len(sizes)
+    dark = shrunk((crop @ np.array(GREY) + (1 << 15)) >> 16, rules.crop_side) < rules.crop_dark
+    table = sums(np.pad(dark, 1))
+    around = table[3:, 3:] - table[:-3, 3:] - table[3:, :-3] + table[:-3, :-3]
+    sizes = _part_sizes(dark)
+    share = lambda n: round(int(n) / dark.size, 6)
+    return share(dark.sum()), share((dark & (around >= THICK)).sum()), share(sizes.max(initial=0)), len(sizes)
+
+
+def with_colour(regions: DataFrame, pictures: DataFrame, rules: PictureRules = PictureRules()) -> DataFrame:
+    """regions (image, x1, y1, x2, y2) with coloured: the share of a region's dark pixels that have a colour, 0 without dark ones, null
+    without a picture. A page is summed up once, whatever its regions; they come to it as one array."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import arrow_udf
+
+    sides = ("x1", "y1", "x2", "y2")
+    boxes = regions.groupBy("image").agg(F.collect_set(F.struct(*[F.col(c).cast("long").alias(c) for c in sides])).alias("boxes"))
+
+    def run(data: pa.Array, of: pa.Array) -> pa.Array:
+        out = []
+        for value, own in zip(data.to_pylist(), of.to_pylist(), strict=True):
+            if (pixels := _read(value)) is None:
+                out.append([])
+                continue
+            most, least = pixels.max(axis=2), pixels.min(axis=2)
+            dark = sums(most < rules.dark)
+            colour = sums((most < rules.dark) & (most - least > rules.neutral))
+            shares = [(b, inside(dark, *(b[c] for c in sides)), inside(colour, *(b[c] for c in sides))) for b in own if None not in b.values()]
+            out.append([{**b, "coloured": round(c / d, 6) if d else 0.0} for b, d, c in shares])
+        return pa.array(out, pa.list_(pa.struct([*((c, pa.int64()) for c in sides), ("coloured", pa.float64())])))
+
+    measured = arrow_udf(run, "array<struct<" + ", ".join(f"{c}: bigint" for c in sides) + ", coloured: double>>")
+    told = pictures.select("image", "data").join(boxes, "image").select("image", F.inline(measured("data", "boxes")))
+    return regions.drop("coloured").join(told, ["image", *sides], "left").select(*[c for c in regions.columns if c != "coloured"], "coloured")
 
 
 def with_features(detections: DataFrame, pictures: DataFrame, keys: list[str], rules: PictureRules = PictureRules()) -> DataFrame:

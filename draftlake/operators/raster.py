@@ -9,21 +9,15 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-#: What is dark and neutral enough for a drawn line; how near segments touch.
-DARKEST, NEUTRAL, TOUCH = 190, 36, 14
+from .sweep import hulls
 
-
-def dark_pixels(images: DataFrame) -> DataFrame:
-    """images(image, width, height, data: BGR bytes by rows) → image, y, x of the neutral dark pixels."""
-    number = lambda i: F.conv(F.hex(F.substring("data", F.col("at") * 3 + i + 1, F.lit(1))), 16, 10).cast("int")
-    pixel = images.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") * F.col("height") - 1)).alias("at"))
-    pixel = pixel.withColumns({"b": number(0), "g": number(1), "r": number(2)})
-    brightest, darkest = F.greatest("b", "g", "r"), F.least("b", "g", "r")
-    dark = (brightest < DARKEST) & (brightest - darkest <= NEUTRAL)
-    return pixel.filter(dark).select("image", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"))
+#: Fixed value: how near segments touch.
+TOUCH = 14
 
 
 def islands(values: DataFrame, keys: list[str], value: str, gap: int) -> DataFrame:
@@ -98,16 +92,6 @@ def pixel_components(pixels: DataFrame) -> DataFrame:
     return of.join(rows, ["image", "node"]).groupBy("image", "component").agg(F.sum(F.col("x2") - F.col("x1") + 1).alias("size"))
 
 
-def crop_features(pixels: DataFrame, areas: DataFrame) -> DataFrame:
-    """areas(image, area) with ink and thick (shares of the area), largest (share of the ink) and components."""
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    ink = pixels.groupBy("image").agg(F.count(F.lit(1)).alias("_ink"))
-    bold = thick(pixels).groupBy("image").agg(F.count(F.lit(1)).alias("_thick"))
-    parts = pixel_components(pixels).groupBy("image").agg(F.count(F.lit(1)).alias("_parts"), F.max("size").alias("_most"))
-    joined = areas.join(ink, "image", "left").join(bold, "image", "left").join(parts, "image", "left")
-    return joined.select("image", (zero("_ink") / F.col("area")).alias("ink"), (zero("_thick") / F.col("area")).alias("thick"), (zero("_most") / F.col("area")).alias("largest"), zero("_parts").cast("int").alias("components"))
-
-
 def crosses(gap: int = TOUCH) -> Column:
     """Whether a horizontal segment (x1, x2, at y1) and a vertical one (v_y1, v_y2, at v_x1) meet within the gap."""
     return F.col("v_x1").between(F.col("x1") - gap, F.col("x2") + gap) & F.col("y1").between(F.col("v_y1") - gap, F.col("v_y2") + gap)
@@ -127,14 +111,24 @@ def segment_pairs(segments: DataFrame, gap: int = TOUCH) -> DataFrame:
 
 
 def line_components(segments: DataFrame, gap: int = TOUCH) -> DataFrame:
-    """Components of touching segments: hull, numbers of horizontal and vertical ones and of intersections."""
-    of = _written(components(segments.select("image", "node"), segment_pairs(segments, gap), ["image"]).join(segments, ["image", "node"]))
-    boxes = of.groupBy("image", "component").agg(
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count_if("horizontal").alias("n_horizontal"), F.count_if(~F.col("horizontal")).alias("n_vertical")
-    )
-    upright = of.filter("NOT horizontal").select("image", "component", F.col("x1").alias("v_x1"), F.col("y1").alias("v_y1"), F.col("y2").alias("v_y2"))
-    met = of.filter("horizontal").select("image", "component", "x1", "y1", "x2").join(upright, ["image", "component"]).filter(crosses(gap)).groupBy("image", "component").agg(F.count(F.lit(1)).alias("n_crossings"))
-    return boxes.join(met, ["image", "component"], "left").withColumn("n_crossings", F.coalesce("n_crossings", F.lit(0)))
+    """Components of touching segments: the least node, the hull, numbers of horizontal and vertical ones and of intersections. The
+    segments of an image meet in one row, as its picture does; no pairs are made (see sweep)."""
+    kinds = dict(segments.dtypes)
+    sides = ("x1", "y1", "x2", "y2")
+    one = F.struct(F.col("node").cast("long").alias("node"), "horizontal", *[F.col(c).cast("long").alias(c) for c in sides])
+    pages = segments.groupBy("image").agg(F.collect_list(one).alias("s"))
+    told = ("component", *sides, "n_horizontal", "n_vertical", "n_crossings")
+
+    def run(found: pa.Array) -> pa.Array:
+        rows = []
+        for page in found.to_pylist():
+            own = hulls([s["node"] for s in page], [(s["horizontal"], *(s[c] for c in sides)) for s in page], gap)
+            rows.append([dict(zip(told, of, strict=True)) for of in own])
+        return pa.array(rows, pa.list_(pa.struct([(c, pa.int64()) for c in told])))
+
+    swept = arrow_udf(run, "array<struct<" + ", ".join(f"{c}: bigint" for c in told) + ">>")
+    out = pages.select("image", F.inline(swept("s")))
+    return out.select("image", F.col("component").cast(kinds["node"]).alias("component"), *[F.col(c).cast(kinds[c]).alias(c) for c in sides], "n_horizontal", "n_vertical", "n_crossings")
 
 
 def table_type(width: Column, height: Column) -> Column:

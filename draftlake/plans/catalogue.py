@@ -499,6 +499,12 @@ def page_cleaning(spark, sf_dir):
     return left.agg(F.max(F.col("width") * F.col("height")).alias("area"), F.count_if(F.col("kind") != "page").cast("int").alias("ink_left"))
 
 
+@query(drawn.COLOUR_SQL)
+def region_colours(spark, sf_dir):
+    pages, regions = drawn.colour_pages(spark, sf_dir)
+    return pictures.with_colour(regions, pages)
+
+
 _FILES_SQL = """f AS (
   SELECT 'experiments/' || event_type || '/' || user_id || '/predictions.jsonl' AS path, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS row, event_id, event_type, user_id,
          CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pictures import encode_png
 
-KINDS = 5
+KINDS, PARTS = 5, 64
 #: Of each kind: region type, times, box (x1 and x2 shift by the page's offset), confidence.
 EXPECTED_SQL = """kinds(kind, region_type, x1, y1, x2, y2, confidence) AS (VALUES
   (0, 'title_or_tolerance_table', 428, 538, 984, 700, 0.9), (1, 'revision_table', 698, 0, 984, 124, 0.772),
@@ -60,7 +60,34 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
                 part = batch.iloc[low : low + 64]
                 yield pd.DataFrame({"image": part["s_suppkey"], "data": [encode_png(draw(int(k) % KINDS, int(k) // KINDS % 7)) for k in part["s_suppkey"]]})
 
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long")).mapInPandas(run, "image long, data binary")
+    # a page is work for milliseconds, and the table one small file
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long")).repartition(PARTS).mapInPandas(run, "image long, data binary")
+
+
+#: A page with a black and a coloured block, and boxes: around both, the coloured one, none, one that has no area, one beyond the page.
+COLOUR_BOXES = ((0, 0, 200, 120), (100, 20, 180, 100), (210, 0, 230, 20), (5, 5, 5, 9), (90, -50, 300, 400))
+COLOUR_SQL = f"""SELECT s_suppkey AS image, b.x1, b.y1, b.x2, b.y2, CASE b.k WHEN 0 THEN round(c / (c + d), 6) WHEN 1 THEN 1.0 WHEN 4 THEN 1.0 ELSE 0.0 END::DOUBLE AS coloured
+  FROM (SELECT s_suppkey, (10 + s_suppkey % 7) * 40 AS d, (20 + s_suppkey % 11) * 30 AS c FROM supplier), (VALUES {', '.join(f'({k}, {x1}, {y1}, {x2}, {y2})' for k, (x1, y1, x2, y2) in enumerate(COLOUR_BOXES))}) b(k, x1, y1, x2, y2)"""
+
+
+def draw_colours(key: int) -> np.ndarray:
+    page = np.full((120, 240, 3), 255, np.uint8)
+    page[20 : 30 + key % 7, 30:70] = 20
+    page[30 : 50 + key % 11, 110:140] = (150, 10, 30)
+    page[60:110, 150:190] = (255, 160, 160)  # coloured, but not dark
+    return page
+
+
+def colour_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pictures, regions) of a page with coloured ink for each supplier."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("image"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(data=[encode_png(draw_colours(int(k))) for k in batch["image"]])
+
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), b, strict=True)]) for b in COLOUR_BOXES]))
+    return suppliers.repartition(PARTS).mapInPandas(run, "image long, data binary"), suppliers.select("image", each.alias("b")).select("image", "b.*")
 
 
 #: Boxes on a page of views: a stamp, a thin drawing, an empty one of low score, an empty one of high score, one that two
@@ -93,4 +120,4 @@ def view_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
             data = [encode_png(draw_views(int(k) % 11)) if k % 3 else b"no picture" for k in batch["sample_id"]]
             yield batch.assign(data=data)
 
-    return candidates, suppliers.mapInPandas(run, "sample_id long, page int, data binary"), layout
+    return candidates, suppliers.repartition(PARTS).mapInPandas(run, "sample_id long, page int, data binary"), layout

@@ -97,6 +97,13 @@ def json_lines(spark: SparkSession, path: str, name: str = "*.jsonl") -> DataFra
     return read_lines(spark, path, name)
 
 
+def page_pictures(spark: SparkSession, root: str, dpi: int) -> DataFrame:
+    """sample_id, page, path and data of the page images at a resolution, decoded by Spark's image reader: what the operators on pictures
+    take. data's width is -1 where a file can't be read."""
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(root).select(F.col("image.origin").alias("path"), "image")
+    return rendered_pages(images.select("path"), dpi).join(images, "path").select("sample_id", "page", "path", F.col("image").alias("data"))
+
+
 def prediction_records(spark: SparkSession, path: str) -> DataFrame:
     """path, row and fields of the records in all ``predictions.jsonl`` under path; broken holds a line that's none."""
     return parsed_lines(json_lines(spark, path, "predictions.jsonl"), PREDICTION_SCHEMA, {"input_images": F.array().cast("array<string>")})

@@ -192,19 +192,10 @@ def test_rasters_as_rows(spark):
     sizes = sorted(r["size"] for r in raster.pixel_components(pixels).collect())
     assert sizes == [1, 25, 47]
     assert raster.thick(pixels).count() == 9
-    got = raster.crop_features(pixels, spark.createDataFrame([(1, 4800.0), (2, 10.0)], "image long, area double")).orderBy("image").collect()
-    assert (got[0].ink, got[0].components, got[1].ink, got[1].components) == (73 / 4800, 3, 0.0, 0)
     left = raster.whiten(pixels, spark.createDataFrame([(1, 0, 0, 30, 40)], "image long, x1 int, y1 int, x2 int, y2 int"))
     assert left.count() == 26
 
 
-def test_dark_pixels_of_a_picture(spark):
-    data = bytearray(b"\xff" * 3 * 6)
-    data[3:6], data[9:12] = b"\x10\x10\x10", b"\x00\x00\xb0"
-    images = spark.createDataFrame([(1, 3, 2, data)], "image long, width int, height int, data binary")
-    assert [tuple(r) for r in raster.dark_pixels(images).collect()] == [(1, 0, 1)]
-
-
 def test_tables_from_segments(spark):
     rows = [(1, i, True, 30, 560 + 12 * i, 960, 560 + 12 * i) for i in range(11)] + [(1, 100 + i, False, 30 + 186 * i, 560, 30 + 186 * i, 680) for i in range(6)] + [(1, 300, True, 10, 20, 60, 20)]
     segments = spark.createDataFrame(rows, "image long, node int, horizontal boolean, x1 int, y1 int, x2 int, y2 int")

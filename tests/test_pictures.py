@@ -1,6 +1,8 @@
 """Pictures: decoding, detectors on drawn pages, crop features."""
 
+import math
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -9,138 +11,160 @@ from pyspark.sql import functions as F
 
 from draftlake.operators import detections, layout, pictures
 from draftlake.plans import drawn
+from draftlake.sources import files
 
-WHITE = 255
+WIDTH, HEIGHT, PEN = 1000, 700, 2
 
 
-def canvas(width, height):
-    return np.full((height, width, 3), WHITE, np.uint8)
+class Sheet:
+    """A page with ink, and what's to be found on it."""
 
+    def __init__(self, seed):
+        self.rng = np.random.default_rng(seed)
+        self.pixels = np.full((HEIGHT, WIDTH, 3), 255, np.uint8)
+        self.regions = set()
 
-def box(page, x1, y1, x2, y2, colour=(0, 0, 0), width=2):
-    """The outline of a rectangle."""
-    for x in (x1, x2 - width + 1):
-        page[y1 : y2 + 1, x : x + width] = colour
-    for y in (y1, y2 - width + 1):
-        page[y : y + width, x1 : x2 + 1] = colour
+    def between(self, low, high):
+        return int(self.rng.integers(low, high + 1))
 
+    def level(self, x1, x2, y, pen=PEN):
+        self.pixels[y : y + pen, x1:x2] = 0
 
-def grid(page, x1, y1, x2, y2, rows, cols):
-    box(page, x1, y1, x2, y2)
-    for i in range(1, rows):
-        y = y1 + (y2 - y1) * i // rows
-        page[y : y + 2, x1 : x2 + 1] = 0
-    for i in range(1, cols):
-        x = x1 + (x2 - x1) * i // cols
-        page[y1 : y2 + 1, x : x + 2] = 0
+    def upright(self, x, y1, y2, pen=PEN):
+        self.pixels[y1:y2, x : x + pen] = 0
 
+    def net(self, x1, y1, x2, y2, rows, columns):
+        """Lines of a table; its hull."""
+        for y in np.linspace(y1, y2, rows + 1).astype(int):
+            self.level(x1, x2 + PEN, y)
+        for x in np.linspace(x1, x2, columns + 1).astype(int):
+            self.upright(x, y1, y2 + PEN)
+        return x1, y1, x2 + PEN, y2 + PEN
 
-def revision_beside_a_view():
-    page = canvas(1000, 1200)
-    grid(page, 720, 20, 960, 100, 1, 4)
-    box(page, 500, 165, 940, 360)
-    page[145:147, 500:941] = (0, 0, 255)
-    return page
+    def expect(self, kind, hull, pad):
+        self.regions.add((kind, max(hull[0] - pad, 0), max(hull[1] - pad, 0), min(hull[2] + pad, WIDTH), min(hull[3] + pad, HEIGHT)))
 
+    def view(self):
+        """A drawing in the middle, which is no region."""
+        x, y = self.between(250, 330), self.between(200, 260)
+        self.net(x, y, x + self.between(150, 250), y + self.between(90, 150), 1, 1)
+        return self
 
-def view_in_the_middle():
-    page = canvas(1000, 700)
-    box(page, 180, 140, 470, 420)
-    box(page, 650, 160, 700, 430)
-    page[500:502, 160:781] = (0, 0, 255)
-    return page
+    def title(self):
+        hull = self.net(self.between(400, 560), self.between(550, 590), self.between(850, 960), self.between(655, 680), self.between(3, 6), self.between(3, 8))
+        self.expect("title_or_tolerance_table", hull, 22)
+        return self
 
+    def holes(self):
+        hull = self.net(self.between(40, 75), self.between(60, 140), self.between(200, 240), self.between(320, 400), self.between(5, 8), self.between(3, 5))
+        self.expect("hole_table", hull, 22)
+        return self
 
-def wide_bottom_table():
-    page = canvas(1000, 700)
-    grid(page, 30, 560, 960, 680, 5, 10)
-    return page
+    def corner(self):
+        hull = self.net(self.between(800, 830), self.between(30, 45), self.between(900, 950), self.between(70, 88), 1, self.between(2, 3))
+        self.expect("corner_metadata_box", hull, 14)
+        return self
 
+    def frame(self):
+        for x in (self.between(40, 60), self.between(935, 955)):
+            y1, y2, pen = self.between(40, 60), self.between(630, 660), self.between(1, 4)
+            self.upright(x, y1, y2, pen)
+            self.expect("inner_frame_strip", (x, y1, x + pen, y2), 18)
+        return self
 
-def stamped_bottom_table():
-    page = canvas(1000, 700)
-    page[585:661, 360:851] = (120, 0, 0)
-    grid(page, 300, 560, 960, 680, 5, 8)
-    return page
+    def writing(self):
+        x, y, across, down = self.between(40, 120), self.between(500, 530), self.between(6, 14), self.between(3, 6)
+        for i in range(down):
+            for j in range(across):
+                self.pixels[y + 18 * i : y + 18 * i + 9, x + 14 * j : x + 14 * j + 7] = 0
+        self.expect("technical_requirements", (x, y, x + 14 * across - 7, y + 18 * down - 9), 22)
+        return self
 
+    def stamp(self):
+        """Coloured ink is no line."""
+        x, y = self.between(400, 700), self.between(100, 400)
+        self.pixels[y : y + 60, x : x + 200] = (self.between(60, 180), 0, 0)
+        return self
 
-def table_at_a_frame_line():
-    page = canvas(1000, 700)
-    grid(page, 360, 560, 965, 680, 5, 8)
-    grid(page, 760, 35, 965, 75, 1, 3)
-    page[35:681, 965:967] = 0
-    box(page, 120, 120, 520, 410)
-    page[220:222, 520:966] = 0
-    page[75:561, 620:622] = 0
-    return page
 
+SHEETS = {
+    "title": Sheet.title, "holes": Sheet.holes, "corner": Sheet.corner, "frame": Sheet.frame, "writing": Sheet.writing, "nothing": lambda s: s,
+    "several": lambda s: s.title().corner().holes(), "notes": lambda s: s.writing().title(),
+}
 
-def notes_beside_a_table():
-    page = canvas(1000, 700)
-    for y in range(520, 600, 20):
-        for x in range(55, 230, 12):
-            page[y : y + 11, x : x + 8] = 0
-    grid(page, 450, 560, 960, 680, 5, 8)
-    return page
 
+def sheets():
+    return {f"{name}{seed}": make(Sheet(seed)).view().stamp() for name, make in SHEETS.items() for seed in range(3)}
 
-def inner_frame():
-    page = canvas(1000, 700)
-    page[42:661, 57:60] = 0
-    page[42:661, 941:944] = 0
-    box(page, 240, 180, 720, 440)
-    return page
 
-
-def box_in_a_corner():
-    page = canvas(1000, 700)
-    box(page, 780, 30, 960, 88)
-    page[30:89, 840:842] = 0
-    box(page, 230, 180, 700, 440)
-    return page
-
-
-CASES = [revision_beside_a_view, view_in_the_middle, wide_bottom_table, stamped_bottom_table, table_at_a_frame_line, notes_beside_a_table, inner_frame, box_in_a_corner]
-
-
-def test_regions_of_drawn_pages(spark):
-    rows = [(f.__name__, bytearray(pictures.encode_png(f()))) for f in CASES] + [("broken", bytearray(b"x")), ("none", None)]
+def test_regions_of_random_pages(spark):
+    drawn_ = sheets()
+    rows = [(name, bytearray(pictures.encode_png(s.pixels))) for name, s in drawn_.items()] + [("broken", bytearray(b"x")), ("none", None)]
     pages = spark.createDataFrame(rows, "image string, data binary")
-    found = {}
+    found = {name: set() for name in drawn_}
     for r in layout.regions_of_pictures(pages).collect():
-        found.setdefault((r.image, r.region_type), []).append(r)
-    of = lambda image, kind: found.get((image, kind), [])
-    (revision,) = of("revision_beside_a_view", "revision_table")
-    assert revision.y2 < 145
-    assert not of("view_in_the_middle", "hole_table")
-    (title,) = of("wide_bottom_table", "title_or_tolerance_table")
-    assert title.x1 <= 30
-    assert len(of("stamped_bottom_table", "title_or_tolerance_table")) == 1
-    (title,) = of("table_at_a_frame_line", "title_or_tolerance_table")
-    assert title.y1 >= 520 and title.y2 - title.y1 < 180
-    (note,) = of("notes_beside_a_table", "technical_requirements")
-    assert note.keep_crop and note.x1 < 80 and note.y1 < 540
-    frames = of("inner_frame", "inner_frame_strip")
-    assert len(frames) == 2 and not any(r.keep_crop for r in frames)
-    assert min(r.x1 for r in frames) < 60 and max(r.x2 for r in frames) > 940
-    (corner,) = of("box_in_a_corner", "corner_metadata_box")
-    assert corner.keep_crop and corner.x1 <= 780 and corner.y2 < 120
-    assert not {"broken", "none"} & {image for image, _ in found}
+        found[r.image].add((r.region_type, r.x1, r.y1, r.x2, r.y2))
+        assert r.keep_crop == (r.region_type != "inner_frame_strip")
+    assert found == {name: s.regions for name, s in drawn_.items()}
     assert layout.regions_of_pictures(pages.limit(0)).count() == 0
 
 
+def test_pages_that_sparks_reader_has_decoded(spark, tmp_path):
+    some = {name: s for name, s in sheets().items() if name.endswith("0")}
+    for i, (name, s) in enumerate(some.items()):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "page_001_600dpi.png").write_bytes(filtered(s.pixels[:, :, :], [i % 5]) if i < 2 else pictures.encode_png(s.pixels))
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "page_001_600dpi.png").write_bytes(b"nothing")
+    read = files.page_pictures(spark, str(tmp_path), 600)
+    found = {name: set() for name in some}
+    for r in layout.regions_of_pictures(read.select(F.col("sample_id").alias("image"), "data")).collect():
+        found[r.image].add((r.region_type, r.x1, r.y1, r.x2, r.y2))
+    assert found == {name: s.regions for name, s in some.items()}
+
+
 def test_cleaned_pages_are_white_where_regions_are(spark):
-    page = wide_bottom_table()
-    pages = spark.createDataFrame([("a", bytearray(pictures.encode_png(page))), ("b", bytearray(pictures.encode_png(view_in_the_middle())))], "image string, data binary")
+    sheet, other = Sheet(5).title().view(), Sheet(6).view()
+    pages = spark.createDataFrame([("a", bytearray(pictures.encode_png(sheet.pixels))), ("b", bytearray(pictures.encode_png(other.pixels)))], "image string, data binary")
     regions, cleaned = layout.clean_pages(pages)
-    boxes = [r for r in regions.collect() if r.image == "a"]
+    assert {r.image for r in regions.collect()} == {"a"}
     rows = {r.image: r for r in cleaned.collect()}
     clean, mask = pictures.decode_png(bytes(rows["a"].clean)), pictures.decode_png(bytes(rows["a"].mask))
-    want = np.zeros((700, 1000), bool)
-    for r in boxes:
-        want[r.y1 : r.y2 + 1, r.x1 : r.x2 + 1] = True
-    assert (clean[want] == WHITE).all() and (clean[~want] == page[~want]).all() and ((mask[:, :, 0] == 255) == want).all()
-    assert (pictures.decode_png(bytes(rows["b"].clean)) == view_in_the_middle()).all()
+    want = np.zeros((HEIGHT, WIDTH), bool)
+    for _, x1, y1, x2, y2 in sheet.regions:
+        want[y1 : y2 + 1, x1 : x2 + 1] = True
+    assert (clean[want] == 255).all() and (clean[~want] == sheet.pixels[~want]).all() and ((mask[:, :, 0] == 255) == want).all()
+    assert (pictures.decode_png(bytes(rows["b"].clean)) == other.pixels).all()
+
+
+def test_a_large_page_of_writing_takes_little(spark):
+    """6000 x 4000 pixels with as many short lines as letters have."""
+    rng = np.random.default_rng(4)
+    page = np.full((4000, 6000), 255, np.uint8)
+    for y in range(100, 3900, 26):
+        for x in rng.integers(60, 5800, 60):
+            page[y : y + 3, x : x + int(rng.integers(90, 180))] = 0
+    pages = spark.createDataFrame([("p", bytearray(pictures.encode_png(page)))], "image string, data binary")
+    began = time.perf_counter()
+    layout.regions_of_pictures(pages).collect()
+    assert time.perf_counter() - began < 60
+
+
+def test_colour_of_regions_and_sums(spark):
+    rng = np.random.default_rng(8)
+    page = rng.integers(0, 256, (40, 50, 3), dtype=np.uint8)
+    boxes = [tuple(int(v) for v in (*rng.integers(-5, 50, 2), *rng.integers(-5, 60, 2))) for _ in range(50)] + [(0, 0, 50, 40)]
+    regions = spark.createDataFrame([("p", *b, "own") for b in boxes] + [("q", 0, 0, 1, 1, "own"), ("p", None, 0, 1, 1, "own")], "image string, x1 int, y1 int, x2 int, y2 int, coloured string")
+    got = pictures.with_colour(regions, spark.createDataFrame([("p", bytearray(pictures.encode_png(page)))], "image string, data binary")).collect()
+    most, least = page.max(axis=2).astype(int), page.min(axis=2).astype(int)
+    for r in got:
+        if r.image == "q" or r.x1 is None:
+            assert r.coloured is None
+            continue
+        part = (slice(max(r.y1, 0), max(r.y2, 0)), slice(max(r.x1, 0), max(r.x2, 0)))
+        dark = most[part] < 190
+        assert r.coloured == (round((dark & (most[part] - least[part] > 36)).sum() / dark.sum(), 6) if dark.any() else 0.0)
+    assert len(got) == len(boxes) + 2
 
 
 def filtered(pixels, kinds):
@@ -200,7 +224,36 @@ def test_crop_measures_equal_plain_counts():
         full = sum(bool(mask[y, x]) and mask[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2].sum() >= 8 for y in range(23) for x in range(31))
         assert (ink, thick, largest, parts) == (round(mask.sum() / mask.size, 6), round(full / mask.size, 6), round(max(components(mask), default=0) / mask.size, 6), len(components(mask)))
     assert pictures.measure_crop(page, (5, 5, 5, 9)) == (0.0, 0.0, 0.0, 0)
-    assert pictures.measure_crop(np.zeros((900, 900, 3), np.uint8), (0, 0, 900, 900))[0] == 1.0
+    assert pictures.measure_crop(np.zeros((900, 900, 3), np.uint8), (0, 0, 900, 900)) == (1.0, round(638 * 638 / 640**2, 6), 1.0, 1)
+
+
+@pytest.mark.parametrize(("size", "want"), [((640, 640), (640, 640)), ((641, 10), (640, 10)), ((1280, 961), (640, 481)), ((961, 1280), (480, 640)), ((5000, 3), (640, 1)), ((1000, 701), (640, 449)), ((30, 40), (30, 40))])
+def test_size_of_shrunk_crops(size, want):
+    assert pictures.fitted(*size, 640) == want
+
+
+def exactly(grey, new, begin, end):
+    """Rows resampled by the stretched cubic kernel in exact weights, levels not rounded."""
+    scale = (end - begin) / new
+    out = np.zeros((len(grey), new))
+    for i in range(new):
+        centre = begin + (i + 0.5) * scale
+        low, high = max(int(centre - 2 * scale + 0.5), 0), min(int(centre + 2 * scale + 0.5), grey.shape[1])
+        x = [abs((k - centre + 0.5) / scale) for k in range(low, high)]
+        w = np.array([1.5 * v**3 - 2.5 * v**2 + 1 if v < 1 else -0.5 * v**3 + 2.5 * v**2 - 4 * v + 2 if v < 2 else 0 for v in x])
+        out[:, i] = grey[:, low:high] @ (w / math.fsum(w))
+    return np.clip(out, 0, 255)
+
+
+@pytest.mark.parametrize("size", [(641, 500), (700, 900), (1300, 640)])
+def test_shrunk_crops_are_within_a_level_of_exact_weights(size):
+    """Weights of 22 bits and levels rounded after each direction: at most one level off what exact arithmetic gives."""
+    grey = np.random.default_rng(2).integers(0, 256, size[::-1]).astype(np.int64)
+    width, height = pictures.fitted(*size, 640)
+    want = exactly(exactly(grey, width, 0, size[0]).T, height, 0, size[1]).T
+    got = pictures.shrunk(grey, 640)
+    assert got.shape == want.shape and np.abs(got - want).max() <= 1.25 and np.abs(got - want).mean() < 0.4
+    assert (pictures.shrunk(np.full((3000, 4000), 77), 640) == 77).all() and pictures.shrunk(np.zeros((4000, 6000), np.int64), 640).shape == (427, 640)
 
 
 def test_filter_uses_what_crops_look_like(spark):
