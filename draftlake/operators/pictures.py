@@ -104,9 +104,15 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return _SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
 
 
+def extremes(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The brightest and the darkest channel of each pixel."""
+    red, green, blue = (pixels[:, :, i] for i in range(3))
+    return np.maximum(np.maximum(red, green), blue), np.minimum(np.minimum(red, green), blue)
+
+
 def ink(pixels: np.ndarray, rules: PictureRules = PictureRules()) -> np.ndarray:
     """Dark pixels without much colour."""
-    most, least = pixels.max(axis=2), pixels.min(axis=2)
+    most, least = extremes(pixels)
     return (most < rules.dark) & (most - least <= rules.neutral)
 
 
@@ -316,7 +322,7 @@ def with_colour(regions: DataFrame, pictures: DataFrame, rules: PictureRules = P
             if (pixels := _read(value)) is None:
                 out.append([])
                 continue
-            most, least = pixels.max(axis=2), pixels.min(axis=2)
+            most, least = extremes(pixels)
             dark = sums(most < rules.dark)
             colour = sums((most < rules.dark) & (most - least > rules.neutral))
             shares = [(b, inside(dark, *(b[c] for c in sides)), inside(colour, *(b[c] for c in sides))) for b in own if None not in b.values()]
