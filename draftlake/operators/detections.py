@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, numbered
+from ..functions import variants as V
+from ..functions.geometry import Box, numbered, rounded_box
 
 PAGE = ["sample_id", "page"]
 
@@ -37,6 +38,32 @@ class FilterRules:
     layout_types: tuple[str, ...] = ("revision_table", "title_or_tolerance_table", "tolerance_table", "hole_table")
 
 
+def candidates_of(documents: DataFrame) -> DataFrame:
+    """The candidates of documents of detections (sample_id, page, doc: a variant, and wrong: why there's none), as the filter takes them; a
+    box that isn't four numbers is null. A document that's none, or holds none, gives one row, without ord."""
+    doc = F.col("doc")
+    size = F.coalesce(V.size_of(V.field(doc, "$.image_size")), V.pair_of(V.field(doc, "$.image_size")))
+    views = F.filter(V.field(doc, "$.views", "array<variant>"), V.is_object)
+    wrong = F.when(F.col("wrong").isNotNull(), F.col("wrong")).when(~V.is_object(doc), "document is not an object")
+    each = documents.select(*PAGE, wrong.alias("error"), size.alias("size"), F.posexplode_outer(views).alias("ord", "v"))
+    box = rounded_box(V.field(F.col("v"), "$.bbox"))
+    parts = each.select(*PAGE, "error", "size", "ord", "v", box.alias("box"))
+    return parts.select(
+        *PAGE, "error", "ord", V.field(F.col("v"), "$.view_id", "string").alias("view_id"), *[c.alias(n) for c, n in zip(Box.of_array(F.col("box")), Box._fields, strict=True)],
+        V.field(F.col("v"), "$.score", "double").alias("score"), F.coalesce("size.width", F.lit(0)).alias("page_width"), F.coalesce("size.height", F.lit(0)).alias("page_height"),
+    )
+
+
+def filter_documents(documents: DataFrame, layout: DataFrame, rules: FilterRules = FilterRules()) -> DataFrame:
+    """The filter as a batch stage (plans.batch): sample_id, page, error, kind (accepted or rejected), ord, view_id, box, reject_reason."""
+    found = candidates_of(documents)
+    decided = decide(found.filter("error IS NULL AND ord IS NOT NULL"), layout, rules)
+    kind = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
+    rows = decided.select(*PAGE, "error", kind.alias("kind"), "ord", "view_id", *Box._fields, "reject_reason")
+    none = found.filter("error IS NOT NULL OR ord IS NULL").select(*PAGE, "error", F.lit(None).cast("string").alias("kind"), "ord", "view_id", *Box._fields, F.lit(None).cast("string").alias("reject_reason"))
+    return rows.unionByName(none)
+
+
 def layout_hits(detections: DataFrame, layout: DataFrame, rules: FilterRules) -> DataFrame:
     """sample_id, page, ord and, in region order, the first rejecting region's type."""
     of = layout.filter(F.col("region_type").isin(*rules.layout_types)).select(*PAGE, F.col("ord").alias("region_ord"), "region_type", *[F.col(c).alias(f"r_{c}") for c in Box._fields])

@@ -10,7 +10,7 @@ from ..functions.geometry import Box
 from ..operators import cad, detections, drawing, features, layout, mentions, pictures, raster, record, scoring, views
 from ..sources import artefacts, files, sinks
 from . import adapters as A
-from . import drawn
+from . import batch, drawn
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -499,6 +499,46 @@ def page_cleaning(spark, sf_dir):
     return left.agg(F.max(F.col("width") * F.col("height")).alias("area"), F.count_if(F.col("kind") != "page").cast("int").alias("ink_left"))
 
 
+@query(f"""WITH {A.DETECTIONS_SQL}, {A.VIEWS_SQL}, o AS (
+  SELECT o_orderkey AS sample_id, o_orderpriority AS p, (o_custkey % 900)::INT AS w, (o_custkey % 700)::INT AS h FROM orders)
+SELECT sample_id, ord, CASE p WHEN '1-URGENT' THEN CASE WHEN w > 0 AND h > 0 THEN w ELSE r.x END WHEN '2-HIGH' THEN w WHEN '3-MEDIUM' THEN CASE WHEN w > 0 THEN w ELSE r.x END ELSE r.x END::INT AS page_width,
+  CASE p WHEN '1-URGENT' THEN CASE WHEN w > 0 AND h > 0 THEN h ELSE r.y END WHEN '2-HIGH' THEN h WHEN '3-MEDIUM' THEN CASE WHEN w > 0 THEN 12 ELSE r.y END ELSE r.y END::INT AS page_height
+FROM views JOIN o USING (sample_id) JOIN (SELECT sample_id, max(x2) AS x, max(y2) AS y FROM views GROUP BY 1) r USING (sample_id)""")
+def page_sizes(spark, sf_dir):
+    """Sizes of pages said as an object, a list, an object of numbers as text, a list of one, or not at all; zero says nothing in an object."""
+    w, h = F.col("o_custkey") % 900, F.col("o_custkey") % 700
+    priority, say = F.col("o_orderpriority"), lambda form, *of: F.format_string(form, *of)
+    size = F.when(priority == "1-URGENT", say('{"width": %d, "height": %d}', w, h)).when(priority == "2-HIGH", say("[%d, %d]", w, h)).when(priority == "3-MEDIUM", say('{"width": "%d", "height": 12.9}', w)).when(priority == "4-NOT SPECIFIED", say("[%d]", w)).otherwise("null")
+    documents_ = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit(1).alias("page"), F.try_parse_json(F.concat(F.lit('{"image_size": '), size, F.lit("}"))).alias("doc"))
+    found = A.views(A.detections(spark, sf_dir)).drop("page_width", "page_height")
+    return views.with_page_size(found, documents_).select("sample_id", "ord", "page_width", "page_height")
+
+
+@query(f"""{_DECIDED_SQL}, z AS (
+  SELECT o_orderkey AS sample_id, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END AS p FROM orders),
+n AS (
+  SELECT d.sample_id, z.o_orderstatus, z.p, count(*) AS n, count(*) FILTER (WHERE reject_reason IS NULL AND NOT (p IS NOT DISTINCT FROM '3-MEDIUM' AND ord = last)) AS ok
+  FROM (SELECT *, max(ord) OVER (PARTITION BY sample_id) AS last FROM decided) d JOIN z USING (sample_id) GROUP BY ALL)
+SELECT sample_id, run, CASE WHEN p = '5-LOW' THEN 'failed' ELSE 'done' END AS status, CASE WHEN p = '5-LOW' THEN 'document is not an object' END AS error,
+  CASE WHEN p = '5-LOW' THEN 0 ELSE ok END AS accepted, CASE WHEN p = '5-LOW' THEN 0 ELSE n - ok END AS rejected
+FROM n, (VALUES (1), (2)) r(run) WHERE run = 1 OR o_orderstatus = 'F' OR p = '5-LOW'""")
+def view_filter_batch(spark, sf_dir):
+    """The filter over documents, twice: the second run meets other fingerprints for orders with status F, and does those, and what failed."""
+    kept, skipped = _views(spark, sf_dir)
+    given = A.record_inputs(spark, sf_dir, views.classify(kept), skipped)[0]
+    status = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), "o_orderstatus")
+    given = given.join(status, "sample_id").withColumns({"size": F.length("text").cast("long"), "time": F.lit(0).cast("timestamp")})
+    regions = A.layout(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string"))
+    work = lambda todo: detections.filter_documents(record.read(todo), regions)
+    folder, keys = raster.shared_folder(spark, "filter"), ["sample_id", "page"]
+    first = batch.run_stage(given, work, folder, keys, "1").status
+    again = given.withColumn("time", F.when(F.col("o_orderstatus") == "F", F.lit(9).cast("timestamp")).otherwise(F.col("time")))
+    second = batch.run_stage(again, work, folder, keys, "2").status
+    both = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+    count = lambda kind: F.coalesce(F.try_element_at("counts", F.lit(kind)), F.lit(0)).cast("long").alias(kind)
+    return both.select(F.col("sample_id").cast("long").alias("sample_id"), "run", "status", "error", count("accepted"), count("rejected"))
+
+
 @query(drawn.COLOUR_SQL)
 def region_colours(spark, sf_dir):
     pages, regions = drawn.colour_pages(spark, sf_dir)
