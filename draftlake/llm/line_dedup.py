@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run holds (key hash, number of documents), sorted by hash. A batch of documents counts its own keys, leaves
-out by an anti-join the keys that the runs already hold as settled (found often enough), and adds the rest as a
-run of level 0. When a level has ``fanout`` runs, they are merged into one run of the next level. The settled
-keys at the end lose all their lines in every document.
+A run holds (key hash, number of documents), sorted by hash. A batch of documents counts its own keys and goes through the
+runs one by one, the highest level first, with a merge-anti-join against the keys that the run holds as settled (found in
+enough documents: nothing is to be learned of them any more); what is left is a run of level 0. When a level has ``fanout`` runs, they're
+merged into one run of the next level, which settles the keys that only together are frequent. Runs are summed once, at the end; the keys
+then settled lose all their lines in every document.
 
 Cases: a null or empty text is one empty line, which is never dropped (keys need at least one code point);
 rows that share a doc_id count as one document, and each keeps its own text's lines; documents with null
@@ -39,18 +40,22 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(run)
 
-    def merged(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return None if not runs else _sum(runs)
+    def runs(self) -> list[DataFrame]:
+        """All runs, the highest level first."""
+        return [run for level in reversed(self.levels) for run in level]
 
-    def settled(self) -> DataFrame | None:
-        merged = self.merged()
-        return None if merged is None else merged.filter(F.col("docs") >= self.min_documents)
+    def settled(self) -> DataFrame:
+        """The keys found in enough documents, with their numbers."""
+        return self._enough(_sum(self.runs()))
+
+    def _enough(self, run: DataFrame) -> DataFrame:
+        return run.filter(F.col("docs") >= self.min_documents)
 
     def add(self, counts: DataFrame) -> None:
-        """Merge-anti-join: settled keys need no more counting, all others join the runs."""
-        settled = self.settled()
-        self._write(counts if settled is None else counts.join(settled.select("key"), "key", "left_anti"), 0)
+        """One batch: without the keys that a run has settled, as a run of its own."""
+        for run in self.runs():
+            counts = counts.hint("merge").join(self._enough(run).select("key").hint("merge"), "key", "left_anti")
+        self._write(counts, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
