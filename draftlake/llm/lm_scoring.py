@@ -310,6 +310,7 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
     trie = Trie(folder, segments, bases, tokens, float(np.log10(max(mass, 1e-12) / unseen)), prior, order, float(step))
     if not tokens:
         return trie
+    keys_fit(trie.words, trie.words)
 
     def finish_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -391,10 +392,17 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
 
     trie.pair_bases = build("pairs", count_pairs, finish_pairs)
     if order > 2:
+        keys_fit(trie.pairs, trie.words)
         build("triples", count_triples, finish_triples)
     return trie
 
 
+def keys_fit(contexts: int, words: int) -> None:
+    """A key is the number of a context and of a word in one signed 64-bit number: an error where they don't fit."""
+    if contexts * words >= 1 << 63:
+        raise OverflowError(f"{contexts} contexts of {words} words have no 64-bit keys; a lower order has")
+
+
 def _narrow(counts: np.ndarray) -> np.ndarray:
     """Counts in the least unsigned type that holds them all."""
     return counts.astype(np.min_scalar_type(counts.max()))

@@ -300,3 +300,9 @@ def test_lm_with_nothing_to_learn_from(spark, odd_docs, no_docs):
     rows = lm_scoring.score_texts(odd_docs, trie).select("lm.*").collect()
     assert all(r.n_known == 0 and r.score == r.base_score == 0.0 for r in rows)
     assert lm_scoring.score_texts(no_docs, trie).count() == 0
+
+
+def test_keys_that_do_not_fit_are_an_error():
+    lm_scoring.keys_fit(1 << 31, 1 << 31)
+    with pytest.raises(OverflowError, match="64-bit"):
+        lm_scoring.keys_fit(1 << 32, 1 << 31)

@@ -252,3 +252,22 @@ def test_chat_of_turns_is_reversible(spark):
     assert {k: r.n_turns for k, r in back.items()} == {1: 4, 2: 1, None: 1}
     assert back[2].loss_chars == 70_001 and back[2].loss_sha256 == hashlib.sha256(("é" * 70_001).encode()).hexdigest()
     assert back[1].turns_sha256 == hashlib.sha256(b"user\n\nuser\n\n\ntie\nassistant\n" + b"<|im_end|>\n" * 3 + b"\n").hexdigest()
+
+
+def test_runs_of_lines_are_anti_joined_one_by_one(spark):
+    runs, plain, rng = line_dedup.LineRuns(min_documents=5, fanout=2), Counter(), np.random.default_rng(3)
+    for batch in range(7):
+        counts = Counter(f"k{i}" for i in rng.geometric(0.2, 60))
+        plain.update(counts)
+        frame = spark.createDataFrame(list(counts.items()), "key string, docs long")
+        before = [{r.key for r in run.collect() if r.docs >= 5} for run in runs.runs()]
+        runs.add(frame)
+        if not (batch + 1) & batch:  # all in one run again
+            assert len(runs.runs()) == 1
+        if batch in (2, 4):
+            (own,) = runs.levels[0]
+            assert {r.key for r in own.collect()} == set(counts) - set().union(*before)
+    settled = {r.key: r.docs for r in runs.settled().collect()}
+    assert set(settled) == {k for k, n in plain.items() if n >= 5} and all(5 <= n <= plain[k] for k, n in settled.items())
+    plan = frame.hint("merge").join(runs.runs()[0].select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
