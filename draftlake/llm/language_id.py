@@ -36,6 +36,8 @@ from .shared import materialise
 MOST_ROWS, MOST_BYTES, MOST_LANGUAGES, EPOCHS = 400, 1 << 21, 64, 30
 BITS, WIDEST, NGRAM, CACHE_WORDS = 18, 62, 4, 300_000
 LEXICON_SHARE, LEXICON_COUNT = 0.9, 3
+#: Letters, times languages, that are labelled together (a longer text by itself).
+SLICE_LETTERS = 16 << 20
 UNKNOWN = "und"
 
 
@@ -113,8 +115,8 @@ class LanguageModel:
         return out
 
 
-def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of each word of chains laid end to end, and the expected label pairs of neighbours."""
+def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, fitting: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of each word of chains laid end to end, and, where it's for fitting, the expected label pairs of neighbours."""
     k = emissions.shape[1]
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
@@ -134,8 +136,9 @@ def posteriors(emissions: np.ndarray, transitions: np.ndarray, lengths: np.ndarr
         if longer:
             after = local[at[:longer] + 1] * beta[at[:longer] + 1]
             b = after @ step.T
-            total = (alpha[at[:longer]] * b).sum(axis=1, keepdims=True)
-            pairs += (alpha[at[:longer]] / total).T @ after * step
+            if fitting:
+                total = (alpha[at[:longer]] * b).sum(axis=1, keepdims=True)
+                pairs += (alpha[at[:longer]] / total).T @ after * step
             beta[at[:longer]] = b / b.sum(axis=1, keepdims=True)
     out = alpha * beta
     return out / out.sum(axis=1, keepdims=True), pairs
@@ -245,8 +248,11 @@ def language(model: LanguageModel | None) -> Column:
         table = np.zeros((0, len(names)))
         for batch in batches:
             parts = []
-            for low in range(0, len(batch), 400):
-                texts = [[chain for chain in chains(t)] if t else [] for t in batch.iloc[low : low + 400]]
+            # many chains together: each of the sweep's steps takes one word of all
+            upto = batch.str.len().fillna(0).cumsum().to_numpy(np.int64) * len(names) // SLICE_LETTERS
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(batch)] if len(batch) else [0]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                texts = [[chain for chain in chains(t)] if t else [] for t in batch.iloc[low:high]]
                 new = set().union(*(c for t in texts for c in t)).difference(known)
                 if len(known) + len(new) > CACHE_WORDS:
                     known, table = {}, table[:0]
@@ -263,7 +269,7 @@ def language(model: LanguageModel | None) -> Column:
                 flat = np.fromiter((i for c in ids for i in c), np.int64, int(lengths.sum()))
                 sums, many = np.zeros((len(texts), len(names))), np.zeros(len(texts))
                 if len(flat):
-                    posterior, _ = posteriors(table[flat], own.transitions, lengths[lengths > 0])
+                    posterior, _ = posteriors(table[flat], own.transitions, lengths[lengths > 0], fitting=False)
                     word_owner = np.repeat(owner, lengths)
                     many = np.bincount(word_owner, minlength=len(texts))
                     for j in range(len(names)):
