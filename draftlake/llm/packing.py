@@ -26,8 +26,8 @@ from .shared import materialise, salted_rank
 from .words import give_back, slices
 
 SIZE, CLOSING_ID = 2048, 1
-#: Distinct words, and bytes of words and ids, that a worker keeps before it begins anew; bytes of text encoded at once.
-CACHE_WORDS, CACHE_BYTES, TOGETHER, WORDS_A_CALL = 200_000, 16 << 20, 2 << 20, 10_000
+#: Distinct words, and bytes of words and ids, that a worker keeps before it lets those go that didn't recur; bytes of text encoded at once.
+CACHE_WORDS, CACHE_BYTES, TOGETHER, WORDS_A_CALL = 500_000, 48 << 20, 4 << 20, 10_000
 #: A control character that is one token; signs that the tokenizer parts from a letter or digit before them.
 PARTING = "\x1e"
 _SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -64,6 +64,19 @@ class TextEncoder:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.starts, self.lengths, self.ids, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.again = np.zeros(0, bool)
+
+    def _trim(self) -> None:
+        """Keep the words that were met again since they were learned or last kept, all of them or, above half the bounds, none."""
+        kept = [(w, i) for w, i in self.number.items() if self.again[i]]
+        starts, lengths = self.starts, self.lengths
+        ids, at = self.ids, np.fromiter((i for _, i in kept), np.int64, len(kept))
+        self._clear()
+        if 2 * len(kept) <= CACHE_WORDS:
+            ids, lengths = _gather(ids, starts[at], lengths[at])
+            self._keep([w for w, _ in kept], ids, np.cumsum(lengths) - lengths, lengths)
+            if 2 * self.bytes > CACHE_BYTES:
+                self._clear()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -81,6 +94,7 @@ class TextEncoder:
     def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         self.number.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
         self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts + len(self.ids)]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
         self.bytes += sum(map(len, words)) + ids.nbytes
 
     def _split(self, words: pa.LargeStringArray) -> pa.LargeStringArray:
@@ -99,11 +113,12 @@ class TextEncoder:
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         if len(self.number) > CACHE_WORDS or self.bytes > CACHE_BYTES:
-            self._clear()
+            self._trim()
         distinct = words.dictionary
         parts = (self._split(distinct) if self.parts else distinct).dictionary_encode()
         found = parts.dictionary.to_numpy(zero_copy_only=False)
         at = np.array([self.number.get(w, -1) for w in found], np.int64)
+        self.again[at[at >= 0]] = True
         if len(fresh := np.flatnonzero(at < 0)):
             new = [w if PARTING not in w else " " for w in found[fresh].tolist()]  # those are encoded whole below
             at[fresh] = np.arange(len(self.starts), len(self.starts) + len(new))

@@ -218,6 +218,23 @@ def test_a_tokenizer_that_is_not_read_word_by_word_is_given_whole_texts(odd_docs
     assert packing.pack(odd_docs, path).count() == sum(-(-(len(own) + 1) // packing.SIZE) for own in whole)
 
 
+def test_packing_words_that_recur_stay(monkeypatch, rng):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    encoder = packing.TextEncoder(packing.default_tokenizer())
+    own = ["often", "met,", "\x1e", "a<|b"]
+    learned = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.extend(words), learn(words)))
+    for i in range(40):
+        texts = [" ".join([*own, *(f"new{i}x{rng.randrange(10**6)}" for _ in range(12))]) for _ in range(2)]
+        ids, lengths = encoder.encode(pa.array(texts, pa.large_string()))
+        whole = [encoder._ids(t) for t in texts]
+        assert lengths.tolist() == [len(w) for w in whole] and ids.tolist() == [x for w in whole for x in w.tolist()]
+    assert len(encoder.number) <= 60 + 2 * 26 and learned.count("often") <= 2  # a full cache let the others go
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)  # all that recurs is above half the bound
+    assert [encoder.encode(pa.array(["often met, once more"], pa.large_string()))[1].tolist() for _ in range(3)] == [[5]] * 3
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, packing.default_tokenizer()).count() == 0
 
