@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, geometry, text
 from ..functions.geometry import Box
-from ..operators import cad, detections, drawing, features, layout, mentions, pictures, raster, record, scoring, views
+from ..operators import cad, detections, drawing, features, layout, mentions, models, pictures, raster, record, scoring, views
 from ..sources import artefacts, files, sinks
 from . import adapters as A
 from . import batch, drawn
@@ -333,6 +333,27 @@ def screening_cases(spark, sf_dir):
     return scoring.cases(split).select("ord", "task", "task_truth", F.get("input_images", F.lit(0)).alias("image"))
 
 
+_ASKED = {"AF": "view_count", "AO": "view_classification", "NF": "dimension_ocr", "NO": "feature_count", "RF": "json_stability"}  # others are no task
+_ASKED_SQL = "SELECT l_orderkey, CASE l_returnflag || l_linestatus " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ASKED.items()) + " ELSE l_returnflag || l_linestatus END AS task FROM lineitem"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.concat("l_returnflag", "l_linestatus")
+    named = F.coalesce(*[F.when(kind == k, v) for k, v in _ASKED.items()], kind)
+    return A.table(spark, sf_dir, "lineitem").select("l_orderkey", named.alias("task"))
+
+
+@query(f"""WITH asked AS ({_ASKED_SQL}), known(task, image_level, metric) AS (VALUES {", ".join(map(str, models.TASKS))})
+SELECT l_orderkey, task, image_level, metric, CASE WHEN metric IS NULL THEN 'Unknown task: ' || task END AS error FROM asked LEFT JOIN known USING (task)""")
+def screening_requests(spark, sf_dir):
+    return models.requests(_asked(spark, sf_dir))
+
+
+@query(f"WITH asked AS ({_ASKED_SQL}) SELECT l_orderkey, string_agg(DISTINCT task, ';' ORDER BY task) AS tasks FROM asked GROUP BY l_orderkey")
+def screening_task_lists(spark, sf_dir):
+    return models.task_lists(_asked(spark, sf_dir), "l_orderkey").select("l_orderkey", F.array_join("tasks", ";").alias("tasks"))
+
+
 @query(r"""SELECT p_partkey, upper(replace('ø ' || p_size || ' x', ' ', '')).replace('Ø', 'Φ') AS normalized, p_size % 9 AS quantity, p_size::DOUBLE AS value, CASE WHEN p_size IN (5, 6, 8) THEN p_size ELSE p_size END::DOUBLE AS diameter,
   CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5 ELSE 4.6 END::DOUBLE AS depth FROM part""")
 def dimension_texts(spark, sf_dir):
