@@ -144,6 +144,14 @@ class TextEncoder:
         return np.concatenate(found) if found else np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
+def _encoder(path: str) -> TextEncoder:
+    """The worker's own encoder, kept while it lives. (A function of the module, as what is sent with a task has its own copy of the
+    module's variables.)"""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
+
+
 def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans of ids end to end, and their lengths."""
     ends = np.cumsum(lengths)
@@ -169,9 +177,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataF
     """doc_id, start, length, doc_tokens and ids (little-endian 32-bit) of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:  # kept while the worker lives
-            _encoders[tokenizer] = TextEncoder(tokenizer)
-        encoder = _encoders[tokenizer]
+        encoder = _encoder(tokenizer)
         for batch in batches:
             for low, high, _, _ in slices(batch.column(1), TOGETHER):
                 texts = pc.fill_null(batch.column(1).slice(low, high - low).cast(pa.large_string()), "")
