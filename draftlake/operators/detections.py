@@ -45,7 +45,8 @@ def candidates_of(documents: DataFrame) -> DataFrame:
     size = F.coalesce(V.size_of(V.field(doc, "$.image_size")), V.pair_of(V.field(doc, "$.image_size")))
     views = F.filter(V.field(doc, "$.views", "array<variant>"), V.is_object)
     wrong = F.when(F.col("wrong").isNotNull(), F.col("wrong")).when(~V.is_object(doc), "document is not an object")
-    each = documents.select(*PAGE, wrong.alias("error"), size.alias("size"), F.posexplode_outer(views).alias("ord", "v"))
+    each = documents.select(*PAGE, wrong.alias("error"), size.alias("size"), views.alias("views"))  # once a document, not once a candidate
+    each = each.select(*PAGE, "error", "size", F.posexplode_outer("views").alias("ord", "v"))
     box = rounded_box(V.field(F.col("v"), "$.bbox"))
     parts = each.select(*PAGE, "error", "size", "ord", "v", box.alias("box"))
     return parts.select(
@@ -55,21 +56,22 @@ def candidates_of(documents: DataFrame) -> DataFrame:
 
 
 def filter_documents(documents: DataFrame, layout: DataFrame, rules: FilterRules = FilterRules()) -> DataFrame:
-    """The filter as a batch stage (plans.batch): sample_id, page, error, kind (accepted or rejected), ord, view_id, box, reject_reason."""
-    found = candidates_of(documents)
-    decided = decide(found.filter("error IS NULL AND ord IS NOT NULL"), layout, rules)
+    """The filter as a batch stage (plans.batch): sample_id, page, error, kind (accepted or rejected), ord, view_id, box, reject_reason.
+    Documents are read in one pass; rows without a candidate go through the rules with the others, and lose their verdict."""
+    decided = decide(candidates_of(documents), layout, rules)
+    candidate = F.col("error").isNull() & F.col("ord").isNotNull()
     kind = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
-    rows = decided.select(*PAGE, "error", kind.alias("kind"), "ord", "view_id", *Box._fields, "reject_reason")
-    none = found.filter("error IS NOT NULL OR ord IS NULL").select(*PAGE, "error", F.lit(None).cast("string").alias("kind"), "ord", "view_id", *Box._fields, F.lit(None).cast("string").alias("reject_reason"))
-    return rows.unionByName(none)
+    return decided.select(*PAGE, "error", F.when(candidate, kind).alias("kind"), "ord", "view_id", *Box._fields, F.when(candidate, F.col("reject_reason")).alias("reject_reason"))
 
 
 def layout_hits(detections: DataFrame, layout: DataFrame, rules: FilterRules) -> DataFrame:
-    """sample_id, page, ord and, in region order, the first rejecting region's type."""
-    of = layout.filter(F.col("region_type").isin(*rules.layout_types)).select(*PAGE, F.col("ord").alias("region_ord"), "region_type", *[F.col(c).alias(f"r_{c}") for c in Box._fields])
-    pairs = detections.select(*PAGE, "ord", *Box._fields).join(of, PAGE)
-    covered = pairs.filter((Box.of().area() > 0) & (Box.of().coverage_by(Box.of("r_")) >= rules.layout_coverage))
-    return covered.groupBy(*PAGE, "ord").agg(F.min_by("region_type", "region_ord").alias("layout_type"))
+    """detections with layout_type: in region order, the first rejecting region's type. The regions of a page meet its detections as
+    one array, so that detections are read once and keep their place."""
+    rejecting = layout.filter(F.col("region_type").isin(*rules.layout_types))
+    of = rejecting.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("unplaced"), F.col("ord").alias("region_ord"), "region_type", *Box._fields))).alias("_regions"))
+    covers = lambda r: Box.of().coverage_by(Box(*(r[c] for c in Box._fields))) >= rules.layout_coverage
+    first = F.get(F.filter("_regions", covers), F.lit(0))["region_type"]
+    return detections.join(of, PAGE, "left").withColumn("layout_type", F.when(Box.of().area() > 0, first)).drop("_regions")
 
 
 def _dense(features: Column, rules: FilterRules) -> Column:
@@ -86,7 +88,7 @@ def decide(detections: DataFrame, layout: DataFrame, rules: FilterRules = Filter
     box, score = Box.of(), F.coalesce("score", F.lit(0.0))
     strip = (F.col("page_height") > 0) & (F.col("y2") <= F.col("page_height") * rules.strip_y2) & (box.height() <= F.col("page_height") * rules.strip_height)
     missing = F.greatest(*[c.isNull().cast("int") for c in box]) == 1
-    joined = detections.join(layout_hits(detections, layout, rules), [*PAGE, "ord"], "left")
+    joined = layout_hits(detections, layout, rules)
     reason = (
         F.when(missing | (box.area() <= 0), F.lit("invalid_bbox"))
         .when(F.col("layout_type").isNotNull(), F.concat(F.lit("layout_region_overlap:"), "layout_type"))

@@ -89,3 +89,13 @@ def test_page_size_chain(spark, size, want):
     doc = spark.createDataFrame([("s", 1, json.dumps({"image_size": size}))], "sample_id string, page int, text string").withColumn("doc", F.try_parse_json("text"))
     got = {(r.page, r.ord): (r.page_width, r.page_height) for r in views.with_page_size(found, doc).collect()}
     assert got == {(1, 0): want, (1, 1): want, (2, 0): (500, 500)}
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_the_filter_reads_documents_once(spark):
+    """Each reading of a document is one Python step over all texts."""
+    todo = inputs(spark, ("a", 1, page(GOOD), 1))
+    assert python_steps(work(spark)(todo)) == 1
