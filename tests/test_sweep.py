@@ -72,3 +72,19 @@ def test_segments_with_missing_sides_touch_nothing(spark):
     plan = raster.line_components(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hash") == 1
     assert raster.line_components(frame.limit(0)).count() == 0
+
+
+def test_small_pages_at_once_are_as_swept_one_by_one(monkeypatch):
+    import numpy as np
+
+    from draftlake.operators import sweep
+
+    monkeypatch.setattr(sweep, "PAIRS", 40)
+    made = np.random.default_rng(5)
+    pages = [[(bool(made.integers(2)), *made.integers(0, 120, 4).tolist()) for _ in range(n)] for n in (3, 0, 1, 12, 30, 0, 7)]
+    want = [sorted(sweep.hulls(list(range(len(p))), p, 3)) for p in pages]
+    flat = np.array([(i, *s) for p in pages for i, s in enumerate(p)])
+    per, columns = sweep.small_hulls(np.array([len(p) for p in pages]), flat[:, 0], flat[:, 1].astype(bool), tuple(flat[:, 2:].T), 3)
+    got = list(zip(*(c.tolist() for c in columns), strict=True))
+    ends = np.cumsum(per)
+    assert [sorted(got[e - n : e]) for e, n in zip(ends, per, strict=True)] == want
