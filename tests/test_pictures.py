@@ -272,3 +272,10 @@ def test_filter_uses_what_crops_look_like(spark):
 
 def test_drawn_pages_are_of_every_kind():
     assert {drawn.draw(k, 0).shape for k in range(drawn.KINDS)} == {(700, 1000), (1200, 1000)}
+
+
+def test_grey_pages_are_kept_once_and_stay_grey():
+    """A grey picture isn't blown up to three planes."""
+    plane = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    pixels = pictures.decode_png(pictures.encode_png(plane))
+    assert pixels.shape == (6, 10, 3) and pixels.strides[2] == 0 and (pixels == plane[:, :, None]).all()
