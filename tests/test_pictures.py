@@ -279,3 +279,12 @@ def test_grey_pages_are_kept_once_and_stay_grey():
     plane = np.arange(60, dtype=np.uint8).reshape(6, 10)
     pixels = pictures.decode_png(pictures.encode_png(plane))
     assert pixels.shape == (6, 10, 3) and pixels.strides[2] == 0 and (pixels == plane[:, :, None]).all()
+
+
+def test_pages_are_spread_for_their_work(spark):
+    """Small pictures aren't coalesced to one task before they're read."""
+    white = pictures.encode_png(np.full((20, 20), 255, np.uint8))
+    pages = spark.createDataFrame([(i, bytearray(white)) for i in range(40)], "image long, data binary")
+    boxes = spark.createDataFrame([(i, 1, 1, 5, 5) for i in range(40)], "image long, x1 int, y1 int, x2 int, y2 int")
+    cleaned = pictures.cleaned(pages, boxes).select("image", F.spark_partition_id().alias("at"))
+    assert len({r["at"] for r in cleaned.collect()}) > 1
