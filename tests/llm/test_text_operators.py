@@ -235,6 +235,21 @@ def test_packing_words_that_recur_stay(monkeypatch, rng):
     assert [encoder.encode(pa.array(["often met, once more"], pa.large_string()))[1].tolist() for _ in range(3)] == [[5]] * 3
 
 
+def test_packing_sends_texts_in_batches_of_bounded_bytes(spark, monkeypatch):
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.rpad(F.concat(F.lit("w"), "id"), 5000, " ab").alias("text"))
+    sizes = []
+
+    def instead(df, name):
+        sizes.extend(r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect())
+        return shared.materialise(df, name)
+
+    monkeypatch.setattr(packing, "materialise", instead)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert packing.pack(docs, packing.default_tokenizer()).select("doc_id").distinct().count() == 4000
+    assert sum(sizes) >= 20_000_000 and max(sizes) <= 5 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, packing.default_tokenizer()).count() == 0
 
