@@ -1,5 +1,7 @@
 """Operators on small drawn-up cases."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -259,3 +261,22 @@ def test_stream_filters_each_file_once(spark, tmp_path):
     run()
     assert spark.read.parquet(str(tmp_path / "out/accepted")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 2
+
+
+def test_detector_meets_views_by_sample_only(spark):
+    box = "x1 int, y1 int, x2 int, y2 int"
+    seen = spark.createDataFrame([("R", 1, "a", 100, 100, 700, 300), ("R", 2, "b", 0, 0, 10, 10), ("S", 1, "a", 0, 0, 9, 9), (None, 1, "a", 0, 0, 9, 9)], f"sample_id string, ord int, view_id string, {box}")
+    found = spark.createDataFrame([("R", 2, "d2", "s2", 0.7, 100, 100, 700, 300), ("R", 1, "d1", "s1", 0.9, 100, 100, 700, 300)], f"sample_id string, ord int, view_id string, source_view_id string, score double, {box}")
+    metadata = spark.createDataFrame([("R", "a", 0.1), ("R", "a", 0.2), ("S", "a", 0.3)], "sample_id string, view_id string, meta_score double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    told = drawing.with_detector(seen, found, metadata)
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", told._jdf.queryExecution().executedPlan().toString())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert keys and all(re.fullmatch(r"sample_id#\d+", k) for k in keys)
+    rows = [(r.sample_id, r.ord, r.match_ord, r.detected_view_id, r.source_view_id, r.meta_score, r.final_score, r.error) for r in told.collect()]
+    missing, alone = "missing view metadata", "does not match any accepted detection"
+    right = [("R", 1, 1, "d1", "s1", 0.1, 0.9, None), ("R", 1, 1, "d1", "s1", 0.2, 0.9, None), ("R", 2, None, None, None, None, None, missing), ("S", 1, None, None, None, 0.3, 0.3, alone), (None, 1, None, None, None, None, None, missing)]
+    assert sorted(rows, key=str) == sorted(right, key=str)
+    own = drawing.with_detector(views.with_match(seen, found, told_of=drawing.DETECTOR), found, metadata)
+    assert sorted(map(str, own.select(*told.columns).collect())) == sorted(map(str, told.collect()))
