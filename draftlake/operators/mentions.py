@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .raster import shared_folder
+
 IDS_OF_BUCKET = 200_000
 
 
@@ -60,6 +62,10 @@ def mentions(ids: DataFrame, texts: DataFrame, ids_of_bucket: int = IDS_OF_BUCKE
 
 def predictions_of_samples(samples: DataFrame, predictions: DataFrame) -> DataFrame:
     """predictions (with path, row and input_images) for each sample (sample_id) that one of their images' paths contains."""
+    spark = predictions.sparkSession
+    held, schema = shared_folder(spark, "predictions"), predictions.schema
+    predictions.write.parquet(held)  # read four times below: what makes them runs once
+    predictions = spark.read.schema(schema).parquet(held)
     each = predictions.select("path", "row", F.explode("input_images").alias("text"))
     found = mentions(samples.select(F.col("sample_id").alias("id")), each.select("text"))
     places = each.join(found, "text").select("path", "row", F.col("id").alias("sample_id")).distinct()

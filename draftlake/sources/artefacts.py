@@ -7,7 +7,7 @@ repeated replaces its folder. Beside the files lies ``_manifest``: a JSON line f
 each task, and ``run.json`` with the totals. Only totals of tasks pass the driver.
 
 Reading (``format("artefact_lines")``; columns path, row, text): partitions are planned over folders, whole small files together
-up to ``bytes`` a partition; a file's lines are streamed and numbered from 0, blank ones counted but left out.
+up to ``bytes`` a partition, small files counted as a thousandth of it; a file's lines are streamed and numbered from 0, blank ones counted but left out.
 
 Stores are those that pyarrow's file systems reach under the given path; renaming a folder must be one operation there, as it is
 on HDFS and mounted disks. Cases: null names or contents, names that leave the run's folder, and names that occur twice are errors before
@@ -34,8 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..operators.raster import shared_folder
+
 MANIFEST, LINES = "_manifest", pa.schema([("path", pa.string()), ("row", pa.int64()), ("text", pa.string())])
 BYTES_OF_PARTITION, LINES_OF_BATCH, ABORTS = 64 << 20, 8192, 3
+#: Opening a file counts as at least this part of a partition's bytes, so that many small files are spread over tasks.
+OPENED = 1024
 
 
 @dataclass
@@ -129,8 +133,8 @@ class LineReader(DataSourceReader):
         listed = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         hidden = lambda path: any(part.startswith((".", "_")) for part in path.removeprefix(root).split("/"))
         found = sorted((f.path, f.size or 0) for f in listed if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.pattern) and not hidden(f.path))
-        parts, size = [], 0
-        for path, of in found:  # folders lie together in this order
+        parts, size, least = [], 0, self.most // OPENED
+        for path, of in ((path, max(of, least)) for path, of in found):  # folders lie together in this order
             if not parts or size + of > self.most:
                 parts.append(Files([]))
                 size = 0
@@ -140,19 +144,21 @@ class LineReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.root)
+        paths, rows, texts = [], [], []  # of many small files together
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(rows, pa.int64()), pa.array(texts, pa.string())], schema=LINES)
         for path in partition.paths:
-            rows, texts = [], []
             with io.BufferedReader(store.open_input_file(path), 1 << 20) as raw:
                 for row, line in enumerate(raw):
                     text = line.decode("utf-8", "replace").rstrip("\r\n")
                     if text.strip():
+                        paths.append(path)
                         rows.append(row)
                         texts.append(text)
                     if len(rows) == LINES_OF_BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(rows, pa.int64()), pa.array(texts)], schema=LINES)
-                        rows, texts = [], []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(rows, pa.int64()), pa.array(texts)], schema=LINES)
+                        yield batch()
+                        paths, rows, texts = [], [], []
+        if rows:
+            yield batch()
 
 
 class ArtefactLines(DataSource):
@@ -171,12 +177,19 @@ def write_run(files: DataFrame, root: str, run: str) -> str:
     """Write files (name, content: text or binary) as run's folder under root; its path."""
     spark = files.sparkSession
     name = F.col("name")
+    if not run or run.startswith((".", "_")) or "/" in run:
+        raise ValueError(f"no name of a file of its own: {run}")
+    # what makes the files runs once: they're checked and written from this
+    held = shared_folder(spark, "files")
+    files.select("name", F.col("content").cast("binary").alias("content")).write.parquet(held)
+    files = spark.read.schema("name string, content binary").parquet(held)
     leaves = name.isNull() | F.col("content").isNull() | F.startswith(name, F.lit("/")) | name.rlike(r"(^|/)(\.\.?|)(/|$)|(^|/)[._]")
-    bad = files.filter(leaves).select("name").limit(1).collect() or files.groupBy("name").count().filter("count > 1").select("name").limit(1).collect()
-    if bad or not run or run.startswith((".", "_")) or "/" in run:
-        raise ValueError(f"no name of a file of its own: {bad[0]['name'] if bad else run}")
+    names = files.groupBy("name").agg((F.bool_or(leaves) | (F.count(F.lit(1)) > 1)).alias("bad")).filter("bad")
+    bad = names.agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).first()
+    if bad["n"]:
+        raise ValueError(f"no name of a file of its own: {bad['name']}")
     spark.dataSource.register(Artefacts)
-    files.select("name", F.col("content").cast("binary").alias("content")).write.format("artefacts").option("run", run).mode("append").save(root)
+    files.write.format("artefacts").option("run", run).mode("append").save(root)
     return f"{root.rstrip('/')}/{run}"
 
 

@@ -148,3 +148,27 @@ def test_files_of_documents_pages_and_runs(spark):
     assert [tuple(r) for r in sinks.page_files(pages).collect()] == [("04.CleanPNG/s/page_002_clean.png", b"c")]
     runs = spark.createDataFrame([("s", "p", None), ("t", "q", "r")], "sample_id string, prompt string, raw string")
     assert {tuple(r) for r in sinks.run_texts(runs).collect()} == {("s/prompt.md", "p"), ("t/prompt.md", "q"), ("t/raw_response.txt", "r")}
+
+
+def test_small_files_are_spread_and_read_together(tmp_path):
+    for i in range(3000):
+        (tmp_path / f"f{i:04d}.jsonl").write_text(f'{{"a": {i}}}\n')
+    reader = artefacts.LineReader(f"file://{tmp_path}", "*.jsonl", 64 << 20)
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [1024, 1024, 952]
+    batches = [list(reader.read(p)) for p in parts]
+    assert [len(b) for b in batches] == [1, 1, 1]
+    assert [r["text"] for b in batches for r in b[0].to_pylist()] == [f'{{"a": {i}}}' for i in range(3000)]
+
+
+def test_what_makes_a_runs_files_runs_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    files_ = spark.range(7).selectExpr("concat('d/', id, '.txt') AS name", "'x' AS content").mapInArrow(made, "name string, content string")
+    artefacts.write_run(files_, f"file://{tmp_path}", "r")
+    assert seen.value == 7
