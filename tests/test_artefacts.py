@@ -172,3 +172,18 @@ def test_what_makes_a_runs_files_runs_once(spark, tmp_path):
     files_ = spark.range(7).selectExpr("concat('d/', id, '.txt') AS name", "'x' AS content").mapInArrow(made, "name string, content string")
     artefacts.write_run(files_, f"file://{tmp_path}", "r")
     assert seen.value == 7
+
+
+def test_what_makes_predictions_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("p", 0, ["x/s1/a", "s12"]), ("p", 1, ["none"]), ("q", 0, None)], "path string, row long, input_images array<string>")
+    given = rows.mapInArrow(made, rows.schema)
+    found = mentions.predictions_of_samples(spark.createDataFrame([("s1",), ("s12",)], "sample_id string"), given)
+    assert sorted((r.sample_id, r.path, r.row) for r in found.collect()) == [("s1", "p", 0), ("s12", "p", 0)]
+    assert seen.value == 3
