@@ -85,38 +85,87 @@ class EliasFano:
             out[far] = self._select0(k[far])
         return out
 
-    def access(self, at: np.ndarray) -> np.ndarray:
-        """The values at these places: select of their ones, and their low bits."""
+    def _window(self, at: np.ndarray) -> np.ndarray:
+        """The 64 bits from each place on; zeros past the end."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.high.take(word, mode="clip") >> shift
+        bits |= (self.high.take(word + 1, mode="clip") << np.uint64(1)) << (shift ^ np.uint64(63))  # by 64 - shift, which is 64 for 0: nothing
+        return bits
+
+    def _select1(self, at: np.ndarray) -> np.ndarray:
+        """Places of these ones."""
         if self._ones is None:  # before each word
             self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
         ones = self._ones
         word = np.searchsorted(ones, at, "right") - 1
-        place = select_in_word(self.high[np.minimum(word, len(self.high) - 1)], (at - ones[word]).astype(np.uint64))
-        return ((word * 64 + place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+        return (word << 6) + select_in_word(self.high.take(word, mode="clip"), (at - ones[word]).astype(np.uint64))
+
+    def _value(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places: select of their ones, and their low bits."""
+        return self._value(at, self._select1(at))
+
+    def access_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at these places and at those after them, whose ones mostly lie within the next 64 bits."""
+        place = self._select1(at)
+        bits = self._window(place + 1)
+        after = place + 1 + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(bits == 0)
+        if len(far):
+            after[far] = self._select1(at[far] + 1)
+        return self._value(at, place), self._value(at + 1, after)
 
     def find(self, values: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Index of each value, or -1: the values that share its high part are searched by their low bits. within:
-        the first and the end place where each may lie."""
-        out = np.full(len(values), -1, np.int64)
+        """Index of each value, or -1. within: the first and the end place where each may lie."""
         if not self.count or not len(values):
-            return out
+            return np.full(len(values), -1, np.int64)
         part = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        begin = np.where(part > 0, self._select0(np.maximum(part - 1, 0)) + 1, 0)
-        first, end = begin - part, np.minimum(self._next0(begin, part) - part, self.count)
-        if within is not None:
-            first, end = np.maximum(first, within[0]), np.minimum(end, within[1])
+        begin = self._select0(np.maximum(part - 1, 0)) + 1
+        begin[part == 0] = 0
+        return self._search(values, part, begin, *(within or (0, self.count)))
+
+    def find_beyond(self, more: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Index from first on and before end, or -1, of the value that is so much more (1 at least) than the one
+        before first (than 0 for the first of all). It mostly lies within 64 bits of that one."""
+        if not self.count or not len(more):
+            return np.full(len(more), -1, np.int64)
+        bits = np.uint64(self.low_bits)
+        before = first - 1
+        place = self._select1(np.maximum(before, 0))
+        values = self._value(np.maximum(before, 0), place)
+        if len(none := np.flatnonzero(before < 0)):
+            place[none], values[none] = -1, 0
+        base = place - before
+        values += more
+        part = (values >> bits).astype(np.int64)
+        skip = part - base  # zeros between
+        window = ~self._window(place + 1)
+        near = select_in_word(window, np.maximum(skip - 1, 0).astype(np.uint64) & np.uint64(63))
+        begin = place + 1 + np.where(skip > 0, near + 1, 0)
+        far = np.flatnonzero(skip > np.bitwise_count(window))
+        if len(far):
+            begin[far] = self._select0(part[far] - 1) + 1
+        return self._search(values, part, begin, first, end)
+
+    def _search(self, values: np.ndarray, part: np.ndarray, begin: np.ndarray, least: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+        """Index of each value, from least on and before end, or -1: those that share its high part, whose ones begin
+        at the place begin, are searched by their low bits."""
+        out = np.full(len(values), -1, np.int64)
+        low, high = np.maximum(begin - part, least), np.minimum(self._next0(begin, part) - part, np.minimum(end, self.count))
         want = values & np.uint64((1 << self.low_bits) - 1)
-        active = np.flatnonzero(first < end)
-        low, high = first[active], end[active]
+        active = np.flatnonzero(low < high)
+        low, high, want = low[active], high[active], want[active]
         while len(active):
             middle = (low + high) >> 1
-            seen, wanted = self._low(middle), want[active]
-            hit = seen == wanted
+            seen = self._low(middle)
+            hit = seen == want
             out[active[hit]] = middle[hit]
-            less = seen < wanted
+            less = seen < want
             low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-            stay = ~hit & (low < high)
-            active, low, high = active[stay], low[stay], high[stay]
+            stay = np.flatnonzero((low < high) & ~hit)
+            active, low, high, want = active[stay], low[stay], high[stay], want[stay]
         return out
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:

@@ -225,6 +225,40 @@ def test_elias_fano_finds_what_it_holds(tmp_path, n, universe):
     assert held.find(asked, (low, high)).tolist() == [i if len(values) // 3 <= (i := where.get(v, -1)) < 2 * len(values) // 3 else -1 for v in asked.tolist()]
 
 
+def test_elias_fano_finds_values_relative_to_the_one_before():
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([rng.integers(1, 1 << 30, 3000), rng.integers(1 << 20, (1 << 20) + 900, 2000)]).astype(np.uint64))
+    held = EliasFano.build(values, 1 << 30)
+    two = held.access_two(np.arange(len(values) - 1))
+    assert two[0].tolist() == values[:-1].tolist() and two[1].tolist() == values[1:].tolist()
+    first = np.sort(rng.integers(0, len(values), 4000))
+    end = np.minimum(first + rng.integers(1, 400, 4000), len(values))
+    aim = np.minimum(first + rng.integers(0, 400, 4000), len(values) - 1)
+    before = np.where(first > 0, values[first - 1], 0)
+    more = values[aim] - before + (rng.random(4000) < 0.3).astype(np.uint64)
+    where = {v: i for i, v in enumerate(values.tolist())}
+    want = [i if f <= (i := where.get(int(b + m), -1)) < e else -1 for f, e, b, m in zip(first, end, before, more, strict=True)]
+    assert held.find_beyond(more, first, end).tolist() == want
+    assert held.find_beyond(np.array([1 << 29], np.uint64), np.array([len(values) - 1]), np.array([len(values)])).tolist() == [-1]
+
+
+def test_a_lookup_meets_few_of_a_frequent_word_s_successors(spark, monkeypatch):
+    texts = [" ".join(f"the w{k}" for k in range(i, i + 400)) for i in range(0, 40_000, 400)]
+    levels = lm_scoring.Levels(lm_scoring.build_trie(spark.createDataFrame([(t,) for t in texts], "text string"), segments=64, order=2))
+    met, low = [0], EliasFano._low
+    monkeypatch.setattr(EliasFano, "_low", lambda self, at: met.__setitem__(0, met[0] + len(at)) or low(self, at))
+    data = " ".join(["the", *(f"w{k}" for k in range(40_000))]).encode()
+    hashes, _ = lm_scoring.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    the, distinct = hashes[0], np.sort(hashes)
+    ids, _, _ = levels.find_words(distinct)
+    assert (ids >= 0).all() and met[0] < 2.5 * len(ids)
+    met[0] = 0
+    the = ids[np.searchsorted(distinct, the)]
+    words = ids[ids != the]
+    _, _, logs = levels.find_pairs(np.full(len(words), the), words)
+    assert not np.isnan(logs).any() and met[0] < 4 * len(words)
+
+
 def test_lm_scores_equal_exact_counts(spark, texts, odd_docs):
     rows = [(i, t) for i, t, _ in texts[:80]] + [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id != 7]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
