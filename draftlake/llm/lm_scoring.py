@@ -3,7 +3,7 @@
 Level 1 holds the words as sorted hashes, each with its exact count and its quantised probability; a word's rank
 is its number. Level 2 holds word pairs: the contexts' numbers as one monotone sequence, the pointers to each
 context's successors as another, and the successors' numbers, made monotone by the last value of the range before, with
-quantised probabilities. A context's successors lie in 64 slices of the words' numbers, each a range of its own; within it
+quantised probabilities and counts. A context's successors lie in 64 slices of the words' numbers, each a range of its own; within it
 they are spread as widely as they are many, so that a search meets few of them in a frequent context too. A pair is looked
 up by finding the context's slice, following its pointers, and searching for the successor relative to the range they bound. A pair's number is its place in level 2. Level 3, in a trie of order 3, holds word
 triples alike: pairs' numbers as contexts, and counts instead of probabilities. The levels are cut into segments of
@@ -126,7 +126,7 @@ class Levels:
             a = map_arrays(f"{self.trie.folder}/{name}-{segment}")
         except FileNotFoundError:
             return None
-        return *(EliasFano.of(a, part) for part in ("contexts", "pointers", "successors")), a.get("probabilities"), a.get("counts")
+        return *(EliasFano.of(a, part) for part in ("contexts", "pointers", "successors")), a.get("probabilities"), tuple(a.get(part) for part in ("counts", "large", "large_counts"))
 
     def level2(self, segment: int) -> tuple | None:
         if segment not in self.second:
@@ -201,7 +201,7 @@ class Levels:
         for segment, data, at, place in self._found(self.level2, contexts, words):
             logs[at] = restore(data[3][place], self.trie.step)
             if self.trie.order > 2:
-                ids[at], counts[at] = self.trie.pair_bases[segment] + place, data[4][place]
+                ids[at], counts[at] = self.trie.pair_bases[segment] + place, _counts_at(data[4], place)
         return ids, counts, logs
 
     def pair_ids(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ class Levels:
         """Count of each triple, 0 where the trie doesn't hold it. contexts: pairs' numbers."""
         out = np.zeros(len(contexts), np.int64)
         for _, data, at, place in self._found(self.level3, contexts, words):
-            out[at] = data[4][place]
+            out[at] = _counts_at(data[4], place)
         return out
 
 
@@ -397,14 +397,14 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
         distinct, where = np.unique(words, return_inverse=True)
         singles = 10 ** levels.word_data(distinct)[1][where]
         logs = np.log10((counts + prior * singles) / (context_counts + prior))
-        write_level("pairs", segment, contexts, trie.words, words, {"probabilities": quantise(logs, trie.step)} | ({"counts": _narrow(counts)} if order > 2 else {}))
+        write_level("pairs", segment, contexts, trie.words, words, {"probabilities": quantise(logs, trie.step)} | (_narrow(counts) if order > 2 else {}))
         return pd.DataFrame([(segment, len(keys))], columns=["segment", "pairs"])
 
     def finish_triples(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(rows)
         segment = int(rows["segment"].iloc[0])
         contexts, words = split(keys)
-        write_level("triples", segment, contexts, trie.pairs, words, {"counts": _narrow(counts)})
+        write_level("triples", segment, contexts, trie.pairs, words, _narrow(counts))
         return pd.DataFrame([(segment, len(keys))], columns=["segment", "triples"])
 
     def build(name: str, count, finish) -> list[int]:
@@ -426,9 +426,18 @@ def keys_fit(contexts: int, words: int) -> None:
         raise OverflowError(f"{contexts} contexts of {words} words have no 64-bit keys; a lower order has")
 
 
-def _narrow(counts: np.ndarray) -> np.ndarray:
-    """Counts in the least unsigned type that holds them all."""
-    return counts.astype(np.min_scalar_type(counts.max()))
+def _narrow(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each; 255 stands for those from there on, which are listed with their places."""
+    large = np.flatnonzero(counts >= 255)
+    return {"counts": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_counts": counts[large]}
+
+
+def _counts_at(arrays: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    counts, large, large_counts = arrays
+    out = counts[at].astype(np.int64)
+    if len(more := np.flatnonzero(out == 255)):
+        out[more] = large_counts[np.searchsorted(large, at[more])]
+    return out
 
 
 def _blocks(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
@@ -451,32 +460,39 @@ def _score_block(levels: Levels, tokens: np.ndarray, lengths: np.ndarray) -> lis
     trie = levels.trie
     distinct, where = np.unique(tokens, return_inverse=True)
     # what depends on one word alone is reckoned once a distinct word
-    found = levels.find_words(distinct)
-    ids, counts, logs = (x[where] for x in found)
+    word_ids, word_counts, logs = levels.find_words(distinct)
+    ids = word_ids[where]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    base = np.log10((found[1] + 1) / (trie.tokens + trie.words + 1))[where]
-    if trie.tokens:
-        before = np.concatenate([ids[-1:], ids[:-1]])
-        backing_off = np.where(found[0] >= 0, np.log10(trie.prior / (found[1] + trie.prior)), 0.0)[where]
-        score = logs + np.concatenate([backing_off[-1:], backing_off[:-1]])
-        both = np.flatnonzero((ids >= 0) & (before >= 0))
-        pairs, which = np.unique(before[both] * trie.words + ids[both], return_inverse=True)
-        numbers, pair_counts, pair_logs = (x[which] for x in levels.find_pairs(pairs // trie.words, pairs % trie.words))
-        hit = ~np.isnan(pair_logs)
-        score[both[hit]] = pair_logs[hit]
-        if trie.order > 2:
-            pair_before, count_before = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
-            pair_before[both], count_before[both] = numbers, pair_counts
-            pair_before, count_before = np.roll(pair_before, 1), np.roll(count_before, 1)
-            pair_before[starts] = -1  # a text's first word has no pair before it
-            at = np.flatnonzero(pair_before >= 0)
-            triple_counts, inner = np.zeros(len(at), np.int64), np.flatnonzero(ids[at] >= 0)
-            triples, which = np.unique(pair_before[at[inner]] * trie.words + ids[at[inner]], return_inverse=True)
-            triple_counts[inner] = levels.find_triples(triples // trie.words, triples % trie.words)[which]
-            score[at] = np.log10((triple_counts + trie.prior * np.exp(score[at] * np.log(10))) / (count_before[at] + trie.prior))
-    else:
-        score = base
-    return [lengths, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts)]
+    known = np.add.reduceat((word_counts > 0).astype(np.int64)[where], starts)
+    base = np.add.reduceat(np.log10((word_counts + 1) / (trie.tokens + trie.words + 1))[where], starts)
+    if not trie.tokens:
+        return [lengths, known, base, base]
+    backing_off = np.where(word_ids >= 0, np.log10(trie.prior / (word_counts + trie.prior)), 0.0)
+    score = logs[where] + np.roll(backing_off[where], 1)
+    del distinct, where  # a block's arrays are most of a worker's memory
+    before = np.roll(ids, 1)
+    both = np.flatnonzero((ids >= 0) & (before >= 0))
+    pairs, which = np.unique(before[both] * trie.words + ids[both], return_inverse=True)
+    del before
+    numbers, pair_counts, pair_logs = levels.find_pairs(pairs // trie.words, pairs % trie.words)
+    pair_logs = pair_logs[which]
+    hit = ~np.isnan(pair_logs)
+    score[both[hit]] = pair_logs[hit]
+    del pairs, pair_logs, hit
+    if trie.order > 2:
+        pair_before, count_before = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+        pair_before[both], count_before[both] = numbers[which], pair_counts[which]
+        del both, which, numbers, pair_counts
+        pair_before, count_before = np.roll(pair_before, 1), np.roll(count_before, 1)
+        pair_before[starts] = -1  # a text's first word has no pair before it
+        at = np.flatnonzero(pair_before >= 0)
+        count_before = count_before[at]
+        triple_counts, inner = np.zeros(len(at), np.int64), np.flatnonzero(ids[at] >= 0)
+        triples, which = np.unique(pair_before[at[inner]] * trie.words + ids[at[inner]], return_inverse=True)
+        del pair_before, ids
+        triple_counts[inner] = levels.find_triples(triples // trie.words, triples % trie.words)[which]
+        score[at] = np.log10((triple_counts + trie.prior * np.exp(score[at] * np.log(10))) / (count_before + trie.prior))
+    return [lengths, known, base, np.add.reduceat(score, starts)]
 
 
 def score_texts(docs: DataFrame, trie: Trie) -> DataFrame:
@@ -494,8 +510,9 @@ def score_texts(docs: DataFrame, trie: Trie) -> DataFrame:
                 held.append(_with_end(*word_hashes(data, offsets)))
                 size += len(held[-1][0])
                 if size >= TOGETHER:
-                    parts.append(_score_block(levels, *(np.concatenate(x) for x in zip(*held, strict=True))))
+                    block = [np.concatenate(x) for x in zip(*held, strict=True)]
                     held, size = [], 0
+                    parts.append(_score_block(levels, *block))
             if held:
                 parts.append(_score_block(levels, *(np.concatenate(x) for x in zip(*held, strict=True))))
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[]] * 4

@@ -259,6 +259,14 @@ def test_a_lookup_meets_few_of_a_frequent_word_s_successors(spark, monkeypatch):
     assert not np.isnan(logs).any() and met[0] < 4 * len(words)
 
 
+def test_counts_of_a_level_take_a_byte_each_and_stay_exact():
+    counts = np.array([1, 70_000, 254, 255, 256, 3, 1 << 40], np.uint64)
+    held = lm_scoring._narrow(counts)
+    assert held["counts"].nbytes == len(counts)
+    at = np.array([6, 0, 1, 3, 2, 4, 5, 1])
+    assert lm_scoring._counts_at((held["counts"], held["large"], held["large_counts"]), at).tolist() == counts[at].tolist()
+
+
 def test_lm_scores_equal_exact_counts(spark, texts, odd_docs):
     rows = [(i, t) for i, t, _ in texts[:80]] + [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id != 7]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
