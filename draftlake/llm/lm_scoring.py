@@ -219,6 +219,17 @@ class Levels:
         return out
 
 
+_levels: dict[tuple[str, str], Levels] = {}
+
+
+def opened(trie: Trie, step: str) -> Levels:
+    """A worker's levels of a trie, opened once for a step: what a trie knows of itself grows from step to step."""
+    if (trie.folder, step) not in _levels:
+        _levels.clear()
+        _levels[trie.folder, step] = Levels(trie)
+    return _levels[trie.folder, step]
+
+
 def hashes_within(segments: int) -> int:
     """How many hashes fall to a segment of level 1."""
     return 1 << (64 - (segments.bit_length() - 1))
@@ -391,7 +402,7 @@ def build_trie(docs: DataFrame, segments: int | None = None, prior: float = PRIO
 
     def finish_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merge(rows)
-        segment, levels = int(rows["segment"].iloc[0]), Levels(trie)
+        segment, levels = int(rows["segment"].iloc[0]), opened(trie, "pairs")
         contexts, words = split(keys)
         context_counts = levels.word_data(contexts)[0]
         distinct, where = np.unique(words, return_inverse=True)
@@ -453,9 +464,6 @@ def _blocks(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-_levels: dict[str, Levels] = {}
-
-
 def _score_block(levels: Levels, tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     trie = levels.trie
     distinct, where = np.unique(tokens, return_inverse=True)
@@ -500,10 +508,7 @@ def score_texts(docs: DataFrame, trie: Trie) -> DataFrame:
 
     @pandas_udf("n_tokens long, n_known long, base_score double, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if trie.folder not in _levels:
-            _levels.clear()
-            _levels[trie.folder] = Levels(trie)
-        levels = _levels[trie.folder]
+        levels = opened(trie, "score")
         for batch in batches:
             parts, held, size = [], [], 0
             for _, _, data, offsets in slices(pa.array(batch, pa.large_string())):

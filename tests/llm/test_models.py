@@ -259,6 +259,12 @@ def test_a_lookup_meets_few_of_a_frequent_word_s_successors(spark, monkeypatch):
     assert not np.isnan(logs).any() and met[0] < 4 * len(words)
 
 
+def test_a_worker_opens_a_trie_once_a_step():
+    trie = lm_scoring.Trie("folder", 4, [0] * 5, 0, 0.0, 30.0)
+    held = lm_scoring.opened(trie, "pairs")
+    assert lm_scoring.opened(trie, "pairs") is held and lm_scoring.opened(trie, "score") is not held
+
+
 def test_counts_of_a_level_take_a_byte_each_and_stay_exact():
     counts = np.array([1, 70_000, 254, 255, 256, 3, 1 << 40], np.uint64)
     held = lm_scoring._narrow(counts)
