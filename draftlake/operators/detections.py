@@ -66,12 +66,12 @@ def filter_documents(documents: DataFrame, layout: DataFrame, rules: FilterRules
 
 def layout_hits(detections: DataFrame, layout: DataFrame, rules: FilterRules) -> DataFrame:
     """detections with layout_type: in region order, the first rejecting region's type. The regions of a page meet its detections as
-    one array, so that detections are read once and keep their place."""
+    one array, so that detections are read once and keep their place; by sorting, as there are as many arrays as pages."""
     rejecting = layout.filter(F.col("region_type").isin(*rules.layout_types))
     of = rejecting.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("unplaced"), F.col("ord").alias("region_ord"), "region_type", *Box._fields))).alias("_regions"))
     covers = lambda r: Box.of().coverage_by(Box(*(r[c] for c in Box._fields))) >= rules.layout_coverage
     first = F.get(F.filter("_regions", covers), F.lit(0))["region_type"]
-    return detections.join(of, PAGE, "left").withColumn("layout_type", F.when(Box.of().area() > 0, first)).drop("_regions")
+    return detections.join(of.hint("merge"), PAGE, "left").withColumn("layout_type", F.when(Box.of().area() > 0, first)).drop("_regions")
 
 
 def _dense(features: Column, rules: FilterRules) -> Column:

@@ -288,3 +288,27 @@ def test_pages_are_spread_for_their_work(spark):
     boxes = spark.createDataFrame([(i, 1, 1, 5, 5) for i in range(40)], "image long, x1 int, y1 int, x2 int, y2 int")
     cleaned = pictures.cleaned(pages, boxes).select("image", F.spark_partition_id().alias("at"))
     assert len({r["at"] for r in cleaned.collect()}) > 1
+
+
+def test_arrays_of_pages_are_not_broadcast(spark, tmp_path):
+    """There are as many as pages, whatever a plan takes their size for."""
+    spark.range(40).selectExpr("id AS sample_id", "1 AS page", "0 AS ord", "'v' AS view_id", "0 AS x1", "0 AS y1", "9 AS x2", "9 AS y2", "0.9D AS score", "10 AS page_height").write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    regions = found.select("sample_id", "page", "ord", F.lit("hole_table").alias("region_type"), "x1", "y1", "x2", "y2")
+    pages = found.select("sample_id", "page", F.lit(pictures.encode_png(np.full((10, 10), 255, np.uint8))).alias("data"))
+    of_image = lambda df: df.withColumnRenamed("sample_id", "image").drop("page")
+    for df, reads in (
+        (detections.decide(found, regions), "Project"), (pictures.with_features(found, pages, ["sample_id", "page"]), "MapInPandas"),
+        (pictures.cleaned(of_image(pages), of_image(found)), "MapInPandas"), (pictures.with_colour(of_image(found), of_image(pages)), "ArrowEvalPython"),
+    ):
+        met = df._jdf.queryExecution().executedPlan().toString().split(reads, 1)[1]  # what's below the reading of pictures
+        assert "Broadcast" not in met and df.count() == 40
+
+
+def test_pages_stay_spread_whatever_their_keys(spark):
+    """A page that's always 1 isn't dealt out by, and another exchange by sample would be coalesced."""
+    pages = spark.range(40).selectExpr("id AS sample_id", "1 AS page").withColumn("data", F.lit(pictures.encode_png(np.full((20, 20), 255, np.uint8))))
+    found = spark.range(40).selectExpr("id AS sample_id", "1 AS page", "0 AS ord", "1 AS x1", "1 AS y1", "5 AS x2", "5 AS y2")
+    plan = pictures.with_features(found, pages, ["sample_id", "page"])._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("MapInPandas", 1)[1].splitlines()[1]
+    assert "Exchange RoundRobin" in below
