@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import variants as V
 from ..functions.geometry import Box, numbered, rounded_box
 
-PAGE = ["sample_id", "page"]
+PAGE, REGIONS = ["sample_id", "page"], "_regions"
 
 
 @dataclass(frozen=True)
@@ -40,38 +40,45 @@ class FilterRules:
 
 def candidates_of(documents: DataFrame) -> DataFrame:
     """The candidates of documents of detections (sample_id, page, doc: a variant, and wrong: why there's none), as the filter takes them; a
-    box that isn't four numbers is null. A document that's none, or holds none, gives one row, without ord."""
-    doc = F.col("doc")
+    box that isn't four numbers is null. A document that's none, or holds none, gives one row, without ord. Regions of documents (with_regions) stay."""
+    doc, met = F.col("doc"), [c for c in documents.columns if c == REGIONS]
     size = F.coalesce(V.size_of(V.field(doc, "$.image_size")), V.pair_of(V.field(doc, "$.image_size")))
     views = F.filter(V.field(doc, "$.views", "array<variant>"), V.is_object)
     wrong = F.when(F.col("wrong").isNotNull(), F.col("wrong")).when(~V.is_object(doc), "document is not an object")
-    each = documents.select(*PAGE, wrong.alias("error"), size.alias("size"), views.alias("views"))  # once a document, not once a candidate
-    each = each.select(*PAGE, "error", "size", F.posexplode_outer("views").alias("ord", "v"))
+    each = documents.select(*PAGE, *met, wrong.alias("error"), size.alias("size"), views.alias("views"))  # once a document, not once a candidate
+    each = each.select(*PAGE, *met, "error", "size", F.posexplode_outer("views").alias("ord", "v"))
     box = rounded_box(V.field(F.col("v"), "$.bbox"))
-    parts = each.select(*PAGE, "error", "size", "ord", "v", box.alias("box"))
+    parts = each.select(*PAGE, *met, "error", "size", "ord", "v", box.alias("box"))
     return parts.select(
-        *PAGE, "error", "ord", V.field(F.col("v"), "$.view_id", "string").alias("view_id"), *[c.alias(n) for c, n in zip(Box.of_array(F.col("box")), Box._fields, strict=True)],
+        *PAGE, *met, "error", "ord", V.field(F.col("v"), "$.view_id", "string").alias("view_id"), *[c.alias(n) for c, n in zip(Box.of_array(F.col("box")), Box._fields, strict=True)],
         V.field(F.col("v"), "$.score", "double").alias("score"), F.coalesce("size.width", F.lit(0)).alias("page_width"), F.coalesce("size.height", F.lit(0)).alias("page_height"),
     )
 
 
-def filter_documents(documents: DataFrame, layout: DataFrame, rules: FilterRules = FilterRules()) -> DataFrame:
+def filter_documents(documents: DataFrame, layout: DataFrame | None, rules: FilterRules = FilterRules()) -> DataFrame:
     """The filter as a batch stage (plans.batch): sample_id, page, error, kind (accepted or rejected), ord, view_id, box, reject_reason.
-    Documents are read in one pass; rows without a candidate go through the rules with the others, and lose their verdict."""
+    Documents are read in one pass; rows without a candidate go through the rules with the others, and lose their verdict. layout: None where
+    the documents have met their regions."""
     decided = decide(candidates_of(documents), layout, rules)
     candidate = F.col("error").isNull() & F.col("ord").isNotNull()
     kind = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
     return decided.select(*PAGE, "error", F.when(candidate, kind).alias("kind"), "ord", "view_id", *Box._fields, F.when(candidate, F.col("reject_reason")).alias("reject_reason"))
 
 
-def layout_hits(detections: DataFrame, layout: DataFrame, rules: FilterRules) -> DataFrame:
+def with_regions(pages: DataFrame, layout: DataFrame, rules: FilterRules = FilterRules()) -> DataFrame:
+    """pages (of documents or of detections) with the regions that reject, in their order, as one array."""
+    rejecting = layout.filter(F.col("region_type").isin(*rules.layout_types))
+    of = rejecting.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("unplaced"), F.col("ord").alias("region_ord"), "region_type", *Box._fields))).alias(REGIONS))
+    return pages.join(of.hint("merge"), PAGE, "left")
+
+
+def layout_hits(detections: DataFrame, layout: DataFrame | None, rules: FilterRules) -> DataFrame:
     """detections with layout_type: in region order, the first rejecting region's type. The regions of a page meet its detections as
     one array, so that detections are read once and keep their place; by sorting, as there are as many arrays as pages."""
-    rejecting = layout.filter(F.col("region_type").isin(*rules.layout_types))
-    of = rejecting.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").isNull().alias("unplaced"), F.col("ord").alias("region_ord"), "region_type", *Box._fields))).alias("_regions"))
+    met = detections if REGIONS in detections.columns else with_regions(detections, layout, rules)
     covers = lambda r: Box.of().coverage_by(Box(*(r[c] for c in Box._fields))) >= rules.layout_coverage
-    first = F.get(F.filter("_regions", covers), F.lit(0))["region_type"]
-    return detections.join(of.hint("merge"), PAGE, "left").withColumn("layout_type", F.when(Box.of().area() > 0, first)).drop("_regions")
+    first = F.get(F.filter(REGIONS, covers), F.lit(0))["region_type"]
+    return met.withColumn("layout_type", F.when(Box.of().area() > 0, first)).drop(REGIONS)
 
 
 def _dense(features: Column, rules: FilterRules) -> Column:
@@ -82,7 +89,7 @@ def _line_drawing(features: Column, rules: FilterRules) -> Column:
     return features["ink"].between(*rules.line_ink) & (features["largest"] <= rules.line_component) & (features["components"] >= rules.line_components)
 
 
-def decide(detections: DataFrame, layout: DataFrame, rules: FilterRules = FilterRules()) -> DataFrame:
+def decide(detections: DataFrame, layout: DataFrame | None, rules: FilterRules = FilterRules()) -> DataFrame:
     """detections with reject_reason (null: accepted). The first rule that holds decides."""
     features = F.col("features") if "features" in detections.columns else F.lit(None).cast("struct<ink:double,thick:double,largest:double,components:int>")
     box, score = Box.of(), F.coalesce("score", F.lit(0.0))
