@@ -6,8 +6,9 @@ tried again writes the same names again, each by way of a renaming, so nobody ev
 repeated replaces its folder. Beside the files lies ``_manifest``: a JSON line for each file (name, bytes, sha256), a part for
 each task, and ``run.json`` with the totals. Only totals of tasks pass the driver.
 
-Reading (``format("artefact_lines")``; columns path, row, text): partitions are planned over folders, whole small files together
-up to ``bytes`` a partition, small files counted as a thousandth of it; a file's lines are streamed and numbered from 0, blank ones counted but left out.
+Reading (``read_lines``; columns path, row, text): tasks list the folders, a level of them at a time, and write what they find; the driver sees counts and the
+total of sizes only. Files are dealt to tasks, up to ``bytes`` each, small files counted as a thousandth of it; a file's lines are streamed and numbered from 0,
+blank ones counted but left out. ``format("artefact_lines")`` reads the same, lazily, but plans its partitions on the driver: for runs of few files.
 
 Stores are those that pyarrow's file systems reach under the given path; renaming a folder must be one operation there, as it is
 on HDFS and mounted disks. Cases: null names or contents, names that leave the run's folder, and names that occur twice are errors before
@@ -26,6 +27,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -34,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..operators.raster import shared_folder
+from ..operators.raster import held, shared_folder
 
 MANIFEST, LINES = "_manifest", pa.schema([("path", pa.string()), ("row", pa.int64()), ("text", pa.string())])
 BYTES_OF_PARTITION, LINES_OF_BATCH, ABORTS = 64 << 20, 8192, 3
 #: Opening a file counts as at least this part of a partition's bytes, so that many small files are spread over tasks.
 OPENED = 1024
+#: Folders that a task lists at least.
+FOLDERS = 64
 
 
 @dataclass
@@ -193,10 +197,41 @@ def write_run(files: DataFrame, root: str, run: str) -> str:
     return f"{root.rstrip('/')}/{run}"
 
 
+def listed(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path and size of the files under root whose names match, hidden ones and folders left out. Each round's folders are listed by tasks and
+    what they hold is written, so that neither files nor folders are gathered anywhere; there are as many rounds as levels."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            found = [f for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if not f.base_name.startswith((".", "_"))]
+            found = [f for f in found if f.type == fs.FileType.Directory or f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern)]
+            for low in range(0, len(found), LINES_OF_BATCH):
+                part = found[low : low + LINES_OF_BATCH]
+                sizes = [(f.size or 0) if f.type == fs.FileType.File else None for f in part]
+                yield pa.RecordBatch.from_arrays([pa.array([f.path for f in part], pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, n, levels = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1],)], "path string"), 1, []
+    while n:
+        dealt = folders.repartition(max(1, min(tasks, n // FOLDERS)), "path")
+        found = held(dealt.mapInArrow(entries, "path string, size long"), "listed")
+        levels.append(found.filter("size IS NOT NULL"))
+        folders = found.filter("size IS NULL").select("path")
+        n = folders.count()
+    return reduce(DataFrame.unionByName, levels)
+
+
 def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", most_bytes: int = BYTES_OF_PARTITION) -> DataFrame:
-    """path, row and text of the lines, not blank, of files under root whose names match."""
-    spark.dataSource.register(ArtefactLines)
-    return spark.read.format("artefact_lines").option("pattern", pattern).option("bytes", str(most_bytes)).load(root)
+    """path, row and text of the lines, not blank, of files under root whose names match. The files are listed when this is called."""
+    found, reader = listed(spark, root, pattern), LineReader(root, pattern, most_bytes)
+    total = found.agg(F.sum(F.greatest("size", F.lit(most_bytes // OPENED)))).first()[0] or 0
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from reader.read(Files(batch.column(0).to_pylist()))
+
+    return found.select("path").repartition(max(1, -(-total // most_bytes)), "path").mapInArrow(lines, "path string, row long, text string")
 
 
 def parsed_lines(lines: DataFrame, schema: str, defaults: dict | None = None) -> DataFrame:

@@ -187,3 +187,22 @@ def test_what_makes_predictions_runs_once(spark):
     found = mentions.predictions_of_samples(spark.createDataFrame([("s1",), ("s12",)], "sample_id string"), given)
     assert sorted((r.sample_id, r.path, r.row) for r in found.collect()) == [("s1", "p", 0), ("s12", "p", 0)]
     assert seen.value == 3
+
+
+def test_files_are_listed_and_dealt_out_by_tasks(spark, tmp_path):
+    """Level by level, as a walk finds them; no plan holds their paths."""
+    want = {}
+    for i in range(300):
+        folder = tmp_path / f"d{i % 2}" / f"x{i % 150}" if i % 3 else tmp_path / f"x{i}" / ".hidden" / "y" if i % 2 else tmp_path
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.jsonl").write_text(f"{i}\n" * (i % 5))
+        if ".hidden" not in folder.parts:
+            want[str(folder / f"{i}.jsonl")] = len(f"{i}\n" * (i % 5))
+    (tmp_path / "_x").mkdir()
+    (tmp_path / "_x" / "a.jsonl").write_text("hidden")
+    (tmp_path / "d0" / "other.txt").write_text("no")
+    assert {r.path: r["size"] for r in artefacts.listed(spark, str(tmp_path), "*.jsonl").collect()} == want
+    lines = artefacts.read_lines(spark, f"file://{tmp_path}", most_bytes=1 << 14)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BatchScan" not in plan
+    assert {r.path: r.n * (len(r.path.split("/")[-1].split(".")[0]) + 1) for r in lines.groupBy("path").agg(F.count("row").alias("n")).collect()} == {p: n for p, n in want.items() if n}
